@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from tarmac.llm.ogg import op1_ogg_media
 from tarmac.llm.packing import op7_differencing_packing
 from tarmac.llm.sharding import op4_interleaved_shards
+from tarmac.llm.toxicity import op2_clause_grammar_toxicity
 
-QUERIES = {f.__name__: f for f in (op4_interleaved_shards, op7_differencing_packing)}
+QUERIES = {f.__name__: f for f in (op1_ogg_media, op2_clause_grammar_toxicity, op4_interleaved_shards, op7_differencing_packing)}
 ORACLE_SQL: dict[str, str] = {}

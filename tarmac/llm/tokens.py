@@ -8,13 +8,15 @@ per text replace most of the encoding.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Pieces in the younger half of a worker's cache, and the longest kept.
 CACHE_PIECES, CACHE_CHARS = 400_000, 40
 
-_ENDS = ".,!?;:"
+_MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)\Z")
 _workers: dict[str, "Pieces"] = {}
 
 
@@ -35,20 +37,29 @@ class Pieces(dict):
         self._older: dict[str, bytes] = {}
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        self._model = self._tokenizer.model
+        # the byte-level alphabet: printable Latin-1 stands for itself, other bytes for 256, 257, ...
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self._letters = {b: n + 256 for n, b in enumerate(b for b in range(256) if b not in set(plain))}
 
     def _encode(self, piece: str) -> bytes:
         import numpy as np
 
         return np.array(self._tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self._letters)
+        return b"".join(t.id.to_bytes(4, "little") for t in self._model.tokenize(spelled))
+
     def __missing__(self, piece: str) -> bytes:
-        # letters and the mark of punctuation behind them are encoded apart, and case does not count
         if (ids := self._older.get(piece)) is not None:
             pass
-        elif len(piece) > 1 and piece[-1] in _ENDS and piece[:-1].lower().isalpha():
-            ids = self[piece[:-1]] + self[piece[-1]]
-        elif piece.isascii() and not piece.islower() and piece.isalpha():
-            ids = self[piece.lower()]
+        elif (m := _MARKED.match(piece)) and m[1].lower().isalpha():
+            # letters, then marks: the vocabulary splits between them
+            ids = self[m[1]] + self[m[2]]
+        elif (low := piece.lower()).isalpha() and len(low) == len(piece) and "Σ" not in piece and unicodedata.is_normalized("NFC", piece):
+            # one word of letters: the model alone, without the normaliser and splitter
+            ids = self[low] if low != piece else self._word(piece)
         else:
             ids = self._encode(piece)
         if len(piece) <= CACHE_CHARS:
