@@ -4,8 +4,20 @@ from __future__ import annotations
 
 from tarmac.llm.ogg import op1_ogg_media
 from tarmac.llm.packing import op7_differencing_packing
+from tarmac.llm.quality import op6_site_shrunk_quality
+from tarmac.llm.raking import op10_raked_mixture
 from tarmac.llm.sharding import op4_interleaved_shards
 from tarmac.llm.toxicity import op2_clause_grammar_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_ogg_media, op2_clause_grammar_toxicity, op4_interleaved_shards, op7_differencing_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ogg_media,
+        op2_clause_grammar_toxicity,
+        op4_interleaved_shards,
+        op6_site_shrunk_quality,
+        op7_differencing_packing,
+        op10_raked_mixture,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
