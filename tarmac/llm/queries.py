@@ -6,7 +6,10 @@ from tarmac.llm.ogg import op1_ogg_media
 from tarmac.llm.packing import op7_differencing_packing
 from tarmac.llm.quality import op6_site_shrunk_quality
 from tarmac.llm.raking import op10_raked_mixture
+from tarmac.llm.separators import op5_separator_scan
 from tarmac.llm.sharding import op4_interleaved_shards
+from tarmac.llm.token_rows import op3_best_fit_token_rows
+from tarmac.llm.topk import op9_sorted_list_topk
 from tarmac.llm.toxicity import op2_clause_grammar_toxicity
 
 QUERIES = {
@@ -14,9 +17,12 @@ QUERIES = {
     for f in (
         op1_ogg_media,
         op2_clause_grammar_toxicity,
+        op3_best_fit_token_rows,
         op4_interleaved_shards,
+        op5_separator_scan,
         op6_site_shrunk_quality,
         op7_differencing_packing,
+        op9_sorted_list_topk,
         op10_raked_mixture,
     )
 }
