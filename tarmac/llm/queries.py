@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tarmac.llm.jaccard import op8_pivot_jaccard_components
 from tarmac.llm.ogg import op1_ogg_media
 from tarmac.llm.packing import op7_differencing_packing
 from tarmac.llm.quality import op6_site_shrunk_quality
@@ -22,6 +23,7 @@ QUERIES = {
         op5_separator_scan,
         op6_site_shrunk_quality,
         op7_differencing_packing,
+        op8_pivot_jaccard_components,
         op9_sorted_list_topk,
         op10_raked_mixture,
     )
