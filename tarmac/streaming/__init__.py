@@ -1,0 +1 @@
+"""Empty: the query surface is batch only."""
