@@ -182,7 +182,8 @@ class ToxicityModel:
         kinds = [pa.float64()]
         if spans_col:
             names.append(free_name([*df.columns, *names], spans_col))
-            schema = schema.add(names[1], "array<struct<start:int,end:int,score:double,pattern:string>>")
+            clause = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("pattern", T.StringType())])
+            schema = schema.add(names[1], T.ArrayType(clause))
             kinds.append(pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("pattern", pa.string())])))
         at, lexicon, weights = df.columns.index(text_col), self.lexicon, self.weights
 
