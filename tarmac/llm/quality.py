@@ -137,10 +137,11 @@ def with_posteriors(df: DataFrame, evidence: DataFrame, p_col: str, host: str, p
     k_path = _strength(s[0] or 0.0, m, float(s[1] or 0), float(s[2] or 0), float(s[3]) - groups + 1)
 
     small = paths.count() <= BROADCAST_SITES
-    j = df.alias("d").join(F.broadcast(sites) if small else sites, F.col(f"d.{host}").eqNullSafe(F.col("_host")) & F.col(f"d.{path}").eqNullSafe(F.col("_path")), "left")
+    same = F.col(f"d.{host}").eqNullSafe(F.col("s._host")) & F.col(f"d.{path}").eqNullSafe(F.col("s._path"))
+    j = df.alias("d").join((F.broadcast(sites) if small else sites).alias("s"), same, "left")
     own, one = F.col(f"d.{p_col}"), F.lit(1)
-    theta_h = (F.lit(k_host * m) + F.col("_sh") - own) / (F.lit(k_host) + F.col("_nh") - one)
-    theta_p = (F.lit(k_path) * theta_h + F.col("_sp") - own) / (F.lit(k_path) + F.col("_np") - one)
+    theta_h = (F.lit(k_host * m) + F.col("s._sh") - own) / (F.lit(k_host) + F.col("s._nh") - one)
+    theta_p = (F.lit(k_path) * theta_h + F.col("s._sp") - own) / (F.lit(k_path) + F.col("s._np") - one)
     bound = lambda c: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), c))
     logit = lambda c: F.log(bound(c) / (1 - bound(c)))
     score: Column = logit(own) + logit(theta_p) - F.lit(math.log(m / (1 - m)))

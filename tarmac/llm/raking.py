@@ -147,18 +147,23 @@ def mix(df: DataFrame, evidence: DataFrame, dims: list[str], tokens: str, target
     return out.withColumn(names[2], (drawn < F.col(names[1])).cast("int"))
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """``docs`` with the topic and the words of each whole text, as _topic and _words (renamed if taken)."""
+def described(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with the topic and the number of words of each whole text, and the names of those two columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("_topic", topic(text)).withColumn("_words", F.when(F.trim(text) == "", 0).otherwise(F.size(F.split(F.trim(text), r"\s+"))).cast("long"))
+    names = free_name(docs.columns, "_topic"), free_name(docs.columns, "_words")
+    words = F.when(F.trim(text) == "", 0).otherwise(F.size(F.split(F.trim(text), r"\s+"))).cast("long")
+    return docs.withColumn(names[0], topic(text)).withColumn(names[1], words), *names
 
 
-TARGETS: dict = {"source": TEMPERATURE, "lang": TEMPERATURE, "_topic": TEMPERATURE}
+def targets(topic_col: str) -> dict:
+    """The production targets: shares of sources, languages and topics raised to ``TEMPERATURE``."""
+    return {"source": TEMPERATURE, "lang": TEMPERATURE, topic_col: TEMPERATURE}
 
 
 def op10_raked_mixture(spark, sf_dir: str) -> DataFrame:
     """Every document's cell, tokens, raked weight and probability, and whether it is drawn."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
-    docs = written(described(docs).drop("text"))
-    out = mix(docs, docs, ["source", "lang", "_topic"], "_words", TARGETS, key=["doc_id"])
-    return out.withColumnsRenamed({"_topic": "topic", "_words": "n_tokens"})
+    known, kind, words = described(docs)
+    known = written(known.drop("text"))
+    out = mix(known, known, ["source", "lang", kind], words, targets(kind), key=["doc_id"])
+    return out.withColumnsRenamed({kind: "topic", words: "n_tokens"})

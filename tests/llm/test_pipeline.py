@@ -1,0 +1,115 @@
+"""The pipeline against its operators' plain meaning, on a small corpus with planted cases."""
+
+import os
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tarmac.llm import storage
+
+INSULTS = ["idiot", "moron", "scum"]
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    rnd = random.Random(11)
+    vocabulary = ["".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(2, 7))) for _ in range(900)]
+    prose = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n)).capitalize() + "."
+    rows, labels = [], []
+
+    def add(text, good, toxic):
+        i = len(rows)
+        rows.append((i, text, rnd.choice(["en", "de"]), f"src{i % 3}", len(text)))
+        labels.append((i, good, toxic))
+        return i
+
+    kind = {k: [] for k in ("clean", "toxic", "junk", "copies")}
+    for _ in range(160):
+        kind["clean"].append(add(prose(rnd.randint(40, 120)), 1, 0))
+        kind["toxic"].append(add(f"{prose(30)} You {rnd.choice(INSULTS)}, {rnd.choice(INSULTS)}! {prose(30)}", 1, 1))
+        kind["junk"].append(add(" ".join(f"{w.upper()}!!" for w in prose(60).split()), 0, 0))
+    for i in kind["clean"][:20]:
+        words = rows[i][1].split()
+        words[0] = "Changed"
+        kind["copies"] += [add(rows[i][1], 1, 0), add(" ".join(words), 1, 0)]
+    where = str(tmp_path_factory.mktemp("corpus"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    return where, kind
+
+
+def ids(df):
+    return Counter(r["doc_id"] for r in df.select("doc_id").collect())
+
+
+def test_stages_keep_what_is_clean(spark, corpus):
+    where, kind = corpus
+    docs = spark.read.parquet(f"{where}/documents.parquet").withColumns({"score": F.lit(1), "_host": F.lit("x"), "_topic": F.lit("mine")})
+    stages = dict(corpus_pipeline.STAGES)
+    names = docs.columns
+    docs = storage.written(stages["toxicity"](spark, docs, where))
+    assert docs.columns == names and ids(docs) == Counter([*kind["clean"], *kind["junk"], *kind["copies"]])
+    docs = storage.written(stages["quality"](spark, docs, where))
+    assert docs.columns == names and ids(docs) == Counter([*kind["clean"], *kind["copies"]])
+    docs = storage.written(stages["near_copies"](spark, docs, where))
+    assert docs.columns == names and ids(docs) == Counter(kind["clean"])
+    drawn = storage.written(stages["mixture"](spark, docs, where))
+    assert drawn.columns == names and set(ids(drawn)) <= set(kind["clean"]) and 40 < drawn.count() <= 160
+    assert drawn.where("_topic = 'mine'").count() == drawn.count()
+    packed = stages["packing"](spark, drawn, where)
+    assert set(ids(packed)) == set(ids(drawn))
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_run_is_its_stages(spark, corpus):
+    where, _ = corpus
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = storage.written(stage(spark, docs, where))
+    cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    count = lambda df: Counter(map(tuple, df.select(*cols).collect()))
+    assert count(docs) == count(corpus_pipeline.run(spark, where))
+
+
+def test_empty_tables_pass_through(spark, corpus, tmp_path):
+    where, _ = corpus
+    none = spark.read.parquet(f"{where}/documents.parquet").where("false")
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{where}/labels.parquet").where("false").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    from tarmac.llm.queries import QUERIES
+
+    spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert all(q(spark, str(tmp_path)).count() == 0 for q in QUERIES.values())
+
+
+def test_nulls_in_every_column(spark, corpus, tmp_path):
+    where, _ = corpus
+    docs = spark.read.parquet(f"{where}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "x", None, "src0", 1), (5000, None, "en", None, None), (5000, "", None, None, 0)], docs.schema)
+    docs.unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.read.parquet(f"{where}/labels.parquet")
+    labels.unionByName(spark.createDataFrame([(None, 1, 1), (3, None, None)], labels.schema)).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, None), (0, [0.5, 0.25]), (50, None), (7, [1.0, None])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    from tarmac.llm.queries import QUERIES
+
+    n = docs.count() + 4
+    for name, query in QUERIES.items():
+        got = query(spark, str(tmp_path))
+        if name.startswith(("op1_", "op2_", "op4_", "op5_", "op6_", "op8_", "op10_")):
+            assert got.count() == n, name
+        else:
+            got.collect()
+    assert corpus_pipeline.run(spark, str(tmp_path)).where("doc_id < 5000").count() > 0
+
+
+def test_shared_folder_is_the_sessions(spark):
+    assert storage.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    table = storage.written(spark.range(3))
+    assert os.path.exists(table._tarmac_path) and storage.gathered(table).rdd.getNumPartitions() == 1
+    assert storage.gathered(table, 2) is table
+    storage.dropped(table)
+    assert not os.path.exists(table._tarmac_path)
