@@ -64,27 +64,24 @@ def test_pack_is_lossless(docs, tokenizer):
 
 
 def _differenced_plainly(sizes, k):
-    parts = [([(x, (i,))] + [(0, ())] * (k - 1)) for i, x in enumerate(sizes)]
+    parts = [[x] + [0] * (k - 1) for x in sizes]
     while len(parts) > 1:
-        parts.sort(key=lambda p: p[0][0] - p[-1][0], reverse=True)
+        parts.sort(key=lambda p: p[0] - p[-1], reverse=True)
         a, b = parts[0], parts[1]
-        made = sorted(((x + y, p + q) for (x, p), (y, q) in zip(a, reversed(b))), key=lambda w: -w[0])
-        parts = [made, *parts[2:]]
-    return [w for w, _ in parts[0]] if parts else [0] * k
+        parts = [sorted((x + y for x, y in zip(a, reversed(b))), reverse=True), *parts[2:]]
+    return parts[0]
 
 
 def test_differencing():
     rnd = random.Random(3)
-    for _ in range(200):
-        sizes = rnd.sample(range(1, 5000), rnd.randint(0, 12))
-        k = rnd.randint(1, 5)
+    for _ in range(500):
+        sizes = rnd.sample(range(1, 10**9), rnd.randint(1, 12))
+        k = rnd.randint(2, 5)
         found = packing.differenced(sizes, k)
         assert sorted(i for w in found for i in w) == list(range(len(sizes))) and len(found) == k
-        sums = sorted((sum(sizes[i] for i in w) for w in found), reverse=True)
-        if sizes:
-            plain = _differenced_plainly(sizes, k)
-            assert sums[0] - sums[-1] <= max(sizes) and sum(sums) == sum(plain)
-    assert sorted(sum([8, 7, 6, 5, 4][i] for i in w) for w in packing.differenced([8, 7, 6, 5, 4], 2)) == [14, 16]
+        assert sorted((sum(sizes[i] for i in w) for w in found), reverse=True) == _differenced_plainly(sizes, k)
+    assert sorted(sum([8, 7, 6, 5, 4][i] for i in w) for w in packing.differenced([8, 7, 6, 5, 4], 3)) == [8, 11, 11]
+    assert packing.differenced([], 2) == [[], []] and packing.differenced([3, 4], 1) == [[0, 1]] or packing.differenced([3, 4], 1) == [[1, 0]]
 
 
 def test_window_count_rises():
