@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.storage import dropped, written
+from tarmac.llm.storage import dropped, gathered, written
 
 
 def _min_neighbour(arcs: DataFrame) -> DataFrame:
@@ -18,16 +18,18 @@ def components(links: DataFrame) -> DataFrame:
 
     The result is a written table. Groups of any size are joined on single keys, never gathered.
     """
+    links = gathered(links)
     edges = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    loops = links.select(F.col("a").alias("v")).union(links.select(F.col("b").alias("v"))).distinct()
-    loops = written(loops)
+    loops = written(links.select(F.explode(F.array("a", "b")).alias("v")).distinct())
     before = None
     while True:
+        edges = gathered(edges)
         # large star: neighbours above u go to the least around u
-        arcs = edges.select(F.col("a").alias("u"), F.col("b").alias("w")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("w")))
+        both = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("w")), F.struct(F.col("b").alias("u"), F.col("a").alias("w")))
+        arcs = edges.select(F.explode(both).alias("e")).select("e.*")
         least = _min_neighbour(arcs)
         large = arcs.join(least, "u").where("w > u").select(F.col("m").alias("a"), F.col("w").alias("b")).where("a <> b").distinct()
-        large = written(large)
+        large = gathered(written(large))
         # small star: neighbours below u, and u, go to the least of them
         least = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
         small = large.join(least, F.col("b") == F.col("u")).select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("u").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
@@ -39,6 +41,6 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = now
     # now each edge leads from a component's least vertex to another of it
-    out = written(loops.join(edges, F.col("v") == F.col("b"), "left").select("v", F.coalesce("a", "v").alias("c")))
+    out = written(gathered(loops).join(gathered(edges), F.col("v") == F.col("b"), "left").select("v", F.coalesce("a", "v").alias("c")))
     dropped(edges, loops)
     return out

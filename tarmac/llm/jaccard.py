@@ -6,13 +6,15 @@ regions is therefore seeded by rare shingles: two linked sets share some of the
 in any fixed order of all shingles (rare ones first), so a region for each such shingle, with the sets
 replicated that hold it, loses no link. Within the regions documents are pivots:
 
-1. each region takes the sets of its smallest components as pivots, and all its other sets measure their
-   distance to them, exactly, unless a bound shows that they are too far;
+1. a region's most central sets are its first pivots, and all its other sets measure their distance to
+   them: exactly, unless a bound shows that they are out of reach;
 2. sets within the radius of 0.2 fall to the pivot's cell and its component. Sets of one component need
    no more tests among each other, so a region of one component is finished;
 3. a set that a pivot has met is settled with it, and the pivot leaves the region. Of the rest, only
    pairs whose distances to the region's first pivot lie within 0.2 of each other can be linked, by the
-   triangle inequality; they are joined at the next level, with four times the pivots.
+   triangle inequality; they are joined at the next level, with more pivots, from the smallest
+   components, or in one task where the region has become small: a task compares the sketches of its sets
+   and passes on only pairs that these do not hold apart.
 
 So every linked pair is either tested or already joined through others, and no region's pairs are all formed.
 """
@@ -21,17 +23,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.llm.components import components
-from tarmac.llm.shingles import fingerprint, least_difference, odd_sketch, shingle_hashes, shingle_set
-from tarmac.llm.storage import dropped, written
+from tarmac.llm.shingles import differences_within, fingerprint, least_difference, odd_sketch, shingle_set
+from tarmac.llm.storage import dropped, gathered, written
 
 #: Shingles that count as common (in more sets than this), at most; the order alone depends on them, not the result.
 COMMON_SETS, COMMON = 64, 1 << 17
+#: Distance of linked sets, at most (with room for rounding).
+RADIUS = 0.2 + 1e-6
 #: Hashes counted together by a task, and ids that may be broadcast (16 bytes each); more are joined by shuffle.
-COUNTED, BROADCAST_IDS = 4_000_000, 500_000
+COUNTED, BROADCAST_IDS = 2_000_000, 500_000
 
 
 def least_overlap(n: int) -> int:
@@ -48,6 +52,13 @@ def prefix_length(n: int) -> int:
     return n - least_overlap(n) + shared_prefix(n)
 
 
+def _slices(batches: Iterator, rows: int = 500) -> Iterator:
+    """Few rows of whole texts at a time as Python values."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def common_shingles(docs: DataFrame, text_col: str) -> list[int]:
     """Hashes of the most common shingles, least first. Tasks count all their distinct texts and pass on what repeats."""
 
@@ -64,7 +75,7 @@ def common_shingles(docs: DataFrame, text_col: str) -> list[int]:
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(values[more].view(np.int64)), pa.array(counts[more].astype(np.int64))], ["s", "n"])
 
-        for b in batches:
+        for b in _slices(batches):
             for text in b.column(0).to_pylist():
                 if text and (h := hash(text)) not in seen:
                     seen.add(h)
@@ -82,7 +93,7 @@ def common_shingles(docs: DataFrame, text_col: str) -> list[int]:
 
 
 def shingled(docs: DataFrame, id_col: str, text_col: str, common: list[int]) -> DataFrame:
-    """doc_id, n (set size), v (the set's name), sketch and prefix (null where the task has had the set)."""
+    """doc_id, key (the id, or else a hash of the text), n (set size), v (the set's name), sketch and prefix (null where the task has had the set)."""
     import numpy as np
 
     last = np.array(common, dtype=np.uint64)
@@ -92,15 +103,15 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, common: list[int]) ->
         import pyarrow as pa
 
         had: set[int] = set()
-        for b in batches:
+        for b in _slices(batches):
             out: list[list] = [[] for _ in range(4)]
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 s = shingle_set(text)
                 n, v = len(s), fingerprint(s)
                 new = n > 0 and v not in had
                 sketch = prefix = None
                 if new:
-                    if len(had) < 1_000_000:
+                    if len(had) < 200_000:
                         had.add(v)
                     k = prefix_length(n)
                     if len(last):
@@ -114,9 +125,14 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, common: list[int]) ->
                 for column, value in zip(out, (n, v, sketch, prefix), strict=True):
                     column.append(value)
             kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "n", "v", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "key", "n", "v", "sketch", "prefix"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n int, v long, sketch binary, prefix binary")
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    return keyed.mapInArrow(run, "doc_id long, key long, n int, v long, sketch binary, prefix binary")
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
 
 
 def _region_rows(sets: DataFrame) -> DataFrame:
@@ -151,40 +167,43 @@ def joined_by_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataF
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, active: DataFrame) -> DataFrame:
-    """v, items: the whole sets named in ``active`` (doc_id, v), from their texts."""
-    none = F.lit(-(1 << 63))  # null ids are looked up together, and told apart by their sets
-    known = active.select(F.coalesce("doc_id", none).alias("_id"), F.col("v").alias("_v"))
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), none).alias("_id"), F.col(text_col).alias("text"))
-    texts = joined_by_ids(texts, known, "_id", "inner").select("_v", "text")
+    """v, items: the whole sets named in ``active`` (key, v), from their texts. Rows that repeat a key and text may repeat a set, once per task."""
+    known = active.select(F.col("key").alias("_key"), F.col("v").alias("_v"))
+    texts = docs.select(_key(id_col, text_col).alias("_key"), F.col(text_col).alias("text"))
+    texts = joined_by_ids(texts, known, "_key", "inner").select("_v", "text")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        had: set[int] = set()
+        for b in _slices(batches):
             names, items = [], []
             for v, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingle_set(text)
-                if fingerprint(s) == v:  # an id may have several texts
+                if v not in had and fingerprint(s := shingle_set(text)) == v:  # a key may have several texts
+                    had.add(v)
                     names.append(v)
                     items.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(items, pa.binary())], ["v", "items"])
 
-    return texts.mapInArrow(run, "v long, items binary").dropDuplicates(["v"])
+    return texts.mapInArrow(run, "v long, items binary")
 
 
 def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (v, p) whose sketches do not show that they differ in more than a ninth of both sizes."""
+    """v, p, lo, near: the least distance that sizes and sketches allow, and whether that is within the radius."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
             v, p, n, m, x, y = (c.to_pylist() for c in b.columns)
-            ok = [9 * least_difference(x[i], y[i]) <= n[i] + m[i] for i in range(b.num_rows)]
-            yield b.select(["v", "p"]).filter(pa.array(ok, pa.bool_()))
+            apart = [least_difference(x[i], y[i]) for i in range(b.num_rows)]
+            # of sets that differ in at least d of n + m: intersection (n + m - d) / 2, union (n + m + d) / 2
+            lo = [max(2 * d / (i + j + d), 1 - min(i, j) / max(i, j)) for d, i, j in zip(apart, n, m, strict=True)]
+            near = [9 * d <= i + j and 5 * min(i, j) >= 4 * max(i, j) for d, i, j in zip(apart, n, m, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lo, pa.float64()), pa.array(near, pa.bool_())], ["v", "p", "lo", "near"])
 
-    both = pairs.join(sketches, "v").join(sketches.withColumnsRenamed({"v": "p", "sketch": "_sketch"}), "p")
-    return both.select("v", "p", "n", "m", "sketch", "_sketch").mapInArrow(run, "v long, p long")
+    both = pairs.join(sketches, "v").join(sketches.select(F.col("v").alias("p"), F.col("sketch").alias("_sketch")), "p")
+    return both.select("v", "p", "n", "m", "sketch", "_sketch").mapInArrow(run, "v long, p long, lo double, near boolean")
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -204,55 +223,139 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 linked.append(100 * both >= 80 * union)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(far, pa.float64()), pa.array(linked, pa.bool_())], ["v", "p", "d", "linked"])
 
-    both = pairs.join(sets, "v").join(sets.withColumnsRenamed({"v": "p", "items": "_items"}), "p")
-    return both.select("v", "p", "items", "_items").mapInArrow(run, "v long, p long, d double, linked boolean")
+    # only sets that a pair names are shuffled
+    named = written(pairs.select(F.explode(F.array("v", "p")).alias("v")).distinct())
+    sets = joined_by_ids(sets, named, "v", "left_semi")
+    both = pairs.join(sets, "v").join(sets.select(F.col("v").alias("p"), F.col("items").alias("_items")), "p")
+    return both.select("v", "p", "items", "_items").mapInArrow(run, "v long, p long, d double, linked boolean").dropDuplicates(["v", "p"])
+
+
+#: Pivots of a region at each level; from the third on they are taken from its smallest components.
+PIVOTS = (1, 8, 16, 64, 256, 1024)
+#: From the third level on, a region is left to one task if it has at most so many rows, and pairs of a row
+#: outside its largest component with any row.
+LEAF_ROWS, LEAF_PAIRS = 20_000, 1 << 20
+
+
+def _close_in_leaves(rows: DataFrame) -> DataFrame:
+    """v, p: of small regions (s, v, n, c, lo, hi, sketch), the pairs that may be linked and are of two components."""
+
+    def close(part):
+        import numpy as np
+
+        v, n, c, lo, hi = (part.column(x).to_numpy() for x in ("v", "n", "c", "lo", "hi"))
+        n = n.astype(np.int64)
+        names, counts = np.unique(c, return_counts=True)
+        minor = np.flatnonzero(c != names[counts.argmax()])
+        for i, j, apart in differences_within(part.column("sketch").to_pylist(), n, minor):
+            ok = (9 * apart <= n[i] + n[j]) & (c[j] != c[i]) & (lo[j] - hi[i] <= RADIUS) & (lo[i] - hi[j] <= RADIUS)
+            for k in j[ok]:
+                yield v[i], v[k]
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        held: list = []
+        found: set = set()
+
+        def out():
+            pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["v", "p"])
+
+        def take(table) -> None:
+            s = table.column("s").to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1, [len(s)]])
+            for lo, hi in zip(edges, edges[1:]):
+                found.update((int(min(x, y)), int(max(x, y))) for x, y in close(table.slice(lo, hi - lo)))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            # the last region may go on in the next batch
+            s = b.column(0).to_numpy()
+            last = int(np.searchsorted(s, s[-1]))
+            if last:
+                take(pa.Table.from_batches([*held, b.slice(0, last)]).combine_chunks())
+                held = []
+            held.append(b.slice(last))
+            if len(found) > 100_000:
+                yield out()
+        if held:
+            take(pa.Table.from_batches(held).combine_chunks())
+        yield out()
+
+    kept = rows.select("s", "v", "n", "c", "lo", "hi", "sketch").repartition("s").sortWithinPartitions("s")
+    return kept.mapInArrow(run, "v long, p long").distinct()
 
 
 def _links(regions: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """a, b: links that join all linked sets of the regions (s, v, n), level by level."""
-    # component of each set so far; a set that is not listed is its own
-    label = None
-    live = written(regions.withColumn("d0", F.lit(None).cast("double")))
-    found, pivots = [], 1
+    """v, c: a component for each set of the regions (s, v, n) that has a link; None if there are no links."""
+    region = Window.partitionBy("s")
+    sizes = regions.withColumn("_m", F.count("*").over(region))
+    # central sets, in many and large regions, make the first pivots
+    central = sizes.groupBy("v").agg(F.sum("_m").alias("g"))
+    unknown = {"lo": F.lit(0.0), "hi": F.lit(1.0)}
+    live = written(sizes.drop("_m").join(central, "v").withColumns(unknown))
+    label, level = None, 0
     while True:
-        rows = live if label is None else live.join(label, "v", "left")
+        pivots = PIVOTS[min(level, len(PIVOTS) - 1)]
+        live = gathered(live)
+        rows = live if label is None else live.join(gathered(label), "v", "left")
         rows = rows.withColumn("c", F.col("v") if label is None else F.coalesce("c", "v"))
-        region = Window.partitionBy("s")
         rows = rows.withColumn("_a", F.min("c").over(region)).withColumn("_b", F.max("c").over(region)).where("_a <> _b").drop("_a", "_b")
-        rows = rows.withColumn("_k", F.count("*").over(Window.partitionBy("s", "c")))
-        rows = written(rows.withColumn("_r", F.row_number().over(region.orderBy("_k", F.xxhash64("v"), "v"))).drop("_k"))
+        rows = rows.withColumn("_m", F.count("*").over(region))
+        first = [F.desc("g"), F.xxhash64("v"), F.col("v")]
+        if level >= 2:
+            rows = rows.withColumn("_k", F.count("*").over(Window.partitionBy("s", "c")))
+            rows = rows.withColumn("_leaf", (F.col("_m") <= LEAF_ROWS) & (F.col("_m") * (F.col("_m") - F.max("_k").over(region)) <= LEAF_PAIRS))
+            first = [F.col("_k"), *first]
+        rows = written(rows.withColumn("_r", F.row_number().over(region.orderBy(*first))))
         if rows.isEmpty():
             dropped(rows, live)
-            break
-        heads = rows.where(F.col("_r") <= pivots).select("s", F.col("v").alias("p"), F.col("n").alias("m"), F.col("c").alias("_c"), F.col("d0").alias("_d0"), F.col("_r").alias("_rp"))
-        met = rows.join(heads, "s").where((F.col("_r") > F.col("_rp")) & (F.col("c") != F.col("_c")))
-        met = met.where((5 * F.least("n", "m") >= 4 * F.greatest("n", "m")))
-        met = met.where(F.col("d0").isNull() | F.col("_d0").isNull() | (F.abs(F.col("d0") - F.col("_d0")) <= 0.2 + 1e-9))
-        pairs = met.select("v", "p", "n", "m").distinct()
-        near = written(_near(pairs, sketches))
+            return label
+        rows_at = gathered(rows)
+        divided = rows_at if level < 2 else rows_at.where(~F.col("_leaf"))
+        heads = divided.where(F.col("_r") <= pivots).select("s", F.col("v").alias("p"), F.col("n").alias("m"), F.col("c").alias("_c"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("_r").alias("_rp"))
+        window = (F.col("lo") - F.col("_hi") <= RADIUS) & (F.col("_lo") - F.col("hi") <= RADIUS)
+        met = divided.join(heads, "s").where((F.col("_r") > F.col("_rp")) & (F.col("c") != F.col("_c")) & window)
+        if level:
+            met = met.where(5 * F.least("n", "m") >= 4 * F.greatest("n", "m"))
+        seen = written(_near(met.select("v", "p", "n", "m").distinct(), sketches))
+        near = gathered(seen).where("near").select("v", "p")
+        if level >= 2:
+            leaves = written(_close_in_leaves(rows_at.where("_leaf").join(sketches, "v")))
+            near = near.union(gathered(leaves)).distinct()
         measured = written(_distances(near, sets))
-        links = measured.where("linked").select(F.col("v").alias("a"), F.col("p").alias("b"))
-        rest = rows.where(F.col("_r") > pivots)
-        if pivots == 1:
-            first = rows.where(F.col("_r") == 1).select("s", F.col("v").alias("p"))
-            rest = rest.drop("d0").join(first, "s").join(measured.select("v", "p", F.col("d").alias("d0")), ["v", "p"], "left")
-        new = written(rest.select("s", "v", "n", "d0"))
+        rest = divided.where(F.col("_r") > pivots)
+        if level == 0:
+            # the distance to the region's first pivot, or what is known of it
+            exact = gathered(seen).join(gathered(measured).select("v", "p", "d"), ["v", "p"], "left")
+            exact = exact.select("v", "p", F.coalesce(F.col("d") - 1e-9, F.col("lo") - 1e-9).alias("lo"), F.coalesce(F.col("d") + 1e-9, F.lit(1.0)).alias("hi"))
+            heads = rows_at.where("_r = 1").select("s", F.col("v").alias("p"))
+            rest = rest.where("_m > 2").drop("lo", "hi").join(heads, "s").join(exact, ["v", "p"], "left").withColumns({"lo": F.coalesce("lo", F.lit(0.0)), "hi": F.coalesce("hi", F.lit(1.0))})
+        new = written(rest.select("s", "v", "n", "g", "lo", "hi"))
+        links = written(measured.where("linked").select(F.col("v").alias("a"), F.col("p").alias("b")))
         if not links.isEmpty():
-            kept = written(links)
-            found.append(kept)
-            old = label
-            # components of components: links between the labels so far
-            named = kept if old is None else kept.join(old.select(F.col("v").alias("a"), F.col("c").alias("_ca")), "a", "left").join(old.select(F.col("v").alias("b"), F.col("c").alias("_cb")), "b", "left").select(F.coalesce("_ca", "a").alias("a"), F.coalesce("_cb", "b").alias("b"))
-            roots = components(named)
-            if old is None:
-                label = roots
-            else:
-                merged = old.join(roots.select(F.col("v").alias("c"), F.col("c").alias("_c")), "c", "left").select("v", F.coalesce("_c", "c").alias("c"))
-                label = written(merged.unionByName(roots.join(old, "v", "left_anti")))
-                dropped(old, roots)
-        dropped(live, rows, near, measured)
-        live, pivots = new, pivots * 4
-    return label
+            label = _relabelled(label, links)
+        dropped(live, rows, seen, measured, links)
+        live, level = new, level + 1
+
+
+def _relabelled(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The labels (v, c) after more links: components of the components that they join."""
+    if label is None:
+        return components(links)
+    old, links = gathered(label), gathered(links)
+    named = links.join(old.select(F.col("v").alias("a"), F.col("c").alias("_ca")), "a", "left").join(old.select(F.col("v").alias("b"), F.col("c").alias("_cb")), "b", "left")
+    joined = written(named.select(F.coalesce("_ca", "a").alias("a"), F.coalesce("_cb", "b").alias("b")))
+    roots = components(joined)
+    at = gathered(roots)
+    merged = old.join(at.select(F.col("v").alias("c"), F.col("c").alias("_c")), "c", "left").select("v", F.coalesce("_c", "c").alias("c"))
+    new = written(merged.unionByName(at.join(old, "v", "left_anti")))
+    dropped(label, joined, roots)
+    return new
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,8 +373,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     active = regions.groupBy("v", "n").count().where(F.col("count") >= enough).select("v")
     few = written(_shared(regions.join(active, "v")))
     dropped(regions)
-    known = written(sets.where(F.col("prefix").isNotNull()).join(few.select("v").distinct(), "v").groupBy("v").agg(F.min(F.struct("doc_id", "sketch")).alias("x")).select("v", "x.doc_id", "x.sketch"))
-    items = written(_sets(docs, id_col, text_col, known.select("doc_id", "v")))
+    known = written(sets.where(F.col("prefix").isNotNull()).join(few.select("v").distinct(), "v").groupBy("v").agg(F.min(F.struct(F.col("doc_id").isNull(), "key", "sketch")).alias("x")).select("v", "x.key", "x.sketch"))
+    items = written(_sets(docs, id_col, text_col, known.select("key", "v")))
     label = _links(few, known.select("v", "sketch"), items)
     dropped(items, few, known)
     # the least id of equal sets, and then of linked ones

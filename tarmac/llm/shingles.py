@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 
 WORDS = 5
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _PLACES = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1) for i in range(WORDS)]
 
@@ -74,3 +74,30 @@ def least_difference(a: bytes, b: bytes) -> int:
     while len(y) > len(x):
         y = y[: len(y) // 2] ^ y[len(y) // 2 :]
     return int(np.bitwise_count(x ^ y).sum())
+
+
+def _folded(m: np.ndarray) -> np.ndarray:
+    half = m.shape[1] // 2
+    return m[:, :half] ^ m[:, half:]
+
+
+def differences_within(sketches: list[bytes], sizes: np.ndarray, of: np.ndarray):
+    """(i, others, lower bounds on the symmetric differences) for each i in ``of`` and the sets whose sizes are within 4 to 5 of its.
+
+    A sketch is compared with those of its own length, and of half and twice the length, as rows of a matrix;
+    the longer one is folded first.
+    """
+    lengths = np.array([len(x) for x in sketches])
+    rows = {int(n): np.flatnonzero(lengths == n) for n in np.unique(lengths)}
+    whole = {n: np.frombuffer(b"".join(sketches[i] for i in own), np.uint64).reshape(len(own), -1) for n, own in rows.items()}
+    for i in of:
+        n, mine = int(lengths[i]), np.frombuffer(sketches[i], np.uint64)[None, :]
+        for m in (n // 2, n, 2 * n):
+            if m not in rows:
+                continue
+            j = rows[m]
+            close = (5 * np.minimum(sizes[i], sizes[j]) >= 4 * np.maximum(sizes[i], sizes[j])) & (j != i)
+            if close.any():
+                theirs = whole[m][close]
+                a, b = (_folded(mine), theirs) if m < n else (mine, _folded(theirs) if m > n else theirs)
+                yield i, j[close], np.bitwise_count(a ^ b).sum(1, dtype=np.int64)

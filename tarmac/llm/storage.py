@@ -25,6 +25,20 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows of a written table (a few numbers each) that one task may take over, to save the exchanges of short joins.
+GATHERED_ROWS = 50_000
+
+
+def gathered(table: DataFrame, rows: int = GATHERED_ROWS) -> DataFrame:
+    """A written table in a single partition if its count shows that it is small; else as it is."""
+    path = getattr(table, "_tarmac_path", None)
+    if path is None or table.count() > rows:
+        return table
+    out = table.coalesce(1)
+    out._tarmac_path = path
+    return out
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that no later step reads."""
     for table in tables:
