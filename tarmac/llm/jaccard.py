@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarmac.llm.batches import slices
 from tarmac.llm.components import components
 from tarmac.llm.shingles import differences_within, fingerprint, least_difference, odd_sketch, shingle_set
 from tarmac.llm.storage import dropped, gathered, written
@@ -52,13 +53,6 @@ def prefix_length(n: int) -> int:
     return n - least_overlap(n) + shared_prefix(n)
 
 
-def _slices(batches: Iterator, rows: int = 500) -> Iterator:
-    """Few rows of whole texts at a time as Python values."""
-    for b in batches:
-        for lo in range(0, b.num_rows, rows):
-            yield b.slice(lo, rows)
-
-
 def common_shingles(docs: DataFrame, text_col: str) -> list[int]:
     """Hashes of the most common shingles, least first. Tasks count all their distinct texts and pass on what repeats."""
 
@@ -75,7 +69,7 @@ def common_shingles(docs: DataFrame, text_col: str) -> list[int]:
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(values[more].view(np.int64)), pa.array(counts[more].astype(np.int64))], ["s", "n"])
 
-        for b in _slices(batches):
+        for b in slices(batches):
             for text in b.column(0).to_pylist():
                 if text and (h := hash(text)) not in seen:
                     seen.add(h)
@@ -103,7 +97,7 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, common: list[int]) ->
         import pyarrow as pa
 
         had: set[int] = set()
-        for b in _slices(batches):
+        for b in slices(batches):
             out: list[list] = [[] for _ in range(4)]
             for text in b.column(2).to_pylist():
                 s = shingle_set(text)
@@ -176,7 +170,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, active: DataFrame) -> Dat
         import pyarrow as pa
 
         had: set[int] = set()
-        for b in _slices(batches):
+        for b in slices(batches):
             names, items = [], []
             for v, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if v not in had and fingerprint(s := shingle_set(text)) == v:  # a key may have several texts
@@ -194,7 +188,7 @@ def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             v, p, n, m, x, y = (c.to_pylist() for c in b.columns)
             apart = [least_difference(x[i], y[i]) for i in range(b.num_rows)]
             # of sets that differ in at least d of n + m: intersection (n + m - d) / 2, union (n + m + d) / 2
@@ -213,7 +207,7 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             far, linked = [], []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarmac.llm.batches import slices
 from tarmac.llm.storage import free_name
 
 RATE, BLOCK, STREAMS = 8000, 576, 2
@@ -177,7 +178,7 @@ def _mapped(df: DataFrame, column: str, new: str, of, kind) -> DataFrame:
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(name, from_arrow_type(kind))])
 
     def run(batches: Iterator) -> Iterator:
-        for b in batches:
+        for b in slices(batches):
             values = pa.array([of(v) for v in b.column(at).to_pylist()], kind)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in use), values], [*kept, name])
 

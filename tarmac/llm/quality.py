@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarmac.llm.batches import slices
 from tarmac.llm.storage import dropped, free_name, written
 from tarmac.llm.toxicity import held_out, labelled_sample
 
@@ -73,7 +74,7 @@ class QualityModel:
 
             from tarmac.llm.logistic import sigmoid
 
-            for b in batches:
+            for b in slices(batches):
                 x = np.array([text_features(t or "") for t in b.column(at).to_pylist()]).reshape(-1, len(NAMES))
                 z = ((x - mean) / scale) @ np.array(weights[:-1]) + weights[-1]
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in use), pa.array(sigmoid(z), pa.float64())], names)
@@ -90,7 +91,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, labe
     def features(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             x = [text_features(t or "") for t in b.column(1).to_pylist()]
             y = [float(v > 0) for v in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in x], pa.float64()) for i in range(len(NAMES))), pa.array(y, pa.float64())], [*NAMES, "y"])

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarmac.llm.batches import slices
 from tarmac.llm.storage import free_name
 from tarmac.llm.tokens import pieces, tokenizer_path
 
@@ -59,7 +60,7 @@ def flat_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
             block += 1
             return pa.RecordBatch.from_arrays(cols, ["file", "block", "data", "tags"])
 
-        for b in batches:
+        for b in slices(batches):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 stream += np.frombuffer(encode(text), "<u4").astype(f"<u{width}").tobytes() + end
                 tags.append(doc)

@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 
 WORDS = 5
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _PLACES = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1) for i in range(WORDS)]
 

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.llm.batches import slices
 from tarmac.llm.tokens import END_ID, pieces, tokenizer_path
 
 CAPACITY, GROUP, PAD_ID = 2048, 2048, 0
@@ -125,7 +126,7 @@ def token_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
             rows.clear()
             return out
 
-        for b in batches:
+        for b in slices(batches):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = encode(text) + end
                 n = len(ids) // 4

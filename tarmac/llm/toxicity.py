@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarmac.llm.batches import slices
 from tarmac.llm.storage import dropped, free_name, written
 
 #: Labelled rows that the model is learned from, at most (those of the lowest hash); terms weighed, at most.
@@ -189,7 +190,7 @@ class ToxicityModel:
 
         def run(batches: Iterator) -> Iterator:
             scorer = Scorer(lexicon)
-            for b in batches:
+            for b in slices(batches):
                 scores, spans = [], []
                 for text in b.column(at).to_pylist():
                     found = scorer.clauses(text or "")
@@ -231,7 +232,7 @@ def _counted(sample: DataFrame, only: frozenset | None) -> DataFrame:
         import pyarrow as pa
 
         counts = (Counter(), Counter())
-        for b in batches:
+        for b in slices(batches):
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = _terms(text or "")
                 counts[label > 0].update(found & only if only is not None else found)
@@ -298,7 +299,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, lab
         import pyarrow as pa
 
         scorer = Scorer(lexicon)
-        for b in batches:
+        for b in slices(batches):
             x = [document_features(scorer.clauses(t or ""), len(t or "")) for t in b.column(1).to_pylist()]
             y = [float(v > 0) for v in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in x], pa.float64()) for i in range(7)), pa.array(y, pa.float64())], list("abcdefgy"))
