@@ -19,43 +19,57 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.llm.batches import slices
 from tarmac.llm.tokens import END_ID, pieces, tokenizer_path
 
 CAPACITY = 2048
 #: Pieces differenced together, and the longest piece that is not a whole window.
 GROUP, MAX_PIECE = 1024, 512
 
+#: Bits of a node's number.
+_NODE = 40
+
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 def differenced(sizes: list[int], k: int) -> list[list[int]]:
     """The indexes of ``sizes`` in k windows of near-equal sums.
 
-    A partition is kept as its loaded windows only, in falling order; those not listed are empty.
+    A partition is kept as its loaded windows only, in rising order; those not listed are empty. A window is
+    one number: its load, and below it the node of a tree whose leaves are the pieces.
     """
-    if not sizes:
+    n = len(sizes)
+    if not n:
         return [[] for _ in range(k)]
-    heap = []
-    for i, x in enumerate(sizes):
-        loads = [(x, [i])]
-        heap.append((-x if k > 1 else 0, i, loads))
+    low = (1 << _NODE) - 1
+    joined: list[tuple[int, int]] = []
+    heap = [(-x if k > 1 else 0, i, [x << _NODE | i]) for i, x in enumerate(sizes)]
     heapq.heapify(heap)
-    at = len(sizes)
-    while len(heap) > 1:
+    for at in range(n, 2 * n - 1):
         a = heapq.heappop(heap)[2]
         b = heapq.heappop(heap)[2]
-        # opposite ends: window j of the one meets window k - 1 - j of the other
         over = len(a) + len(b) - k
         if over <= 0:
             merged = a + b
         else:
-            merged = a[: len(a) - over] + b[: len(b) - over]
-            merged += [(x + y, p + q) for (x, p), (y, q) in zip(a[len(a) - over :], reversed(b[len(b) - over :]), strict=True)]
-        merged.sort(key=lambda w: -w[0])
-        least = merged[-1][0] if len(merged) == k else 0
-        heapq.heappush(heap, (least - merged[0][0], at, merged))
-        at += 1
-    out = [p for _, p in heap[0][2]]
+            # opposite ends: the emptiest windows of the one meet the fullest of the other
+            merged = a[over:] + b[over:]
+            for x, y in zip(a[:over], reversed(b[:over])):
+                merged.append((x >> _NODE) + (y >> _NODE) << _NODE | n + len(joined))
+                joined.append((x & low, y & low))
+        merged.sort()
+        least = merged[0] >> _NODE if len(merged) == k else 0
+        heapq.heappush(heap, (least - (merged[-1] >> _NODE), at, merged))
+    out = []
+    for w in heap[0][2]:
+        own, open_nodes = [], [w & low]
+        while open_nodes:
+            node = open_nodes.pop()
+            if node < n:
+                own.append(node)
+            else:
+                open_nodes += joined[node - n]
+        out.append(own)
     return out + [[] for _ in range(k - len(out))]
 
 
@@ -122,7 +136,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
                 number += 1
             held.clear()
 
-        for b in batches:
+        for b in slices(batches):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = encode(text) + end
                 n = len(ids) // 4
