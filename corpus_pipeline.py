@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tarmac.llm.jaccard import one_of_each
 from tarmac.llm.packing import pack
 from tarmac.llm.quality import fit_quality, with_posteriors
-from tarmac.llm.raking import described, mix, targets
+from tarmac.llm.raking import described, mix, targets, topical
 from tarmac.llm.storage import free_name, written
 from tarmac.llm.toxicity import fit_toxicity
 
@@ -44,8 +44,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that sources, languages and topics have their target shares of the tokens."""
-    known, kind, words = described(docs)
-    drawn = mix(known, known, ["source", "lang", kind], words, targets(kind), key=["doc_id"])
+    evidence, _, ids = described(docs, ["source", "lang"])
+    known, kind = topical(docs)
+    drawn = mix(known, evidence, ["source", "lang", kind], ids, targets(kind), key=["doc_id"])
     return drawn.where(F.col(drawn.columns[-1]) == 1).select(*docs.columns)
 
 

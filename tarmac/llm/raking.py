@@ -8,12 +8,16 @@ target shares without repeating a document.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tarmac.llm.batches import slices
 from tarmac.llm.storage import dropped, free_name, written
+from tarmac.llm.tokens import pieces, tokenizer_path
 
 #: Cells that may be raked in the driver and broadcast (some 100 bytes each); more are raked by Spark.
 DRIVER_CELLS = 50_000
@@ -147,12 +151,29 @@ def mix(df: DataFrame, evidence: DataFrame, dims: list[str], tokens: str, target
     return out.withColumn(names[2], (drawn < F.col(names[1])).cast("int"))
 
 
-def described(docs: DataFrame) -> tuple[DataFrame, str, str]:
-    """``docs`` with the topic and the number of words of each whole text, and the names of those two columns."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    names = free_name(docs.columns, "_topic"), free_name(docs.columns, "_words")
-    words = F.when(F.trim(text) == "", 0).otherwise(F.size(F.split(F.trim(text), r"\s+"))).cast("long")
-    return docs.withColumn(names[0], topic(text)).withColumn(names[1], words), *names
+def topical(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with the topic of each whole text, and that column's name."""
+    name = free_name(docs.columns, "_topic")
+    return docs.withColumn(name, topic(F.coalesce(F.col("text"), F.lit("")))), name
+
+
+def described(docs: DataFrame, keep: list[str], path: str | None = None) -> tuple[DataFrame, str, str]:
+    """Columns ``keep``, the topic and the number of the vocabulary's ids (no end id) of each whole text, and the names of those two."""
+    known, kind = topical(docs)
+    count = free_name([*docs.columns, kind], "_ids")
+    path = path or tokenizer_path()
+    kept = [*keep, kind]
+    schema = T.StructType([*(known.schema[c] for c in kept), T.StructField(count, T.LongType())])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        encode = pieces(path).ids
+        for b in slices(batches):
+            n = [len(encode(text)) // 4 for text in b.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(n, pa.int64())], [*kept, count])
+
+    return known.select(*kept, F.col("text")).mapInArrow(run, schema), kind, count
 
 
 def targets(topic_col: str) -> dict:
@@ -163,7 +184,7 @@ def targets(topic_col: str) -> dict:
 def op10_raked_mixture(spark, sf_dir: str) -> DataFrame:
     """Every document's cell, tokens, raked weight and probability, and whether it is drawn."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
-    known, kind, words = described(docs)
-    known = written(known.drop("text"))
-    out = mix(known, known, ["source", "lang", kind], words, targets(kind), key=["doc_id"])
-    return out.withColumnsRenamed({kind: "topic", words: "n_tokens"})
+    known, kind, ids = described(docs, ["doc_id", "source", "lang"])
+    known = written(known)
+    out = mix(known, known, ["source", "lang", kind], ids, targets(kind), key=["doc_id"])
+    return out.withColumnsRenamed({kind: "topic", ids: "n_tokens"})
