@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm.jaccard import one_of_each
+from tarmac.llm.jaccard import one_row_of_each
 from tarmac.llm.packing import pack
 from tarmac.llm.quality import fit_quality, with_posteriors
 from tarmac.llm.raking import described, mix, targets, topical
@@ -38,8 +38,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
-    return one_of_each(docs)
+    """One row of each component of near copies, whatever the ids."""
+    return one_row_of_each(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tarmac.llm.batches import slices
 from tarmac.llm.components import components
 from tarmac.llm.shingles import differences_within, fingerprint, least_difference, odd_sketch, shingle_set
-from tarmac.llm.storage import dropped, gathered, written
+from tarmac.llm.storage import dropped, free_name, gathered, written
 
 #: Shingles that count as common (in more sets than this), at most; the order alone depends on them, not the result.
 COMMON_SETS, COMMON = 64, 1 << 17
@@ -86,11 +86,12 @@ def common_shingles(docs: DataFrame, text_col: str) -> list[int]:
     return sorted(r[0] & 0xFFFFFFFFFFFFFFFF for r in rows)
 
 
-def shingled(docs: DataFrame, id_col: str, text_col: str, common: list[int]) -> DataFrame:
-    """doc_id, key (the id, or else a hash of the text), n (set size), v (the set's name), sketch and prefix (null where the task has had the set)."""
+def shingled(docs: DataFrame, id_col: str, text_col: str, common: list[int], hashed: bool = False) -> DataFrame:
+    """doc_id, key (the id, or else a hash of the text), n (set size), v (the set's name), sketch and prefix (null where the task has had the set); t, a hash of the text, if ``hashed``."""
     import numpy as np
 
     last = np.array(common, dtype=np.uint64)
+    more = ["t"] if hashed else []
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -119,10 +120,10 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, common: list[int]) ->
                 for column, value in zip(out, (n, v, sketch, prefix), strict=True):
                     column.append(value)
             kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "key", "n", "v", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True)), *b.columns[3:]], ["doc_id", "key", "n", "v", "sketch", "prefix", *more])
 
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    return keyed.mapInArrow(run, "doc_id long, key long, n int, v long, sketch binary, prefix binary")
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(id_col, text_col).alias("key"), F.col(text_col).alias("text"), *(F.xxhash64(text_col).alias(c) for c in more))
+    return keyed.mapInArrow(run, "doc_id long, key long, n int, v long, sketch binary, prefix binary" + "".join(f", {c} long" for c in more))
 
 
 def _key(id_col: str, text_col: str) -> Column:
@@ -352,15 +353,10 @@ def _relabelled(label: DataFrame | None, links: DataFrame) -> DataFrame:
     return new
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of ``docs``; the least doc_id of what links lead to.
-
-    Sets with 100 * intersection >= 80 * union are linked, equal sets included. A null, empty or blank
-    text has an empty set and is linked to nothing. Rows with a null id take part in links, but are never a
-    component's name; alone, their component is null. Rows may repeat. Other columns are ignored.
-    """
+def _labelled(docs: DataFrame, id_col: str, text_col: str, hashed: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ``shingled``, and v, c: a component for each linked set (None if there are no links)."""
     docs = docs.select(F.col(id_col), F.col(text_col))
-    sets = written(shingled(docs, id_col, text_col, common_shingles(docs, text_col)))
+    sets = written(shingled(docs, id_col, text_col, common_shingles(docs, text_col), hashed))
     regions = written(_shared(_region_rows(sets)).dropDuplicates(["s", "v"]))
     # a set with a link shares at least so many of its prefix shingles with others
     enough = F.greatest(F.lit(1), F.floor(F.floor((4 * F.col("n") + 4) / 5) / 20))
@@ -371,6 +367,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     items = written(_sets(docs, id_col, text_col, known.select("key", "v")))
     label = _links(few, known.select("v", "sketch"), items)
     dropped(items, few, known)
+    return sets, label
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per row of ``docs``; the least doc_id of what links lead to.
+
+    Sets with 100 * intersection >= 80 * union are linked, equal sets included. A null, empty or blank
+    text has an empty set and is linked to nothing. Rows with a null id take part in links, but are never a
+    component's name; alone, their component is null. Rows may repeat. Other columns are ignored.
+    """
+    sets, label = _labelled(docs, id_col, text_col)
     # the least id of equal sets, and then of linked ones
     own = sets.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("_least"))
     if label is not None:
@@ -403,3 +410,42 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return kept.select(*docs.columns)
     once = joined_by_ids(kept, repeated, id_col, "left_semi").dropDuplicates([id_col])
     return joined_by_ids(kept, repeated, id_col, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+
+
+def one_row_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component: the one of the least id (null last), then set, then text, then other columns.
+
+    Rows are told apart by id and text, so rows of different components stay though their ids are equal or
+    null. A null, empty or blank text is linked to nothing: of these one row of each id stays, and all of null id.
+    """
+    sets, label = _labelled(docs, id_col, text_col, hashed=True)
+    own = written(sets.groupBy("doc_id", "t", "v", "n").count())
+    dropped(sets)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "v", "t")
+    least = own.where("n > 0").groupBy("v").agg(F.min(order).alias("x"))
+    if label is not None:
+        least = least.join(label, "v", "left").groupBy(F.coalesce("c", "v").alias("c")).agg(F.min("x").alias("x"))
+    blank = own.where("n = 0 and doc_id is not null").groupBy("doc_id").agg(F.min("t").alias("t"))
+    stay = written(least.select("x.doc_id", "x.t").unionByName(blank))
+    dealt = own.where("n > 0 or doc_id is not null")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))
+    stays = stay.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
+    gone = written(dealt.join(stays, same, "left_anti").select("doc_id", "t"))
+    repeated = written(dealt.where("count > 1").join(stays, same, "left_semi").select("doc_id", "t"))
+    dropped(own, stay)
+    names: list[str] = []
+    for x in ("_id", "_t", "_of_id", "_of_t"):
+        names.append(free_name([*docs.columns, *names], x))
+    doc, text, of_doc, of_text = names
+    rows = docs.withColumns({doc: F.col(id_col).cast("long"), text: F.xxhash64(text_col)})
+
+    def joined(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        ids = ids.select(F.col("doc_id").alias(of_doc), F.col("t").alias(of_text))
+        return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col(doc).eqNullSafe(F.col(of_doc)) & (F.col(text) == F.col(of_text)), how)
+
+    kept = joined(rows, gone, "left_anti")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    whole, others = F.struct(*docs.columns), F.struct(*(c for c in docs.columns if c != text_col))
+    once = joined(kept, repeated, "left_semi").groupBy(doc, text).agg(F.min_by(whole, F.to_json(others)).alias("x"))
+    return joined(kept, repeated, "left_anti").select(*docs.columns).unionByName(once.select("x.*"))
