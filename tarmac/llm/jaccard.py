@@ -8,7 +8,7 @@ replicated that hold it, loses no link. Within the regions documents are pivots:
 
 1. a region's most central sets are its first pivots, and all its other sets measure their distance to
    them: exactly, unless a bound shows that they are out of reach;
-2. sets within the radius of 0.2 fall to the pivot's cell and its component. Sets of one component need
+2. sets within the radius of 0.2 fall to the pivot's component. Sets of one component need
    no more tests among each other, so a region of one component is finished;
 3. a set that a pivot has met is settled with it, and the pivot leaves the region. Of the rest, only
    pairs whose distances to the region's first pivot lie within 0.2 of each other can be linked, by the
@@ -16,7 +16,8 @@ replicated that hold it, loses no link. Within the regions documents are pivots:
    components, or in one task where the region has become small: a task compares the sketches of its sets
    and passes on only pairs that these do not hold apart.
 
-So every linked pair is either tested or already joined through others, and no region's pairs are all formed.
+So every linked pair is either tested or already joined through others. Regions are not divided into cells:
+where a region's sets are unlinked and at like distances from its first pivot, all its pairs are formed.
 """
 
 from __future__ import annotations
