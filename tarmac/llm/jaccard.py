@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.batches import slices
+from tarmac.llm.batches import mapped, slices
 from tarmac.llm.components import components
 from tarmac.llm.shingles import differences_within, fingerprint, least_difference, odd_sketch, shingle_set
 from tarmac.llm.storage import dropped, free_name, gathered, written
@@ -82,7 +82,7 @@ def common_shingles(docs: DataFrame, text_col: str) -> list[int]:
         if held:
             yield counted()
 
-    counts = docs.select(text_col).mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    counts = mapped(docs.select(text_col), run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     rows = counts.where(F.col("n") > COMMON_SETS).orderBy(F.desc("n"), "s").limit(COMMON).select("s").collect()
     return sorted(r[0] & 0xFFFFFFFFFFFFFFFF for r in rows)
 
@@ -124,7 +124,7 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, common: list[int], has
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True)), *b.columns[3:]], ["doc_id", "key", "n", "v", "sketch", "prefix", *more])
 
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(id_col, text_col).alias("key"), F.col(text_col).alias("text"), *(F.xxhash64(text_col).alias(c) for c in more))
-    return keyed.mapInArrow(run, "doc_id long, key long, n int, v long, sketch binary, prefix binary" + "".join(f", {c} long" for c in more))
+    return mapped(keyed, run, "doc_id long, key long, n int, v long, sketch binary, prefix binary" + "".join(f", {c} long" for c in more))
 
 
 def _key(id_col: str, text_col: str) -> Column:
@@ -148,7 +148,7 @@ def _region_rows(sets: DataFrame) -> DataFrame:
                 n = np.repeat(b.column(1).to_numpy(zero_copy_only=False)[part], sizes[part])
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(v), pa.array(n)], ["s", "v", "n"])
 
-    return sets.where(F.col("prefix").isNotNull()).select("v", "n", "prefix").mapInArrow(run, "s long, v long, n int")
+    return mapped(sets.where(F.col("prefix").isNotNull()).select("v", "n", "prefix"), run, "s long, v long, n int")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, active: DataFrame) -> Dat
                     items.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(items, pa.binary())], ["v", "items"])
 
-    return texts.mapInArrow(run, "v long, items binary")
+    return mapped(texts, run, "v long, items binary")
 
 
 def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lo, pa.float64()), pa.array(near, pa.bool_())], ["v", "p", "lo", "near"])
 
     both = pairs.join(sketches, "v").join(sketches.select(F.col("v").alias("p"), F.col("sketch").alias("_sketch")), "p")
-    return both.select("v", "p", "n", "m", "sketch", "_sketch").mapInArrow(run, "v long, p long, lo double, near boolean")
+    return mapped(both.select("v", "p", "n", "m", "sketch", "_sketch"), run, "v long, p long, lo double, near boolean")
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     named = written(pairs.select(F.explode(F.array("v", "p")).alias("v")).distinct())
     sets = joined_by_ids(sets, named, "v", "left_semi")
     both = pairs.join(sets, "v").join(sets.select(F.col("v").alias("p"), F.col("items").alias("_items")), "p")
-    return both.select("v", "p", "items", "_items").mapInArrow(run, "v long, p long, d double, linked boolean").dropDuplicates(["v", "p"])
+    return mapped(both.select("v", "p", "items", "_items"), run, "v long, p long, d double, linked boolean").dropDuplicates(["v", "p"])
 
 
 #: Pivots of a region at each level; from the third on they are taken from its smallest components.
@@ -283,7 +283,7 @@ def _close_in_leaves(rows: DataFrame) -> DataFrame:
         yield out()
 
     kept = rows.select("s", "v", "n", "c", "lo", "hi", "sketch").repartition("s").sortWithinPartitions("s")
-    return kept.mapInArrow(run, "v long, p long").distinct()
+    return mapped(kept, run, "v long, p long").distinct()
 
 
 def _links(regions: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame | None:

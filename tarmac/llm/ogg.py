@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.batches import slices
+from tarmac.llm.batches import mapped, slices
 from tarmac.llm.storage import free_name
 
 RATE, BLOCK, STREAMS = 8000, 576, 2
@@ -182,7 +182,7 @@ def _mapped(df: DataFrame, column: str, new: str, of, kind) -> DataFrame:
             values = pa.array([of(v) for v in b.column(at).to_pylist()], kind)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in use), values], [*kept, name])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def encode_ogg(df: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.batches import slices
+from tarmac.llm.batches import mapped, slices
 from tarmac.llm.tokens import END_ID, pieces, tokenizer_path
 
 CAPACITY = 2048
@@ -108,7 +108,6 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     max_piece = min(max_piece, capacity)
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
@@ -156,9 +155,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
         if held:
             deal()
         yield batch()
-        del np
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return mapped(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SCHEMA)
 
 
 def op7_differencing_packing(spark, sf_dir: str) -> DataFrame:

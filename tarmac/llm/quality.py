@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.batches import slices
+from tarmac.llm.batches import mapped, slices
 from tarmac.llm.storage import dropped, free_name, written
 from tarmac.llm.toxicity import held_out, labelled_sample
 
@@ -79,7 +79,7 @@ class QualityModel:
                 z = ((x - mean) / scale) @ np.array(weights[:-1]) + weights[-1]
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in use), pa.array(sigmoid(z), pa.float64())], names)
 
-        return df.mapInArrow(run, schema)
+        return mapped(df, run, schema)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: str = "quality") -> QualityModel:
@@ -97,7 +97,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, labe
             yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in x], pa.float64()) for i in range(len(NAMES))), pa.array(y, pa.float64())], [*NAMES, "y"])
 
     sample = labelled_sample(docs, labels, label, ["text"], rows)
-    found = sample.mapInArrow(features, ", ".join(f"{c} double" for c in (*NAMES, "y"))).collect()
+    found = mapped(sample, features, ", ".join(f"{c} double" for c in (*NAMES, "y"))).collect()
     k = len(NAMES)
     data = np.array(sorted(map(tuple, found)), dtype=float).reshape(-1, k + 1)
     x, y = data[:, :k], data[:, k]

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.batches import slices
+from tarmac.llm.batches import mapped, slices
 from tarmac.llm.storage import dropped, free_name, written
 from tarmac.llm.tokens import pieces, tokenizer_path
 
@@ -173,7 +173,7 @@ def described(docs: DataFrame, keep: list[str], path: str | None = None) -> tupl
             n = [len(encode(text)) // 4 for text in b.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(n, pa.int64())], [*kept, count])
 
-    return known.select(*kept, F.col("text")).mapInArrow(run, schema), kind, count
+    return mapped(known.select(*kept, F.col("text")), run, schema), kind, count
 
 
 def targets(topic_col: str) -> dict:

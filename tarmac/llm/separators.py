@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.batches import slices
+from tarmac.llm.batches import mapped, slices
 from tarmac.llm.storage import free_name
 from tarmac.llm.tokens import pieces, tokenizer_path
 
@@ -71,7 +71,7 @@ def flat_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
             yield out(len(stream))
 
     schema = "file long, block long, data binary, tags array<long>"
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return mapped(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, schema)
 
 
 def separator_scan(blocks: DataFrame, end_id: int = END_ID, width: int = WIDTH, tags: str | None = None) -> DataFrame:
@@ -102,7 +102,7 @@ def separator_scan(blocks: DataFrame, end_id: int = END_ID, width: int = WIDTH,
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in at), pa.array(counts, pa.int64()), lists], [*kept, "_n", "_ends"])
 
-    scanned = blocks.mapInArrow(run, schema)
+    scanned = mapped(blocks, run, schema)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy("file")
     none = F.lit(0).cast("long")

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.batches import slices
+from tarmac.llm.batches import mapped, slices
 from tarmac.llm.tokens import END_ID, pieces, tokenizer_path
 
 CAPACITY, GROUP, PAD_ID = 2048, 2048, 0
@@ -143,7 +143,7 @@ def token_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
         deal()
         yield batch()
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return mapped(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SCHEMA)
 
 
 def write_rows(rows: DataFrame, path: str) -> None:

@@ -11,10 +11,12 @@ import os
 import re
 import unicodedata
 
+from tarmac.llm.batches import trim
+
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Pieces in the younger half of a worker's cache, and the longest kept.
-CACHE_PIECES, CACHE_CHARS = 400_000, 40
+#: Pieces in the younger half of a worker's cache (some 200 bytes each), and the longest kept.
+CACHE_PIECES, CACHE_CHARS = 160_000, 40
 
 _MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)\Z")
 _workers: dict[str, "Pieces"] = {}
@@ -37,6 +39,7 @@ class Pieces(dict):
         self._older: dict[str, bytes] = {}
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        trim()
         self._model = self._tokenizer.model
         # the byte-level alphabet: printable Latin-1 stands for itself, other bytes for 256, 257, ...
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarmac.llm.batches import mapped
 from tarmac.llm.storage import dropped, written
 
 #: Candidates and queries in a block, on average.
@@ -110,7 +111,7 @@ def topk_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "v
                 at, to, score = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [])
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[at] if at else [], pa.int64()), pa.array(at, pa.int64()), pa.array(c_ids[to] if to else [], pa.int64()), pa.array(score, pa.int64())], ["query_id", "_row", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, "query_id long, _row long, vec_id long, score long")
+    found = mapped(pairs, run, "query_id long, _row long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.drop("_row").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.batches import slices
+from tarmac.llm.batches import mapped, slices
 from tarmac.llm.storage import dropped, free_name, written
 
 #: Labelled rows that the model is learned from, at most (those of the lowest hash); terms weighed, at most.
@@ -201,7 +201,7 @@ class ToxicityModel:
                 new = [pa.array(v, k) for v, k in zip((scores, spans), kinds, strict=False)]
                 yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *names])
 
-        return df.mapInArrow(run, schema)
+        return mapped(df, run, schema)
 
 
 def held_out(doc_id="doc_id"):
@@ -239,7 +239,7 @@ def _counted(sample: DataFrame, only: frozenset | None) -> DataFrame:
         terms = list(counts[0].keys() | counts[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([counts[k][t] for t in terms], pa.int64()) for k in (1, 0))], ["term", "pos", "neg"])
 
-    return sample.mapInArrow(run, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return mapped(sample, run, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def _g2(pos: int, neg: int, n_pos: int, n_neg: int) -> float:
@@ -304,7 +304,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, lab
             y = [float(v > 0) for v in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in x], pa.float64()) for i in range(7)), pa.array(y, pa.float64())], list("abcdefgy"))
 
-    rows = sample.mapInArrow(features, ", ".join(f"{c} double" for c in "abcdefgy")).collect()
+    rows = mapped(sample, features, ", ".join(f"{c} double" for c in "abcdefgy")).collect()
     found = np.array(sorted(map(tuple, rows)), dtype=float).reshape(-1, 8)
     dropped(sample)
     weights = fit(found[:, :7], found[:, 7], np.array(PRIOR), np.array(PRECISION))
