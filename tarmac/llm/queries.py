@@ -10,7 +10,7 @@ from tarmac.llm.raking import op10_raked_mixture
 from tarmac.llm.separators import op5_separator_scan
 from tarmac.llm.sharding import op4_interleaved_shards
 from tarmac.llm.token_rows import op3_best_fit_token_rows
-from tarmac.llm.topk import op9_sorted_list_topk
+from tarmac.llm.topk import OP9_SQL, op9_sorted_list_topk
 from tarmac.llm.toxicity import op2_clause_grammar_toxicity
 
 QUERIES = {
@@ -28,4 +28,4 @@ QUERIES = {
         op10_raked_mixture,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_sorted_list_topk": OP9_SQL}

@@ -1,76 +1,103 @@
 """Exact top-k inner products by sequential reads of sorted lists without random access.
 
 Each dimension is a list of the candidates sorted by their component; a query reads it from the top for
-a positive weight and from the bottom for a negative one. After equal reads from every list each
-candidate has a lower and an upper score bound: what was read of it, plus, for lists where it was not
-met, the list's worst value or the value reached. A query stops once few candidates can still qualify;
-those are scored in full. Queries meet candidates in blocks, whose lists are read for all queries of a
-block together as two matrix products, and the blocks' best are merged.
+a positive weight and from the bottom for a negative one. An entry carries the candidate's norm beside its
+component. After equal reads from every list a candidate's score is bounded by what was read of it and,
+for the lists in which it was not met, by the value that the list has reached, its worst value, and the
+Cauchy-Schwarz bound of the weights and of the norm that are left. A query stops reading once few
+candidates can still be among its k best; only those are scored in full.
+
+Queries meet candidates in blocks, whose lists are read for all queries of a block together as matrix
+products, and the blocks' best are merged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.llm.batches import mapped
-from tarmac.llm.storage import dropped, written
+from tarmac.llm.storage import written
 
 #: Candidates and queries in a block, on average.
 BLOCK, QUERY_BLOCK = 4096, 1024
-#: Shares of the lists that are read before the bounds are compared; candidates that may be left, as a share.
-DEPTHS, LEFT = (1 / 8, 1 / 2, 1.0), 1 / 32
+#: Shares of the lists at which the bounds are compared; candidates that may be left, as a share.
+DEPTHS, LEFT = (1 / 8, 1 / 4, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 1.0), 1 / 32
+#: Bits up to which sums of whole doubles are exact; beyond, scores are added as Python integers.
+EXACT_BITS = 53
+_FAR = 1 << 400
 
 
-def lists_topk(queries, query_ids, candidates, candidate_ids, k: int):
-    """(query row, candidate row, score) of each query's k best candidates of other ids, ties to smaller ids."""
+def _bounds(c, rank, lists, q, read: int):
+    """Lower and upper bounds of every candidate's score for each query, after ``read`` entries of every list."""
+    import numpy as np
+
+    n = len(c)
+    up, down = np.maximum(q, 0), np.minimum(q, 0)
+    known = {}
+    for side, w, met, reached, worst in ((1, up, rank >= n - read, lists[n - read], lists[0]), (0, down, rank < read, lists[read - 1], lists[-1])):
+        values = np.where(met, c, 0.0)
+        known[side] = (w @ values.T, w @ np.where(met, 0.0, reached).T, w @ np.where(met, 0.0, worst).T, (w * w) @ (~met).T.astype(float), (w != 0).astype(float) @ (values * values).T)
+    score, most, least, weights, norms = (a + b for a, b in zip(known[0], known[1], strict=True))
+    rest = np.sqrt(weights * np.maximum((c * c).sum(1) - norms, 0.0)) * (1 + 1e-9)
+    return score + np.maximum(least, -rest), score + np.minimum(most, rest)
+
+
+def lists_topk(queries, query_ids, candidates, candidate_ids, k: int, times=None, reads: list | None = None):
+    """(query row, candidate row, score) of each query's k best candidates of other ids, ties to smaller ids.
+
+    Components are whole doubles. A candidate counts ``times`` over. The entries read by each query are
+    added to ``reads``.
+    """
     import numpy as np
 
     out: list[tuple[int, int, int]] = []
     n, dims = candidates.shape
     if not n or not len(queries):
         return out
-    reach = int(max(abs(int(queries.max(initial=0))), abs(int(queries.min(initial=0))), 1)) * int(max(abs(int(candidates.max(initial=0))), abs(int(candidates.min(initial=0))), 1)) * max(dims, 1)
-    if reach >= 1 << 51:  # beyond what doubles add exactly
-        queries, candidates = queries.astype(object), candidates.astype(object)
+    c, q_all = candidates.astype(float), queries.astype(float)
+    times = np.ones(n, np.int64) if times is None else times
+    most = float(np.abs(c).max(initial=0)) * float(np.abs(q_all).max(initial=0)) * max(dims, 1)
+    exact = most < 1 << EXACT_BITS
 
     def resolve(row: int, rows) -> None:
         rows = rows[candidate_ids[rows] != query_ids[row]]
-        scores = candidates[rows] @ queries[row]
-        best = np.lexsort((candidate_ids[rows], -scores))[:k]
-        out.extend((row, int(rows[i]), int(scores[i])) for i in best)
-
-    if reach >= 1 << 51:
-        for row in range(len(queries)):
-            resolve(row, np.arange(n))
-        return out
-    c = candidates.astype(float)
-    order = np.argsort(candidates, axis=0, kind="stable")
+        if exact:
+            scores = [int(x) for x in c[rows] @ q_all[row]]
+        else:
+            weights = [int(x) for x in q_all[row]]
+            scores = [sum(int(x) * w for x, w in zip(v, weights, strict=True)) for v in c[rows]]
+        best = sorted(range(len(rows)), key=lambda i: (-scores[i], candidate_ids[rows[i]]))
+        left = k
+        for i in best[:k]:
+            copies = min(left, int(times[rows[i]]))
+            out.extend([(row, int(rows[i]), scores[i])] * copies)
+            left -= copies
+            if not left:
+                break
+
+    order = np.argsort(c, axis=0, kind="stable")
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(n)[:, None].repeat(dims, 1), 0)
     lists = np.take_along_axis(c, order, 0)
-    active = np.arange(len(queries))
+    active = np.arange(len(q_all))
     for depth in DEPTHS:
         if not len(active):
             break
         read = max(1, min(n, round(depth * n)))
-        q = queries[active].astype(float)
-        q = np.hstack([np.maximum(q, 0), np.minimum(q, 0)])
-        met = np.hstack([rank >= n - read, rank < read])
-        both = np.hstack([c, c])
-        reached = np.hstack([lists[n - read], lists[read - 1]])
-        worst = np.hstack([lists[0], lists[n - 1]])
-        upper = q @ reached[:, None] + q @ np.where(met, both - reached, 0).T
-        lower = q @ worst[:, None] + q @ np.where(met, both - worst, 0).T
+        q = q_all[active]
+        lower, upper = _bounds(c, rank, lists, q, read)
         own = candidate_ids[None, :] == query_ids[active][:, None]
         upper[own], lower[own] = -np.inf, -np.inf
         bar = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(active), -np.inf)
-        may = upper >= bar[:, None]
+        may = (upper >= (bar - 1e-9 * most)[:, None]) & ~own
         done = (may.sum(1) <= max(4 * k, LEFT * n)) | (read == n)
         for i in np.flatnonzero(done):
             resolve(active[i], np.flatnonzero(may[i]))
+            if reads is not None:
+                reads.append(read * dims)
         active = active[~done]
     return out
 
@@ -78,16 +105,20 @@ def lists_topk(queries, query_ids, candidates, candidate_ids, k: int):
 def topk_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "components") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest integer inner products over all vectors.
 
-    Both frames hold an id and an array of long without nulls. A row is no candidate of a query with its
-    own id. Vectors of another length than the query's are no candidates; repeated rows are candidates
-    each. Null ids take no part. Fewer than k candidates give fewer rows, none give none.
+    Both frames hold a whole-number id and an array of whole numbers (doubles, which are exact to 2^53,
+    or longs), without nulls in the array. A row is no candidate of a query with its own id. Vectors of
+    another length than the query's are no candidates. Repeated rows are candidates each, and repeated
+    query rows are answered each. Null ids take no part. Fewer than k candidates give fewer rows, none give
+    none. A score outside the range of long is ranked by its value and returned as null.
     """
+
     def blocks(df: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:
-        kept = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<long>").alias("v"))
-        kept = written(kept)
+        kept = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+        # equal rows are one row with a count, so that they fill no block
+        kept = written(kept.groupBy("id", "v").agg(F.count("*").alias("times")))
         n = max(1, -(-kept.count() // size))
         kept = kept.withColumn(name, F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")).withColumn("dims", F.size("v"))
-        return kept.groupBy("dims", name).agg(F.collect_list(F.struct("id", "v")).alias(f"{name}_rows")), n
+        return kept.groupBy("dims", name).agg(F.collect_list(F.struct("id", "v", "times", F.xxhash64("v").alias("tag"))).alias(f"{name}_rows")), n
 
     left, n = blocks(vectors, "c", BLOCK)
     right, _ = blocks(queries, "q", QUERY_BLOCK)
@@ -99,31 +130,61 @@ def topk_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "v
         import pyarrow as pa
 
         def matrix(rows, dims: int):
-            ids = rows.field(0).to_numpy(zero_copy_only=False)
-            return ids, rows.field(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dims)
+            ids, times, tags = (rows.field(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
+            return ids, rows.field(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dims), times, tags
 
+        names = ["query_id", "tag", "times", "vec_id", "score", "high", "digits"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string()]
         for b in batches:
             for i in range(b.num_rows):
                 dims = b.column(0)[i].as_py()
-                c_ids, c = matrix(b.column(1)[i].values, dims)
-                q_ids, q = matrix(b.column(2)[i].values, dims)
-                found = lists_topk(q, q_ids, c, c_ids, k)
-                at, to, score = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [])
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at] if at else [], pa.int64()), pa.array(at, pa.int64()), pa.array(c_ids[to] if to else [], pa.int64()), pa.array(score, pa.int64())], ["query_id", "_row", "vec_id", "score"])
-
-    found = mapped(pairs, run, "query_id long, _row long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.drop("_row").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def whole_components(embedding: str = "embedding"):
-    """floor(256 x) of every component as long; null for a vector that is null or holds a null or non-finite one."""
+                c_ids, c, c_times, _ = matrix(b.column(1)[i].values, dims)
+                q_ids, q, q_times, tags = matrix(b.column(2)[i].values, dims)
+                rows = []
+                for at, to, score in lists_topk(q, q_ids, c, c_ids, k, c_times):
+                    long = -(1 << 63) <= score < 1 << 63
+                    # whole scores sort by a rounded value first, and then by their digits
+                    rows.append((q_ids[at], tags[at], q_times[at], c_ids[to], score if long else None, float(score), f"{score + _FAR:0150d}"))
+                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
+
+    found = mapped(pairs, run, "query_id long, tag long, times long, vec_id long, score long, high double, digits string")
+    w = Window.partitionBy("query_id", "tag").orderBy(F.desc("high"), F.desc("digits"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))
+    return best.withColumn("_n", each).select("query_id", "rank", "vec_id", "score")
+
+
+def whole_components(embedding: str = "embedding") -> Column:
+    """floor(256 x) of every component as a whole double; null for a vector that is null or holds a null or non-finite one.
+
+    A component whose 256-fold is beyond the doubles counts as non-finite.
+    """
+    v = F.transform(F.col(embedding).cast("array<double>"), lambda x: x * 256)
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
-    v = F.col(embedding).cast("array<double>")
-    return F.when(v.isNotNull() & ~F.exists(v, bad), F.transform(v, lambda x: F.floor(x * 256)))
+    # from 2^53 on every double is whole, and floor() would leave the range of long
+    whole = lambda x: F.when(F.abs(x) < F.lit(float(1 << 53)), F.floor(x).cast("double")).otherwise(x)
+    return F.when(v.isNotNull() & ~F.exists(v, bad), F.transform(v, whole))
 
 
 def op9_sorted_list_topk(spark, sf_dir: str) -> DataFrame:
     """The 5 highest scores over all vectors for every vector whose id is divisible by 50."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", whole_components().alias("components"))
     return topk_search(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
+#: The same rows by DuckDB.
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS c
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS vec_id,
+    CAST(list_sum([q.c[i] * v.c[i] FOR i IN range(1, len(q.c) + 1)]) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id AND len(q.c) = len(v.c)
+  WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score
+FROM s QUALIFY "rank" <= 5
+"""

@@ -1,5 +1,6 @@
 """Jaccard join, components, top-k search and raking against brute force."""
 
+import os
 import random
 from collections import defaultdict
 
@@ -161,28 +162,70 @@ def test_topk_equals_brute_force(spark, monkeypatch, kind):
     queries = [r for r in rows if r[0] is not None and r[0] % 20 == 0 and r[1] is not None] + [rows[-2]]
     schema = "vec_id long, components array<long>"
     got = topk.topk_search(spark.createDataFrame(rows, schema), spark.createDataFrame(queries, schema), 5)
-    assert {tuple(r) for r in got.collect()} == _plain_topk(rows, queries, 5)
-
-
-def test_lists_stop_early_and_exactly():
-    rng = np.random.default_rng(2)
-    c = rng.integers(-9, 9, size=(3000, 4))
-    c[:10] *= 50
-    q = np.abs(rng.integers(1, 9, size=(20, 4)))
-    ids = np.arange(3000)
-    found = topk.lists_topk(q, np.full(20, -1), c, ids, 3)
-    for row in range(20):
-        s = c @ q[row]
-        want = np.lexsort((ids, -s))[:3]
+    assert sorted(map(tuple, got.collect())) == sorted(_plain_topk(rows, queries, 5))
+
+
+@pytest.mark.parametrize("data", ["skewed", "embeddings"])
+def test_lists_stop_early_and_exactly(data):
+    if data == "skewed":
+        rng = np.random.default_rng(2)
+        c = rng.integers(-9, 9, size=(3000, 4)).astype(float)
+        c[:10] *= 50
+    else:
+        path = "/root/testdata/sf0.1/embeddings.parquet"
+        if not os.path.exists(path):
+            pytest.skip("no test data")
+        import pyarrow.parquet as pq
+
+        c = np.floor(256 * np.array(pq.read_table(path).sort_by("vec_id").column("embedding").to_pylist(), dtype=float))
+    ids = np.arange(len(c))
+    reads = []
+    found = topk.lists_topk(c[::50], ids[::50], c, ids, 3, reads=reads)
+    # every query leaves entries unread
+    assert len(reads) == len(c[::50]) and max(reads) < c.size
+    for row, q in enumerate(c[::50]):
+        s = c @ q
+        want = [i for i in np.lexsort((ids, -s)) if i != 50 * row][:3]
         assert [(x[1], x[2]) for x in found if x[0] == row] == [(int(i), int(s[i])) for i in want]
 
 
 def test_topk_edges(spark):
     empty = spark.createDataFrame([], "vec_id long, components array<long>")
     assert topk.topk_search(empty, empty, 5).count() == 0
-    df = spark.createDataFrame([(1, [0.5, None]), (2, None), (3, [float("nan")]), (4, [float("inf"), 1.0]), (5, [-0.001, 0.999])], "vec_id long, embedding array<float>")
+    df = spark.createDataFrame([(1, [0.5, None]), (2, None), (3, [float("nan")]), (4, [float("inf"), 1.0]), (5, [-0.001, 0.999]), (6, [1e30])], "vec_id long, embedding array<float>")
     got = {r["vec_id"]: r["c"] for r in df.select("vec_id", topk.whole_components().alias("c")).collect()}
-    assert got == {1: None, 2: None, 3: None, 4: None, 5: [-1, 255]}
+    assert got == {1: None, 2: None, 3: None, 4: None, 5: [-1, 255], 6: [float(np.float32(1e30)) * 256]}
+
+
+def test_repeated_query_rows_are_answered_each(spark):
+    rows = [(10, [1, 0]), (10, [1, 0]), (10, [0, 1]), (6, [9, 1]), (13, [5, 2]), (13, [5, 2]), (20, [1, 1])]
+    df = spark.createDataFrame(rows, "vec_id long, components array<long>")
+    got = topk.topk_search(df, df.where("vec_id = 10"), 3).collect()
+    one = [(10, 1, 6, 9), (10, 2, 13, 5), (10, 3, 13, 5)]
+    other = [(10, 1, 13, 2), (10, 2, 13, 2), (10, 3, 6, 1)]
+    assert sorted(map(tuple, got)) == sorted(one + one + other)
+
+
+def test_scores_beyond_long_are_ranked(spark):
+    big = float(4 * 10**12)
+    rows = [(0, [big, big]), (1, [big, big + 256]), (2, [big, big]), (3, [-big, 1.0]), (4, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, components array<double>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.topk_search(df, df.where("vec_id = 0"), 5).orderBy("rank").collect()]
+    assert got == [(1, 1, None), (2, 2, None), (3, 4, 2 * int(big)), (4, 3, None)]
+
+
+def test_op9_equals_sql(spark, tmp_path):
+    import duckdb
+
+    rnd = random.Random(4)
+    rows = [(i, [rnd.uniform(-1, 1) for _ in range(8)], 0) for i in range(400)] + [(400, None, 1), (401, [float("nan")] * 8, 1), (450, [0.5, None], 1), (451, [0.25], 1), (None, [0.5] * 8, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = con.sql(topk.OP9_SQL).fetchall()
+    got = topk.op9_sorted_list_topk(spark, str(tmp_path))
+    assert got.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "bigint")]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 40
 
 
 def _table(rnd, n=600):
