@@ -1,10 +1,11 @@
 """Toxic clauses by a weighted finite-state grammar.
 
-Tokens become symbols by a lexicon transducer: insults (words and word beginnings with weights learned
-from labels), threats, targets, negations and words of reported speech. Transducers for negation,
-reported speech and target are composed with it and read a text clause by clause; the weight of the
-best path is the clause's score. A document's score is a logistic function of its clauses' scores,
-fitted to the labels.
+Words become symbols by a lexicon: insults (words and word beginnings with weights learned from labels),
+threats, intentions, targets, negations and words of reported speech; colons and quotation marks are symbols too.
+Transducers for threats, negation, reported speech and targets are composed and read a text clause by
+clause. They are weighted and have alternatives: an attack stands alone, or promises that a target follows. The
+weight of the best accepting path (the sum of its attacks' weights times the factors of its arcs) is the
+clause's score. A document's score is a logistic function of its clauses' scores, fitted to the labels.
 """
 
 from __future__ import annotations
@@ -22,41 +23,48 @@ from pyspark.sql import types as T
 from tarmac.llm.batches import mapped, slices
 from tarmac.llm.storage import dropped, free_name, written
 
-#: Labelled rows that the model is learned from, at most (those of the lowest hash); terms weighed, at most.
-TRAIN_ROWS, TERMS = 20_000, 50_000
+#: Labelled rows that the model is learned from, at most (those of the lowest hash).
+TRAIN_ROWS = 20_000
 #: Lengths of the word beginnings that may be learned; evidence that a term needs.
 STEMS, LEAST_ROWS, LEAST_G2, LEAST_ODDS = range(3, 9), 3, 30.0, 2.0
+#: Terms that a task counts before it passes them on.
+HELD_TERMS = 500_000
 
-#: Symbols of the grammar; Y is the one addressed.
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "ITYNRO"
+#: Symbols of the grammar; Y is the one addressed, P an intention, C a colon, Q a quotation mark.
+INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, COLON, QUOTE, OTHER = "ITYNRPCQO"
 WORDS = {
     THREAT: "kill hurt destroy strangle stab shoot murder beat töten umbringen vernichten schlagen tuer détruire frapper matar destruir golpear",
+    INTENT: "will ll gonna going shall must should werde werden wirst soll sollte vais va allons vas devrait voy vamos debería",
     TARGET: "you your yours yourself u du dich dir dein deine euch euer tu te toi ton votre vous tú ti usted ustedes vuestro",
     NEGATION: "not no never neither nor isn aren wasn don doesn didn won nicht kein keine niemals ne pas jamais aucun nunca jamás ningún",
     REPORT: "said says say called calls calling told wrote writes quoted claims claimed sagte sagt nannte schrieb dit disait appelé écrit dijo dice llamó escribió",
 }
-_FIXED = {w: (s, 1.0) for s, words in WORDS.items() for w in words.split()}
-_CLAUSE = re.compile(r"[^.!?;:\n]+")
-_TOKEN, _GAP = re.compile(r"\w+"), re.compile(r"\W+")
+_FIXED = {w: (s, 1.0) for s, words in WORDS.items() for w in words.split()} | {":": (COLON, 0.0)} | {q: (QUOTE, 0.0) for q in '"“”„«»'}
+_CLAUSE = re.compile(r"[^.!?;\n]+")
+_TOKEN, _GAP = re.compile(r'\w+|[:"“”„«»]'), re.compile(r"\W+")
+_WORD = re.compile(r"\w+")
+#: Symbols out of the machine that count: attacks, negated, reported, and negated in reported speech; in pairs, aimed and alone.
+ATTACKS = "IiTtJjKk"
 
 
 @dataclass
 class Transducer:
-    """A sequential weighted transducer: arcs (state, symbol) -> (state, symbol out, factor of the weight).
+    """A weighted transducer: arcs (state, symbol) -> alternatives (state, symbol out, factor of the symbol's weight).
 
-    A symbol without an arc goes through unchanged, to the state that ``otherwise`` names.
+    A symbol without an arc goes through unchanged, to the state that ``otherwise`` names. A path may end in
+    any state outside ``open_states``.
     """
 
     arcs: dict = field(default_factory=dict)
     otherwise: dict = field(default_factory=dict)
-    finals: dict = field(default_factory=dict)
+    open_states: frozenset = frozenset()
     start: object = 0
 
-    def step(self, state, symbol):
-        return self.arcs.get((state, symbol)) or (self.otherwise.get(state, state), symbol, 1.0)
+    def steps(self, state, symbol) -> list[tuple]:
+        return self.arcs.get((state, symbol)) or [(self.otherwise.get(state, state), symbol, 1.0)]
 
-    def final(self, state) -> float:
-        return self.finals.get(state, 0.0)
+    def accepts(self, state) -> bool:
+        return state not in self.open_states
 
 
 @dataclass
@@ -71,38 +79,73 @@ class Composed:
     def start(self):
         return self.first.start, self.second.start
 
-    def step(self, state, symbol):
-        if (state, symbol) not in self._seen:
-            a, mid, u = self.first.step(state[0], symbol)
-            b, out, v = self.second.step(state[1], mid)
-            self._seen[state, symbol] = ((a, b), out, u * v)
-        return self._seen[state, symbol]
+    def steps(self, state, symbol) -> list[tuple]:
+        found = self._seen.get((state, symbol))
+        if found is None:
+            found = [((a, b), out, u * v) for a, mid, u in self.first.steps(state[0], symbol) for b, out, v in self.second.steps(state[1], mid)]
+            self._seen[state, symbol] = found
+        return found
 
-    def final(self, state) -> float:
-        return self.first.final(state[0]) + self.second.final(state[1])
+    def accepts(self, state) -> bool:
+        return self.first.accepts(state[0]) and self.second.accepts(state[1])
 
 
-def grammar(scope: int = 4, negated: float = 0.4, reported: float = 0.6, aimed: float = 1.0):
-    """Negation over ``scope`` tokens, then reported speech up to the end of the clause, then the target.
+def grammar(scope: int = 4, intent: int = 4, bare: float = 0.4, negated: float = 0.4, reported: float = 0.6, alone: float = 0.7):
+    """Threats, then negation, then reported speech, then targets.
 
-    Lower case: negated. N and R stay. In reported speech I, i, T, t become J, j, K, k.
+    A threat word weighs in full within ``intent`` words of an intention, else ``bare``. Negation holds for
+    ``scope`` words: I and T become i and t. Reported speech holds from its word to the end of the clause,
+    over a colon, and where a quotation mark follows up to the next one: I, i, T, t become J, j, K, k. An
+    attack before which no target stands is ``alone``, or waits for a target, without which no path ends.
     """
+    threat = Transducer(otherwise={k: max(k - 1, 0) for k in range(intent + 1)})
     negation = Transducer(otherwise={k: max(k - 1, 0) for k in range(scope + 1)})
+    for k in range(intent + 1):
+        threat.arcs[k, INTENT] = [(intent, INTENT, 1.0)]
+        threat.arcs[k, THREAT] = [(max(k - 1, 0), THREAT, 1.0 if k else bare)]
     for k in range(scope + 1):
-        negation.arcs[k, NEGATION] = (scope, NEGATION, 1.0)
+        negation.arcs[k, NEGATION] = [(scope, NEGATION, 1.0)]
         if k:
-            negation.arcs[k, INSULT] = (k - 1, "i", negated)
-            negation.arcs[k, THREAT] = (k - 1, "t", negated)
-    report = Transducer(arcs={(0, REPORT): (1, REPORT, 1.0)})
-    for said, out in zip("IiTt", "JjKk", strict=True):
-        report.arcs[1, said] = (1, out, reported)
-    # states: nothing, a target, an attack, both; an attack and a target in one clause weigh more
-    target = Transducer(finals={3: aimed})
-    for state in range(4):
-        target.arcs[state, TARGET] = (state | 1, TARGET, 1.0)
-        for attack in "ITJK":
-            target.arcs[state, attack] = (state | 2, attack, 1.0)
-    return Composed(Composed(negation, report), target)
+            negation.arcs[k, INSULT] = [(k - 1, "i", negated)]
+            negation.arcs[k, THREAT] = [(k - 1, "t", negated)]
+    # states: plain, reported, reported within quotation marks
+    report = Transducer(arcs={(0, REPORT): [(1, REPORT, 1.0)], (1, QUOTE): [(2, QUOTE, 1.0)], (2, QUOTE): [(0, QUOTE, 1.0)]})
+    for state in (1, 2):
+        for said, out in zip("IiTt", "JjKk", strict=True):
+            report.arcs[state, said] = [(state, out, reported)]
+    # states: nothing, a target was read, a target is promised
+    target = Transducer(open_states=frozenset({2}))
+    for state in range(3):
+        target.arcs[state, TARGET] = [(1, TARGET, 1.0)]
+        for attack in ATTACKS:
+            target.arcs[state, attack] = [(state, attack, 1.0)] if state else [(0, attack, alone), (2, attack, 1.0)]
+    return Composed(Composed(Composed(threat, negation), report), target)
+
+
+def quoted(state) -> bool:
+    """Whether a state of ``grammar`` lies within a reported quotation."""
+    return state[0][1] == 2
+
+
+def in_quotation(machine) -> object:
+    """The state of ``machine`` at the beginning of a clause that a reported quotation goes on in."""
+    (pair, _), target = machine.start
+    return (pair, 2), target
+
+
+def best_path(machine, state, symbols: list[tuple[str, float]]) -> tuple[float, str, object]:
+    """(weight, symbols out, state) of the best accepting path; ties go to the least symbols out."""
+    live = {state: (0.0, "")}
+    for symbol, weight in symbols:
+        new: dict = {}
+        for at, (total, made) in live.items():
+            for to, out, factor in machine.steps(at, symbol):
+                found = (total + weight * factor, made + out) if out in ATTACKS else (total, made if out in "OPCQ" else made + out)
+                old = new.get(to)
+                if old is None or (-found[0], found[1]) < (-old[0], old[1]):
+                    new[to] = found
+        live = new
+    return min(((total, made, at) for at, (total, made) in live.items() if machine.accepts(at)), key=lambda x: (-x[0], x[1]))
 
 
 class Scorer:
@@ -135,21 +178,22 @@ class Scorer:
         return OTHER, 0.0
 
     def clauses(self, text: str) -> list[tuple[int, int, float, str]]:
-        """(start, end, score, symbols out) of the clauses with an attack."""
+        """(start, end, score, symbols out) of the clauses with an attack. A reported quotation goes on into the next sentence, but not into the next line."""
         if next(self.scan.iter(f" {_GAP.sub(' ', text.lower())} "), None) is None:
             return []
-        out = []
+        out, inside, end = [], False, 0
         for m in _CLAUSE.finditer(text):
-            state, total, read = self.machine.start, 0.0, []
-            for word in _TOKEN.findall(m[0].lower()):
-                symbol, weight = self.symbol(word)
-                state, made, factor = self.machine.step(state, symbol)
-                if made != OTHER:
-                    read.append(made)
-                    if made in "IiJjTtKk":
-                        total += weight * factor
-            if total:
-                out.append((m.start(), m.end(), total + self.machine.final(state), "".join(read)))
+            inside = inside and "\n" not in text[end : m.start()]
+            end = m.end()
+            symbols = [self.symbol(word) for word in _TOKEN.findall(m[0].lower())]
+            kinds = {s for s, _ in symbols}
+            attack = INSULT in kinds or THREAT in kinds
+            if not attack and QUOTE not in kinds:
+                continue
+            total, made, state = best_path(self.machine, in_quotation(self.machine) if inside else self.machine.start, symbols)
+            inside = quoted(state)
+            if attack:
+                out.append((m.start(), m.end(), total, made))
         return out
 
 
@@ -161,7 +205,7 @@ def document_features(clauses: list, length: int) -> list[float]:
 
 
 #: Weights before labels are seen, for the features in order and the intercept; how strongly they hold.
-PRIOR = [0.3, 0.2, 0.3, 0.0, 0.1, 0.5, 0.3, -2.5]
+PRIOR = [0.3, 0.2, 0.3, 0.0, 0.1, 0.5, 0.3, -2.2]
 PRECISION = [0.5, 0.5, 0.5, 1.0, 1.0, 1.0, 0.5, 0.05]
 
 
@@ -210,58 +254,69 @@ def held_out(doc_id="doc_id"):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, columns: list[str], rows: int) -> DataFrame:
-    """At most ``rows`` labelled rows that may be learned from, by the hash of the id, with their columns of ``docs``."""
+    """At most ``rows`` labelled rows that may be learned from, by the hash of the id, with their columns of ``docs``.
+
+    Of labels that contradict each other the higher holds; of rows that repeat an id the least is learned from.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumnRenamed("doc_id", "_id")
-    return docs.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_label", *columns)
+    found = docs.join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
+    return found.groupBy("_id").agg(F.min(F.struct("_label", *columns)).alias("_row")).select("_row.*")
 
 
 def _terms(text: str) -> set[str]:
     out = set()
-    for w in set(_TOKEN.findall(text.lower())):
-        if len(w) <= 40:
-            out.add(w + "$")
+    for w in set(_WORD.findall(text.lower())):
+        out.add(w + "$")
         out.update(w[:n] for n in STEMS if len(w) >= n)
     return out
 
 
-def _counted(sample: DataFrame, only: frozenset | None) -> DataFrame:
-    """term, pos, neg: rows of either label that hold the term, counted by partition and then summed."""
+def term_counts(sample: DataFrame) -> DataFrame:
+    """term, pos, neg: rows of either label that hold the term, counted by task and then summed; the term null counts the rows."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        counts = (Counter(), Counter())
+        counts: dict = {}
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([n[k] for n in counts.values()], pa.int64()) for k in (1, 0))], ["term", "pos", "neg"])
+            counts.clear()
+            return made
+
         for b in slices(batches):
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = _terms(text or "")
-                counts[label > 0].update(found & only if only is not None else found)
-        terms = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([counts[k][t] for t in terms], pa.int64()) for k in (1, 0))], ["term", "pos", "neg"])
+                for term in (*_terms(text or ""), None):
+                    counts.setdefault(term, [0, 0])[label > 0] += 1
+            if len(counts) > HELD_TERMS:
+                yield out()
+        yield out()
 
     return mapped(sample, run, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def _g2(pos: int, neg: int, n_pos: int, n_neg: int) -> float:
-    total, have = n_pos + n_neg, pos + neg
-    out = 0.0
-    for seen, row, col in ((pos, n_pos, have), (neg, n_neg, have), (n_pos - pos, n_pos, total - have), (n_neg - neg, n_neg, total - have)):
-        if seen > 0:
-            out += 2 * seen * math.log(seen * total / (row * col))
-    return out
+def with_evidence(counts: DataFrame, n_pos: int, n_neg: int) -> DataFrame:
+    """term, pos, odds: the terms with enough rows, log odds and G squared, of ``term_counts``."""
+    total = float(n_pos + n_neg)
+    have = F.col("pos") + F.col("neg")
+    cells = (("pos", n_pos, have), ("neg", n_neg, have), (n_pos - F.col("pos"), n_pos, total - have), (n_neg - F.col("neg"), n_neg, total - have))
+    g2 = F.lit(0.0)
+    for seen, row, column in cells:
+        seen = F.col(seen) if isinstance(seen, str) else seen
+        g2 = g2 + F.when(seen > 0, 2 * seen * F.log(seen * total / (F.lit(float(row)) * column))).otherwise(0.0)
+    odds = F.log((F.col("pos") + 0.25) / (n_pos + 0.5)) - F.log((F.col("neg") + 0.25) / (n_neg + 0.5))
+    kept = counts.where(F.col("term").isNotNull() & (F.col("pos") >= LEAST_ROWS)).withColumns({"odds": odds, "_g2": g2})
+    return kept.where((F.col("odds") >= LEAST_ODDS) & (F.col("_g2") >= LEAST_G2)).select("term", "pos", "odds")
 
 
-def choose_terms(counts: list[tuple[str, int, int]], n_pos: int, n_neg: int) -> dict[str, float]:
-    """Terms with enough evidence and their log odds.
+def choose_terms(found: list[tuple[str, int, float]]) -> dict[str, float]:
+    """Of terms with evidence (term, rows, log odds), those that say more than others, and their weights.
 
     Of beginnings that mark the same rows the longest stands, and a longer one is kept beside its own
     beginning only if it weighs more.
     """
-    odds = {}
-    for term, pos, neg in counts:
-        lo = math.log((pos + 0.25) / (n_pos + 0.5)) - math.log((neg + 0.25) / (n_neg + 0.5))
-        if pos >= LEAST_ROWS and lo >= LEAST_ODDS and _g2(pos, neg, n_pos, n_neg) >= LEAST_G2:
-            odds[term] = (min(lo, 8.0), pos)
+    odds = {term: (min(lo, 8.0), pos) for term, pos, lo in sorted(found)}
     longer: Counter = Counter()
     for term, (_, pos) in odds.items():
         for n in STEMS:
@@ -287,13 +342,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, lab
     from tarmac.llm.logistic import fit
 
     sample = written(labelled_sample(docs, labels, label, ["text"], rows))
-    sizes = {r["_label"] > 0: r["count"] for r in sample.groupBy((F.col("_label") > 0).cast("int").alias("_label")).count().collect()}
-    n_pos, n_neg = sizes.get(True, 0), sizes.get(False, 0)
+    counts = written(term_counts(sample))
+    total = counts.where("term is null").first()
     lexicon: dict[str, float] = {}
-    if n_pos and n_neg:
-        wanted = _counted(sample.where("_label > 0"), None).where(F.col("pos") >= LEAST_ROWS).orderBy(F.desc("pos"), "term").limit(TERMS)
-        only = frozenset(r["term"] for r in wanted.select("term").collect())
-        lexicon = choose_terms([tuple(r) for r in _counted(sample, only).collect()], n_pos, n_neg)
+    if total and total["pos"] and total["neg"]:
+        lexicon = choose_terms([tuple(r) for r in with_evidence(counts, total["pos"], total["neg"]).collect()])
+    dropped(counts)
 
     def features(batches: Iterator) -> Iterator:
         import pyarrow as pa

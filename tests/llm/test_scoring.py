@@ -23,7 +23,7 @@ def test_clauses_and_spans():
     text = "All is well. You are an IDIOT, you know! Nothing here"
     ((a, b, score, pattern),) = scored(text)
     assert text[a:b] == " You are an IDIOT, you know" and pattern == "YIY"
-    assert score == pytest.approx(4.0 + 1.0)  # the insult, and that it is aimed
+    assert score == pytest.approx(4.0)
     assert scored("") == [] and scored("idiotic things") == []
 
 
@@ -32,16 +32,28 @@ def test_stems_and_words():
     assert scored("xlowei") == []
 
 
+ALONE, REPORTED, NEGATED, BARE = 0.7, 0.6, 0.4, 0.4
+
+
 @pytest.mark.parametrize(
     ("text", "pattern", "score"),
     [
-        ("this is not an idiot", "Ni", 4 * 0.4),
-        ("not one two three four five idiot", "NI", 4.0),
-        ("they said he is an idiot", "RJ", 4 * 0.6),
-        ("they said he is not an idiot", "RNj", 4 * 0.4 * 0.6),
-        ("I will kill you", "TY", 1.0 + 1.0),
-        ("they said I will kill you", "RKY", 0.6 + 1.0),
-        ("idiot said", "IR", 4.0),
+        ("this is an idiot", "I", 4 * ALONE),
+        ("idiot that you are", "IY", 4.0),
+        ("this is not an idiot", "Ni", 4 * NEGATED * ALONE),
+        ("not one two three four five idiot", "NI", 4 * ALONE),
+        ("they said he is an idiot", "RJ", 4 * REPORTED * ALONE),
+        ("they said he is not an idiot", "RNj", 4 * NEGATED * REPORTED * ALONE),
+        ("I will kill you", "TY", 1.0),
+        ("they kill you", "TY", BARE),
+        ("ich werde dich umbringen", "YT", 1.0),
+        ("they said I will kill you", "RKY", REPORTED),
+        ("He said you are an idiot", "RYJ", 4 * REPORTED),
+        ("He said: you are an idiot", "RYJ", 4 * REPORTED),
+        ("Er schrieb: du bist idiot", "RYJ", 4 * REPORTED),
+        ('He said: "you are an idiot" and you are an idiot', "RYJYI", 4 * REPORTED + 4),
+        ('He wrote "you idiot', "RYJ", 4 * REPORTED),
+        ("idiot said", "IR", 4 * ALONE),
     ],
 )
 def test_composition(text, pattern, score):
@@ -49,32 +61,54 @@ def test_composition(text, pattern, score):
     assert read == pattern and got == pytest.approx(score)
 
 
-def test_composition_is_associative():
-    """Ten thousand random strings through the composed machine and through its parts in turn."""
+def test_quotations_go_on_into_the_next_sentence():
+    text = 'She said: "You are wrong. You are an idiot." You are an idiot.'
+    assert [(c[3], c[2]) for c in scored(text)] == [("YJ", pytest.approx(4 * REPORTED)), ("YI", pytest.approx(4.0))]
+    assert [c[3] for c in scored('She said: "You are wrong.\nYou are an idiot.')] == ["YI"]
+
+
+def test_best_path_equals_all_paths():
+    """Random strings through every path of the four transducers in turn, none composed."""
     rnd, whole = random.Random(1), toxicity.grammar()
-    negation, report, target = whole.first.first, whole.first.second, whole.second
-    for _ in range(2000):
-        symbols = [rnd.choice("ITYNROOO") for _ in range(rnd.randint(0, 9))]
-        state, out, w = whole.start, [], 1.0
-        for s in symbols:
-            state, made, f = whole.step(state, s)
-            out.append(made)
-            w *= f
-        line, v = symbols, 1.0
-        for machine in (negation, report, target):
-            at, new = machine.start, []
-            for s in line:
-                at, made, f = machine.step(at, s)
-                new.append(made)
-                v *= f
-            line = new
-        assert line == out and v == pytest.approx(w)
-
-
-def test_choice_of_terms():
-    counts = [("trash$", 50, 0), ("trash", 50, 0), ("tra", 50, 0), ("low", 40, 0), ("lowei", 40, 0), ("loweia", 10, 0), ("réeux", 20, 60), ("réeuxa", 15, 0), ("the$", 90, 900), ("odd$", 2, 0)]
-    found = toxicity.choose_terms(counts, 100, 1000)
-    assert {"trash$", "lowei"} <= set(found) and not {"tra", "low", "the$", "odd$", "loweia"} & set(found)
+    parts = [whole.first.first.first, whole.first.first.second, whole.first.second, whole.second]
+
+    def paths(machine, line):
+        found = [(machine.start, [])]
+        for symbol, weight in line:
+            found = [(to, [*made, (out, weight * f)]) for at, made in found for to, out, f in machine.steps(at, symbol)]
+        return [made for at, made in found if machine.accepts(at)]
+
+    for _ in range(600):
+        symbols = [(s, float(rnd.randint(1, 9)) if s in "IT" else 0.0) for s in rnd.choices("ITYNRPCQO", k=rnd.randint(0, 8))]
+        lines = [symbols]
+        for machine in parts:
+            lines = [out for line in lines for out in paths(machine, line)]
+        totals = [(sum(w for s, w in line if s in toxicity.ATTACKS), "".join(s for s, _ in line if s not in "OPCQ")) for line in lines]
+        best = min(totals, key=lambda x: (-round(x[0], 9), x[1]))
+        got = toxicity.best_path(whole, whole.start, symbols)
+        assert got[0] == pytest.approx(best[0]) and got[1] in {m for t, m in totals if t == pytest.approx(best[0])}
+
+
+def test_choice_of_terms(spark):
+    long = "x" * 300 + "$"
+    counts = [("trash$", 50, 0), ("trash", 50, 0), ("tra", 50, 0), ("low", 40, 0), ("lowei", 40, 0), ("loweia", 10, 0), ("réeux", 20, 60), ("réeuxa", 15, 0), ("the$", 90, 900), ("odd$", 2, 0), (long, 30, 0), (None, 100, 1000)]
+    kept = toxicity.with_evidence(spark.createDataFrame(counts, "term string, pos long, neg long"), 100, 1000).collect()
+    assert {r["term"]: r["odds"] for r in kept}["lowei"] == pytest.approx(np.log(40.25 / 100.5) - np.log(0.25 / 1000.5))
+    found = toxicity.choose_terms([tuple(r) for r in kept])
+    assert {"trash$", "lowei", long} <= set(found) and not {"tra", "low", "the$", "odd$", "loweia"} & set(found)
+
+
+def test_terms_are_counted_whole(spark):
+    long = "y" * 200
+    rows = [(1, f"Alpha beta {long}"), (0, "alpha alpha"), (1, None), (0, "")]
+    got = {r["term"]: (r["pos"], r["neg"]) for r in toxicity.term_counts(spark.createDataFrame(rows, "l int, t string")).collect()}
+    assert got["alpha$"] == (1, 1) and got["alp"] == (1, 1) and got[long + "$"] == (1, 0) and got["beta"] == (1, 0) and got[None] == (2, 2)
+
+
+def test_repeated_ids_do_not_widen_the_sample(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    assert sorted(map(tuple, toxicity.labelled_sample(docs, labels, "toxic", ["text"], 10).collect())) == [(0, "c"), (1, "a")]
 
 
 def test_logistic():
