@@ -1,23 +1,27 @@
-"""Exact Jaccard join of shingle sets by pivots, regions and triangle-inequality windows.
+"""Exact Jaccard join of shingle sets by pivots, Voronoi regions and triangle-inequality windows.
 
 Jaccard distance is a metric, but documents that share nothing are all at distance 1 from each other and
-from any pivot, so pivots drawn from the whole table would tell them apart by nothing. The first level of
-regions is therefore seeded by rare shingles: two linked sets share some of the least shingles of both
+from any pivot, so pivots drawn from the whole table would tell them apart by nothing. The first
+regions are therefore seeded by rare shingles: two linked sets share some of the least shingles of both
 in any fixed order of all shingles (rare ones first), so a region for each such shingle, with the sets
-replicated that hold it, loses no link. Within the regions documents are pivots:
-
-1. a region's most central sets are its first pivots, and all its other sets measure their distance to
-   them: exactly, unless a bound shows that they are out of reach;
-2. sets within the radius of 0.2 fall to the pivot's component. Sets of one component need
-   no more tests among each other, so a region of one component is finished;
-3. a set that a pivot has met is settled with it, and the pivot leaves the region. Of the rest, only
-   pairs whose distances to the region's first pivot lie within 0.2 of each other can be linked, by the
-   triangle inequality; they are joined at the next level, with more pivots, from the smallest
-   components, or in one task where the region has become small: a task compares the sketches of its sets
-   and passes on only pairs that these do not hold apart.
-
-So every linked pair is either tested or already joined through others. Regions are not divided into cells:
-where a region's sets are unlinked and at like distances from its first pivot, all its pairs are formed.
+replicated that hold it, loses no link. From there on documents are pivots, level by level:
+
+1. each region's most central set is its first pivot, and all its other sets measure their distance to
+   it: exactly, unless a bound shows that they are out of reach. Sets within the radius of 0.2 fall to
+   the pivot's component. Sets of one component need no more tests among each other, so a region of one
+   component is finished. A pivot that has met its region leaves it;
+2. a region that is still large draws several pivots. Each set goes to the cell of its nearest pivot, or to
+   the rest if all are beyond ``CUT``. A set of another cell is replicated to a cell if the triangle
+   inequality lets it be linked to one of the cell's sets: if its distance to the pivot is at most the cell's
+   radius and 0.2 (one way for two cells, as a pair has to meet once). Cells and rests are the
+   regions of the next level, and within them only pairs are met whose distances to the pivot lie within 0.2
+   of each other. A region that replication would make larger than ``GROWTH`` times itself stays whole,
+   without its pivots;
+3. a small region is joined in one task: it compares the sketches of its sets, by size and window, and passes
+   on only the pairs that these do not hold apart, for the exact test.
+
+So every linked pair is either tested or already joined through others. Where a region's sets are unlinked and
+all near each other, cells do not divide it, and its pairs are met one pivot after the other.
 """
 
 from __future__ import annotations
@@ -88,7 +92,7 @@ def common_shingles(docs: DataFrame, text_col: str) -> list[int]:
 
 
 def shingled(docs: DataFrame, id_col: str, text_col: str, common: list[int], hashed: bool = False) -> DataFrame:
-    """doc_id, key (the id, or else a hash of the text), n (set size), v (the set's name), sketch and prefix (null where the task has had the set); t, a hash of the text, if ``hashed``."""
+    """doc_id, key (the id, or else a hash of the text), n (set size), v and w (the halves of the set's name), sketch, prefix and common (how many of the prefix are; null where the task has had the set); t, a hash of the text, if ``hashed``."""
     import numpy as np
 
     last = np.array(common, dtype=np.uint64)
@@ -98,63 +102,89 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, common: list[int], has
         import numpy as np
         import pyarrow as pa
 
-        had: set[int] = set()
+        had: set[tuple] = set()
         for b in slices(batches):
-            out: list[list] = [[] for _ in range(4)]
+            out: list[list] = [[] for _ in range(6)]
             for text in b.column(2).to_pylist():
                 s = shingle_set(text)
-                n, v = len(s), fingerprint(s)
-                new = n > 0 and v not in had
-                sketch = prefix = None
+                n, name = len(s), fingerprint(s)
+                new = n > 0 and name not in had
+                sketch = prefix = known = None
                 if new:
                     if len(had) < 200_000:
-                        had.add(v)
-                    k = prefix_length(n)
+                        had.add(name)
+                    k, known = prefix_length(n), 0
                     if len(last):
                         at = np.searchsorted(last, s)
                         rare = last[np.minimum(at, len(last) - 1)] != s
                         s_first = s[rare][:k]
-                        order = s_first if len(s_first) == k else np.concatenate([s_first, s[~rare][: k - len(s_first)]])
+                        known = k - len(s_first)
+                        order = np.concatenate([s_first, s[~rare][:known]]) if known else s_first
                     else:
                         order = s[:k]
                     sketch, prefix = odd_sketch(s), order.tobytes()
-                for column, value in zip(out, (n, v, sketch, prefix), strict=True):
+                for column, value in zip(out, (n, *name, sketch, prefix, known), strict=True):
                     column.append(value)
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True)), *b.columns[3:]], ["doc_id", "key", "n", "v", "sketch", "prefix", *more])
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True)), *b.columns[3:]], ["doc_id", "key", "n", "v", "w", "sketch", "prefix", "common", *more])
 
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(id_col, text_col).alias("key"), F.col(text_col).alias("text"), *(F.xxhash64(text_col).alias(c) for c in more))
-    return mapped(keyed, run, "doc_id long, key long, n int, v long, sketch binary, prefix binary" + "".join(f", {c} long" for c in more))
+    return mapped(keyed, run, "doc_id long, key long, n int, v long, w long, sketch binary, prefix binary, common int" + "".join(f", {c} long" for c in more))
 
 
 def _key(id_col: str, text_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
 
 
+def _named_apart(sets: DataFrame) -> DataFrame:
+    """``sets`` with another v where two different sets have one: written again for as long as there are any."""
+    while True:
+        pairs = sets.where("n > 0").select("v", "w").distinct()
+        clash = written(pairs.groupBy("v").count().where("count > 1").select("v"))
+        if clash.isEmpty():
+            dropped(clash)
+            return sets
+        at = clash.select(F.col("v").alias("_v"))
+        apart = written(sets.join(at, F.col("v") == F.col("_v"), "left").withColumn("v", F.when(F.col("_v").isNull(), F.col("v")).otherwise(F.xxhash64("v", "w"))).drop("_v"))
+        dropped(sets, clash)
+        sets = apart
+
+
 def _region_rows(sets: DataFrame) -> DataFrame:
-    """s, v, n: a row for each prefix shingle of each set."""
+    """s, v, n, sure: a row for each prefix shingle of each set; ``sure`` if the shingle is known to be common."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            prefixes = [np.frombuffer(p, np.int64) for p in b.column(2).to_pylist()]
-            sizes = [len(p) for p in prefixes]
+            prefixes = [np.frombuffer(p, np.int64) for p in b.column(3).to_pylist()]
+            sizes = np.array([len(p) for p in prefixes])
+            v, n, common = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             for lo in range(0, len(prefixes), 500):
                 part = slice(lo, lo + 500)
-                s = np.concatenate(prefixes[part])
-                v = np.repeat(b.column(0).to_numpy(zero_copy_only=False)[part], sizes[part])
-                n = np.repeat(b.column(1).to_numpy(zero_copy_only=False)[part], sizes[part])
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(v), pa.array(n)], ["s", "v", "n"])
+                sure = [np.arange(k) >= k - c for k, c in zip(sizes[part], common[part], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes[part])), *(pa.array(np.repeat(x[part], sizes[part])) for x in (v, n)), pa.array(np.concatenate(sure))], ["s", "v", "n", "sure"])
 
-    return mapped(sets.where(F.col("prefix").isNotNull()).select("v", "n", "prefix"), run, "s long, v long, n int")
+    return mapped(sets.where(F.col("prefix").isNotNull()).select("v", "n", "common", "prefix"), run, "s long, v long, n int, sure boolean")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows of regions with two different sets."""
+def _seeded(sets: DataFrame) -> DataFrame:
+    """s, v, n: the rows of the regions with two different sets.
+
+    A common shingle is in many sets, so no window needs to look at its rows; what others share is few.
+    """
+    rows = _region_rows(sets)
     w = Window.partitionBy("s")
-    return rows.withColumn("_a", F.min("v").over(w)).withColumn("_b", F.max("v").over(w)).where("_a <> _b").drop("_a", "_b")
+    few = rows.where("not sure").withColumn("_a", F.min("v").over(w)).withColumn("_b", F.max("v").over(w)).where("_a <> _b")
+    few = few.select("s", "v", "n").dropDuplicates(["s", "v"])
+    return few.unionByName(rows.where("sure").select("s", "v", "n").dropDuplicates(["s", "v"]))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows of regions with two different sets, by sums that are made before the shuffle."""
+    two = rows.groupBy("s").agg(F.min("v").alias("_a"), F.max("v").alias("_b")).where("_a <> _b").select("s")
+    return rows.join(two, "s", "left_semi")
 
 
 def joined_by_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
@@ -163,10 +193,10 @@ def joined_by_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataF
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, active: DataFrame) -> DataFrame:
-    """v, items: the whole sets named in ``active`` (key, v), from their texts. Rows that repeat a key and text may repeat a set, once per task."""
-    known = active.select(F.col("key").alias("_key"), F.col("v").alias("_v"))
+    """v, items: the whole sets named in ``active`` (key, v, w), from their texts. Rows that repeat a key and text may repeat a set, once per task."""
+    known = active.select(F.col("key").alias("_key"), F.col("v").alias("_v"), F.col("w").alias("_w"))
     texts = docs.select(_key(id_col, text_col).alias("_key"), F.col(text_col).alias("text"))
-    texts = joined_by_ids(texts, known, "_key", "inner").select("_v", "text")
+    texts = joined_by_ids(texts, known, "_key", "inner").select("_v", "_w", "text")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -174,8 +204,8 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, active: DataFrame) -> Dat
         had: set[int] = set()
         for b in slices(batches):
             names, items = [], []
-            for v, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if v not in had and fingerprint(s := shingle_set(text)) == v:  # a key may have several texts
+            for v, w, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if v not in had and fingerprint(s := shingle_set(text))[1] == w:  # a key may have several texts
                     had.add(v)
                     names.append(v)
                     items.append(s.tobytes())
@@ -203,7 +233,7 @@ def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """v, p, d (the exact distance) and linked."""
+    """v, p, d (the exact distance) and linked, as a written table."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -223,14 +253,18 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     named = written(pairs.select(F.explode(F.array("v", "p")).alias("v")).distinct())
     sets = joined_by_ids(sets, named, "v", "left_semi")
     both = pairs.join(sets, "v").join(sets.select(F.col("v").alias("p"), F.col("items").alias("_items")), "p")
-    return mapped(both.select("v", "p", "items", "_items"), run, "v long, p long, d double, linked boolean").dropDuplicates(["v", "p"])
+    out = written(mapped(both.select("v", "p", "items", "_items"), run, "v long, p long, d double, linked boolean").dropDuplicates(["v", "p"]))
+    dropped(named)
+    return out
 
 
-#: Pivots of a region at each level; from the third on they are taken from its smallest components.
-PIVOTS = (1, 8, 16, 64, 256, 1024)
-#: From the third level on, a region is left to one task if it has at most so many rows, and pairs of a row
+#: Pivots of a large region at each level; the first level has one for every region.
+PIVOTS = (1, 16, 32, 64, 256, 1024)
+#: The farthest that a set's nearest pivot may be, and the rows of a divided region's cells against its own, at most.
+CUT, GROWTH = 0.6, 2.0
+#: From the second level on, a region is left to one task if it has at most so many rows, and pairs of a row
 #: outside its largest component with any row.
-LEAF_ROWS, LEAF_PAIRS = 20_000, 1 << 20
+LEAF_ROWS, LEAF_PAIRS = 20_000, 1 << 18
 
 
 def _close_in_leaves(rows: DataFrame) -> DataFrame:
@@ -286,52 +320,79 @@ def _close_in_leaves(rows: DataFrame) -> DataFrame:
     return mapped(kept, run, "v long, p long").distinct()
 
 
+def _with_regions(rows: DataFrame) -> DataFrame:
+    """``rows`` (s, v, n, g, lo, hi, c) of the regions of several components, with their size m, their largest component's size k and most central set head."""
+    central = F.max(F.struct("g", F.xxhash64("v").alias("h"), F.col("v").alias("head")))
+    of = rows.groupBy("s", "c").agg(F.count("*").alias("k"), central.alias("x"))
+    of = of.groupBy("s").agg(F.sum("k").alias("m"), F.max("k").alias("k"), F.count("*").alias("_parts"), F.max("x").alias("x")).where("_parts > 1")
+    return rows.join(of.select("s", "m", "k", F.col("x.head").alias("head")), "s")
+
+
+def _cells(rows: DataFrame, met: DataFrame) -> DataFrame:
+    """s, v, n, g, lo, hi: the next regions of ``rows`` (s, v, n, g, lo, hi, m: no pivots), divided by ``met``.
+
+    ``met`` has s, v, p and near (the lower bound of the distance), and d, exact where near is within ``CUT``.
+    """
+    own = met.where(F.col("d") <= CUT).groupBy("s", "v").agg(F.min(F.struct("d", "p")).alias("x")).select("s", "v", F.col("x.p").alias("_own"), F.col("x.d").alias("_d"))
+    radius = own.groupBy("s", F.col("_own").alias("p")).agg(F.max("_d").alias("_radius"))
+    # of a linked pair of two cells, the set of the higher pivot is replicated to the lower one
+    reach = (F.coalesce("d", "near") <= F.col("_radius") + RADIUS) & (F.col("_own").isNull() | (F.col("p") <= F.col("_own")))
+    within = met.join(radius, ["s", "p"]).join(own, ["s", "v"], "left").where(reach)
+    cells = within.select("s", "v", "p", F.coalesce(F.col("d") - 1e-9, "near").alias("lo"), F.coalesce(F.col("d") + 1e-9, F.lit(1.0)).alias("hi"))
+    rest = rows.select("s", "v", "lo", "hi").join(own, ["s", "v"], "left_anti").withColumn("p", F.lit(None).cast("long"))
+    every = cells.unionByName(rest)
+    divided = every.groupBy("s").agg(F.count("*").alias("_rows"))
+    plain = rows.select("s", "v", "n", "g", "m", F.col("lo").alias("_lo"), F.col("hi").alias("_hi")).join(divided, "s", "left")
+    grown = F.coalesce("_rows", F.lit(0)) > F.col("m") * GROWTH
+    kept = plain.where(grown).select("s", "v", "n", "g", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
+    parts = plain.where(~grown).select("s", "v", "n", "g").join(every, ["s", "v"])
+    return kept.unionByName(parts.select(F.xxhash64("s", F.coalesce("p", F.lit(0).cast("long")), F.col("p").isNull()).alias("s"), "v", "n", "g", "lo", "hi"))
+
+
 def _links(regions: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame | None:
     """v, c: a component for each set of the regions (s, v, n) that has a link; None if there are no links."""
-    region = Window.partitionBy("s")
-    sizes = regions.withColumn("_m", F.count("*").over(region))
     # central sets, in many and large regions, make the first pivots
-    central = sizes.groupBy("v").agg(F.sum("_m").alias("g"))
-    unknown = {"lo": F.lit(0.0), "hi": F.lit(1.0)}
-    live = written(sizes.drop("_m").join(central, "v").withColumns(unknown))
+    sizes = regions.groupBy("s").agg(F.count("*").alias("_m"))
+    central = regions.join(sizes, "s").groupBy("v").agg(F.sum("_m").alias("g"))
+    live = written(regions.join(central, "v").withColumns({"lo": F.lit(0.0), "hi": F.lit(1.0)}))
     label, level = None, 0
     while True:
-        pivots = PIVOTS[min(level, len(PIVOTS) - 1)]
         live = gathered(live)
         rows = live if label is None else live.join(gathered(label), "v", "left")
         rows = rows.withColumn("c", F.col("v") if label is None else F.coalesce("c", "v"))
-        rows = rows.withColumn("_a", F.min("c").over(region)).withColumn("_b", F.max("c").over(region)).where("_a <> _b").drop("_a", "_b")
-        rows = rows.withColumn("_m", F.count("*").over(region))
-        first = [F.desc("g"), F.xxhash64("v"), F.col("v")]
-        if level >= 2:
-            rows = rows.withColumn("_k", F.count("*").over(Window.partitionBy("s", "c")))
-            rows = rows.withColumn("_leaf", (F.col("_m") <= LEAF_ROWS) & (F.col("_m") * (F.col("_m") - F.max("_k").over(region)) <= LEAF_PAIRS))
-            first = [F.col("_k"), *first]
-        rows = written(rows.withColumn("_r", F.row_number().over(region.orderBy(*first))))
+        rows = written(_with_regions(rows))
         if rows.isEmpty():
             dropped(rows, live)
             return label
-        rows_at = gathered(rows)
-        divided = rows_at if level < 2 else rows_at.where(~F.col("_leaf"))
-        heads = divided.where(F.col("_r") <= pivots).select("s", F.col("v").alias("p"), F.col("n").alias("m"), F.col("c").alias("_c"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("_r").alias("_rp"))
+        at = gathered(rows)
         window = (F.col("lo") - F.col("_hi") <= RADIUS) & (F.col("_lo") - F.col("hi") <= RADIUS)
-        met = divided.join(heads, "s").where((F.col("_r") > F.col("_rp")) & (F.col("c") != F.col("_c")) & window)
+        if level == 0:
+            drawn, divided = F.col("v") == F.col("head"), at
+        else:
+            leaf = (F.col("m") <= LEAF_ROWS) & (F.col("m") * (F.col("m") - F.col("k")) <= LEAF_PAIRS)
+            leaves = written(_close_in_leaves(at.where(leaf).join(sketches, "v")))
+            divided = at.where(~leaf)
+            share = F.pmod(F.xxhash64("s", "v", F.lit(level)), F.lit(1 << 30)) * F.col("m")
+            drawn = (F.col("v") == F.col("head")) | (share < F.lit(PIVOTS[min(level, len(PIVOTS) - 1)] << 30))
+        heads = divided.where(drawn).select("s", F.col("v").alias("p"), F.col("n").alias("m_p"), F.col("c").alias("_c"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+        met = divided.join(heads, "s").where(F.col("v") != F.col("p"))
+        if level == 0:
+            met = met.where(F.col("c") != F.col("_c"))
+        seen = written(_near(met.select("v", "p", "n", F.col("m_p").alias("m")).distinct(), sketches))
+        near = gathered(seen).where("near" if level == 0 else F.col("lo") <= CUT).select("v", "p")
         if level:
-            met = met.where(5 * F.least("n", "m") >= 4 * F.greatest("n", "m"))
-        seen = written(_near(met.select("v", "p", "n", "m").distinct(), sketches))
-        near = gathered(seen).where("near").select("v", "p")
-        if level >= 2:
-            leaves = written(_close_in_leaves(rows_at.where("_leaf").join(sketches, "v")))
-            near = near.union(gathered(leaves)).distinct()
-        measured = written(_distances(near, sets))
-        rest = divided.where(F.col("_r") > pivots)
+            near = near.unionByName(gathered(leaves)).distinct()
+        measured = _distances(near, sets)
+        exact = gathered(seen).select("v", "p", F.col("lo").alias("near")).join(gathered(measured).select("v", "p", "d"), ["v", "p"], "left")
+        rest = divided.where(~drawn)
         if level == 0:
             # the distance to the region's first pivot, or what is known of it
-            exact = gathered(seen).join(gathered(measured).select("v", "p", "d"), ["v", "p"], "left")
-            exact = exact.select("v", "p", F.coalesce(F.col("d") - 1e-9, F.col("lo") - 1e-9).alias("lo"), F.coalesce(F.col("d") + 1e-9, F.lit(1.0)).alias("hi"))
-            heads = rows_at.where("_r = 1").select("s", F.col("v").alias("p"))
-            rest = rest.where("_m > 2").drop("lo", "hi").join(heads, "s").join(exact, ["v", "p"], "left").withColumns({"lo": F.coalesce("lo", F.lit(0.0)), "hi": F.coalesce("hi", F.lit(1.0))})
-        new = written(rest.select("s", "v", "n", "g", "lo", "hi"))
+            exact = exact.select("v", F.col("p").alias("head"), F.coalesce(F.col("d") - 1e-9, F.col("near") - 1e-9).alias("lo"), F.coalesce(F.col("d") + 1e-9, F.lit(1.0)).alias("hi"))
+            rest = rest.where("m > 2").drop("lo", "hi").join(exact, ["v", "head"], "left").withColumns({"lo": F.coalesce("lo", F.lit(0.0)), "hi": F.coalesce("hi", F.lit(1.0))})
+            new = written(rest.select("s", "v", "n", "g", "lo", "hi"))
+        else:
+            new = written(_cells(rest, met.where(~drawn).select("s", "v", "p").join(exact, ["v", "p"])))
+            dropped(leaves)
         links = written(measured.where("linked").select(F.col("v").alias("a"), F.col("p").alias("b")))
         if not links.isEmpty():
             label = _relabelled(label, links)
@@ -357,15 +418,16 @@ def _relabelled(label: DataFrame | None, links: DataFrame) -> DataFrame:
 def _labelled(docs: DataFrame, id_col: str, text_col: str, hashed: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """The rows of ``shingled``, and v, c: a component for each linked set (None if there are no links)."""
     docs = docs.select(F.col(id_col), F.col(text_col))
-    sets = written(shingled(docs, id_col, text_col, common_shingles(docs, text_col), hashed))
-    regions = written(_shared(_region_rows(sets)).dropDuplicates(["s", "v"]))
+    sets = _named_apart(written(shingled(docs, id_col, text_col, common_shingles(docs, text_col), hashed)))
+    regions = written(_seeded(sets))
     # a set with a link shares at least so many of its prefix shingles with others
     enough = F.greatest(F.lit(1), F.floor(F.floor((4 * F.col("n") + 4) / 5) / 20))
     active = regions.groupBy("v", "n").count().where(F.col("count") >= enough).select("v")
-    few = written(_shared(regions.join(active, "v")))
-    dropped(regions)
-    known = written(sets.where(F.col("prefix").isNotNull()).join(few.select("v").distinct(), "v").groupBy("v").agg(F.min(F.struct(F.col("doc_id").isNull(), "key", "sketch")).alias("x")).select("v", "x.key", "x.sketch"))
-    items = written(_sets(docs, id_col, text_col, known.select("key", "v")))
+    some = written(regions.join(active, "v"))
+    few = written(_shared(some))
+    dropped(regions, some)
+    known = written(sets.where(F.col("prefix").isNotNull()).join(few.select("v").distinct(), "v").groupBy("v").agg(F.min(F.struct(F.col("doc_id").isNull(), "key", "w", "sketch")).alias("x")).select("v", "x.key", "x.w", "x.sketch"))
+    items = written(_sets(docs, id_col, text_col, known))
     label = _links(few, known.select("v", "sketch"), items)
     dropped(items, few, known)
     return sets, label
@@ -381,13 +443,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets, label = _labelled(docs, id_col, text_col)
     # the least id of equal sets, and then of linked ones
     own = sets.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("_least"))
+    own = written(own)
     if label is not None:
-        own = written(own)
         named = own.join(label, "v", "left").withColumn("c", F.coalesce("c", "v"))
         least = named.groupBy("c").agg(F.min("_least").alias("_of"))
-        own = written(named.join(least, "c").select("v", F.col("_of").alias("_least")))
-    else:
-        own = written(own)
+        linked = written(named.join(least, "c").select("v", F.col("_of").alias("_least")))
+        dropped(own, label)
+        own = linked
     out = sets.select("doc_id", "n", "v").join(own, "v", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -428,6 +490,7 @@ def one_row_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         least = least.join(label, "v", "left").groupBy(F.coalesce("c", "v").alias("c")).agg(F.min("x").alias("x"))
     blank = own.where("n = 0 and doc_id is not null").groupBy("doc_id").agg(F.min("t").alias("t"))
     stay = written(least.select("x.doc_id", "x.t").unionByName(blank))
+    dropped(*([label] if label is not None else []))
     dealt = own.where("n > 0 or doc_id is not null")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))
     stays = stay.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))

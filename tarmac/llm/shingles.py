@@ -54,9 +54,10 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(text))
 
 
-def fingerprint(s: np.ndarray) -> int:
-    """A signed 64-bit name of the set."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit halves of a 128-bit name of the set."""
+    name = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True)
 
 
 def odd_sketch(s: np.ndarray) -> bytes:

@@ -73,14 +73,46 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("common", [64, 3])
-def test_components_equal_brute_force(spark, monkeypatch, seed, common):
-    monkeypatch.setattr(jaccard, "COMMON_SETS", common)
+@pytest.mark.parametrize(("common", "leaf", "growth"), [(3, 1 << 18, 2.0), (64, -1, 1e9), (3, -1, 1.0)])
+def test_components_equal_brute_force(spark, monkeypatch, seed, common, leaf, growth):
+    """With small regions joined in a task, with every region divided into cells, and with none divided that grows."""
+    for name, value in (("COMMON_SETS", common), ("LEAF_PAIRS", leaf), ("GROWTH", growth), ("PIVOTS", (1, 3, 8, 64))):
+        monkeypatch.setattr(jaccard, name, value)
     rows = corpus(seed)
     got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert sorted(map(tuple, got.collect()), key=repr) == plain_components(rows)
 
 
+def test_cells_hold_every_linked_pair(spark, monkeypatch):
+    """One level of division: sets within the radius of each other meet in a cell, and cells are smaller than their region."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(jaccard, "GROWTH", 100.0)
+    points, pivots = rng.random((300, 2)), rng.random((6, 2))
+    apart = lambda a, b: float(np.abs(a - b).max() / 1.2)
+    rows = spark.createDataFrame([(1, v, 10, 0, 0.0, 1.0, 306) for v in range(300)], "s long, v long, n int, g long, lo double, hi double, m long")
+    met = []
+    for v in range(300):
+        for p in range(6):
+            d = apart(points[v], pivots[p])
+            met.append((1, v, p, d - 0.05, d if d - 0.05 <= jaccard.CUT else None))
+    monkeypatch.setattr(jaccard, "CUT", 0.25)
+    cells = jaccard._cells(rows, spark.createDataFrame(met, "s long, v long, p long, near double, d double")).collect()
+    at = defaultdict(dict)
+    for r in cells:
+        at[r["s"]][r["v"]] = (r["lo"], r["hi"])
+    assert len(at) > 4 and max(map(len, at.values())) < 300
+    for v in range(300):
+        for u in range(v):
+            if apart(points[u], points[v]) <= 0.2:
+                assert any(u in c and v in c and c[u][0] - c[v][1] <= jaccard.RADIUS and c[v][0] - c[u][1] <= jaccard.RADIUS for c in at.values())
+
+
+def test_sets_of_one_short_name_stay_apart(spark):
+    """Where first halves clash, the second halves tell sets apart."""
+    sets = jaccard._named_apart(spark.createDataFrame([(5, 1, 3), (5, 2, 3), (6, 1, 3), (5, 1, 3)], "v long, w long, n int")).collect()
+    assert len({r["v"] for r in sets}) == 3 and len(sets) == 4
+
+
 def test_join_edges(spark, monkeypatch):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (3, "other words are in this one"), (None, "a b c d e f"), (None, "q r s t u v"), (9, "A B C D E F"), (4, None), (4, None), (8, "z " * 30_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("x")).withColumn("v", F.lit(1))
