@@ -22,6 +22,12 @@ def mapped(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFr
     return df.mapInArrow(run, schema)
 
 
+def filled(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in so few of its partitions, joined without a shuffle, that they have ``rows`` rows on average; as it is if they have."""
+    parts, n = df.rdd.getNumPartitions(), df.count()
+    return df.coalesce(max(1, n // rows)) if parts > 1 and n < parts * rows else df
+
+
 def trim() -> None:
     """Give freed memory back to the system."""
     import pyarrow as pa

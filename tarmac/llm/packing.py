@@ -8,7 +8,7 @@ until one partition is left. k begins at the least that could hold the pieces; w
 the capacity, k rises and the group is dealt again.
 
 Groups are runs of an input partition, so packing needs no shuffle and holds one group in memory; it
-repeats exactly when a lost partition is read again.
+repeats exactly when a lost partition is read again. Partitions of few rows are joined first.
 """
 
 from __future__ import annotations
@@ -19,12 +19,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.batches import mapped, slices
+from tarmac.llm.batches import filled, mapped, slices
 from tarmac.llm.tokens import END_ID, pieces, tokenizer_path
 
 CAPACITY = 2048
 #: Pieces differenced together, and the longest piece that is not a whole window.
 GROUP, MAX_PIECE = 1024, 512
+#: Rows of a partition, at least on average: smaller partitions are joined, so that few groups are small.
+LEAST_ROWS = 512
 
 #: Bits of a node's number.
 _NODE = 40
@@ -156,7 +158,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
             deal()
         yield batch()
 
-    return mapped(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SCHEMA)
+    return mapped(filled(df, LEAST_ROWS).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SCHEMA)
 
 
 def op7_differencing_packing(spark, sf_dir: str) -> DataFrame:

@@ -119,12 +119,17 @@ def _strength(q: float, m: float, n: float, n2: float, groups: float) -> float:
 
 
 def with_posteriors(df: DataFrame, evidence: DataFrame, p_col: str, host: str, path: str, names: tuple[str, str, str] = ("host_posterior", "path_posterior", "score")) -> DataFrame:
-    """``df`` with the posteriors of its host and path, without its own evidence, and the combined score.
+    """``df`` with the posteriors of its host and path, without its own evidence, and the combined score, as its last three columns.
+
+    A name that ``df`` has gets trailing underscores.
 
     ``evidence`` has host, path and ``p_col`` of every document (``df`` itself, or what it was made from).
     Null hosts and paths are sites of their own. Sites are aggregated where their rows lie before they are
     shuffled, so a host with a third of all rows is one row of each task.
     """
+    free: list[str] = []
+    for x in names:
+        free.append(free_name([*df.columns, *free], x))
     paths = written(evidence.groupBy(F.col(host).alias("_host"), F.col(path).alias("_path")).agg(F.sum(p_col).alias("_sp"), F.count(p_col).alias("_np")))
     hosts = paths.groupBy("_host").agg(F.sum("_sp").alias("_sh"), F.sum("_np").alias("_nh"))
     sites = paths.alias("p").join(hosts.alias("h"), F.col("p._host").eqNullSafe(F.col("h._host"))).select("p.*", "_sh", "_nh")
@@ -146,7 +151,7 @@ def with_posteriors(df: DataFrame, evidence: DataFrame, p_col: str, host: str, p
     bound = lambda c: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), c))
     logit = lambda c: F.log(bound(c) / (1 - bound(c)))
     score: Column = logit(own) + logit(theta_p) - F.lit(math.log(m / (1 - m)))
-    return j.select("d.*", bound(theta_h).alias(names[0]), bound(theta_p).alias(names[1]), (1 / (1 + F.exp(-score))).alias(names[2]))
+    return j.select("d.*", bound(theta_h).alias(free[0]), bound(theta_p).alias(free[1]), (1 / (1 + F.exp(-score))).alias(free[2]))
 
 
 def op6_site_shrunk_quality(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ target shares without repeating a document.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -21,7 +22,9 @@ from tarmac.llm.tokens import pieces, tokenizer_path
 
 #: Cells that may be raked in the driver and broadcast (some 100 bytes each); more are raked by Spark.
 DRIVER_CELLS = 50_000
-ROUNDS, TOLERANCE = 50, 1e-9
+#: Rounds end when every margin is within the tolerance of its target, or when so many rounds have not brought the
+#: worst one nearer by a hundredth, as where targets contradict each other.
+TOLERANCE, PATIENCE = 1e-9, 20
 TEMPERATURE = 0.9
 
 
@@ -55,8 +58,20 @@ def targets_of(totals: list[tuple], target: dict | float) -> dict:
     return {v: x / norm for v, x in out.items()} if norm else {}
 
 
-def raked(cells: list[tuple], tokens: list[float], targets: list[dict]) -> list[float]:
-    """The factor of each cell after proportional fitting to the targets of each margin in turn."""
+class _Rounds:
+    """Whether another round of fitting is worth while, by the worst margin of each round so far."""
+
+    def __init__(self):
+        self.worst: list[float] = []
+
+    def go_on(self, worst: float) -> bool:
+        self.worst.append(worst)
+        before = self.worst[-1 - PATIENCE] if len(self.worst) > PATIENCE else math.inf
+        return worst >= TOLERANCE and worst < 0.99 * before
+
+
+def raked(cells: list[tuple], tokens: list[float], targets: list[dict]) -> tuple[list[float], float]:
+    """The factor of each cell after proportional fitting to the targets of each margin in turn, and how far the worst margin is from its target."""
     import numpy as np
 
     total = sum(tokens)
@@ -67,19 +82,18 @@ def raked(cells: list[tuple], tokens: list[float], targets: list[dict]) -> list[
         values = {v: i for i, v in enumerate(dict.fromkeys(c[d] for c in cells))}
         codes.append(np.array([values[c[d]] for c in cells], dtype=np.int64))
         goals.append(np.array([target.get(v, 0.0) for v in values]))
-    for _ in range(ROUNDS):
-        worst = 0.0
+    rounds, error = _Rounds(), 0.0
+    while True:
         for code, goal in zip(codes, goals, strict=True):
             have = np.bincount(code, mass, len(goal))
-            factor = np.divide(goal, have, out=np.zeros_like(goal), where=have > 0)
-            worst = max(worst, float(np.abs(have - goal).max(initial=0)))
-            mass = mass * factor[code]
-        if worst < TOLERANCE:
+            mass = mass * np.divide(goal, have, out=np.zeros_like(goal), where=have > 0)[code]
+        error = max((float(np.abs(np.bincount(code, mass, len(goal)) - goal).max(initial=0)) for code, goal in zip(codes, goals, strict=True)), default=0.0)
+        if not rounds.go_on(error):
             break
-    return list(np.divide(mass, start, out=np.zeros_like(mass), where=start > 0))
+    return list(np.divide(mass, start, out=np.zeros_like(mass), where=start > 0)), error
 
 
-def _raked_by_spark(cells: DataFrame, dims: list[str], targets: dict) -> DataFrame:
+def _raked_by_spark(cells: DataFrame, dims: list[str], targets: dict) -> tuple[DataFrame, float]:
     """``raked`` for cells that the driver should not hold: every step is a grouped sum and a join by one margin."""
     total = cells.agg(F.sum("_tokens")).first()[0] or 1
     now = written(cells.withColumn("_start", F.col("_tokens") / total).withColumn("_mass", F.col("_tokens") / total))
@@ -97,27 +111,31 @@ def _raked_by_spark(cells: DataFrame, dims: list[str], targets: dict) -> DataFra
             goal = have.withColumn("_g", F.pow(F.col("_t") / total, F.lit(target)))
         norm = goal.agg(F.sum("_g")).first()[0] or 1.0
         goals.append(written(goal.select("_v", (F.col("_g") / norm).alias("_g"))))
-    for _ in range(ROUNDS):
+    rounds = _Rounds()
+    while True:
         worst = 0.0
         for d, goal in zip(dims, goals, strict=True):
             have = now.groupBy(F.col(d).alias("_w")).agg(F.sum("_mass").alias("_have"))
             factors = written(have.join(goal, F.col("_v").eqNullSafe(F.col("_w")), "left").select("_w", F.coalesce("_g", F.lit(0.0)).alias("_g"), "_have"))
+            # before it is scaled, a margin shows what the others have left of it
             worst = max(worst, factors.agg(F.max(F.abs(F.col("_have") - F.col("_g")))).first()[0] or 0.0)
             scale = F.when(F.col("_have") > 0, F.col("_g") / F.col("_have")).otherwise(0.0)
             new = written(now.join(factors, F.col(d).eqNullSafe(F.col("_w"))).select(*dims, "_tokens", "_start", (F.col("_mass") * scale).alias("_mass")))
             dropped(now, factors)
             now = new
-        if worst < TOLERANCE:
+        if not rounds.go_on(worst):
             break
-    return now.select(*dims, F.when(F.col("_start") > 0, F.col("_mass") / F.col("_start")).otherwise(0.0).alias("_weight"))
+    dropped(*goals)
+    return now.select(*dims, F.when(F.col("_start") > 0, F.col("_mass") / F.col("_start")).otherwise(0.0).alias("_weight")), worst
 
 
 def mix(df: DataFrame, evidence: DataFrame, dims: list[str], tokens: str, targets: dict, seed: int = 29, key: list[str] | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
-    """``df`` with weight (the raked factor), probability and sampled (by a seeded hash of ``key``).
+    """``df`` with weight (the raked factor), margin_error, probability and sampled (by a seeded hash of ``key``).
 
     ``evidence`` has ``dims`` and ``tokens`` of all documents (``df`` or what it was made from); ``targets``
     maps a dimension to shares by value, or to a temperature that its shares are raised to (``TEMPERATURE``
-    where it is missing). Null values are values of their own. Documents without tokens weigh 0 in the sums
+    where it is missing). margin_error, the same in every row, is how far the worst margin's share of the raked
+    tokens is from its target: above the tolerance where targets contradict each other. Null values are values of their own. Documents without tokens weigh 0 in the sums
     but are drawn with their cell's probability; a cell of no tokens at all, or of a value with target 0, is
     never drawn. Rows equal in ``key`` are drawn together. New columns get trailing underscores where ``df``
     has their names.
@@ -133,22 +151,23 @@ def mix(df: DataFrame, evidence: DataFrame, dims: list[str], tokens: str, target
             for r in rows:
                 sums[r[d]] = sums.get(r[d], 0.0) + r[-1]
             goals.append(targets_of(list(sums.items()), targets.get(dims[d], TEMPERATURE)))
-        weights = raked([r[:-1] for r in rows], [r[-1] for r in rows], goals)
+        weights, error = raked([r[:-1] for r in rows], [r[-1] for r in rows], goals)
         schema = ", ".join(f"`{d}` {cells.schema[d].dataType.simpleString()}" for d in dims) + ", _weight double"
         table = spark.createDataFrame([(*r[:-1], float(w)) for r, w in zip(rows, weights, strict=True)], schema)
         most = max(weights, default=0.0)
     else:
-        table = written(_raked_by_spark(cells, dims, targets))
+        fitted, error = _raked_by_spark(cells, dims, targets)
+        table = written(fitted)
         most = table.agg(F.max("_weight")).first()[0] or 0.0
     dropped(cells)
     same = reduce(lambda a, b: a & b, [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in dims])
     names: list[str] = []
-    for x in ("weight", "probability", "sampled"):
+    for x in ("weight", "margin_error", "probability", "sampled"):
         names.append(free_name([*df.columns, *names], x))
-    out = df.alias("d").join((F.broadcast(table) if small else table).alias("t"), same, "left").select("d.*", F.coalesce("t._weight", F.lit(0.0)).alias(names[0]))
-    out = out.withColumn(names[1], F.col(names[0]) / F.lit(most or 1.0))
+    out = df.alias("d").join((F.broadcast(table) if small else table).alias("t"), same, "left").select("d.*", F.coalesce("t._weight", F.lit(0.0)).alias(names[0]), F.lit(error).alias(names[1]))
+    out = out.withColumn(names[2], F.col(names[0]) / F.lit(most or 1.0))
     drawn = F.pmod(F.xxhash64(F.lit(seed), *(key or df.columns)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    return out.withColumn(names[2], (drawn < F.col(names[1])).cast("int"))
+    return out.withColumn(names[3], (drawn < F.col(names[2])).cast("int"))
 
 
 def topical(docs: DataFrame) -> tuple[DataFrame, str]:

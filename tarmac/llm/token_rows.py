@@ -15,10 +15,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.batches import mapped, slices
+from tarmac.llm.batches import filled, mapped, slices
 from tarmac.llm.tokens import END_ID, pieces, tokenizer_path
 
 CAPACITY, GROUP, PAD_ID = 2048, 2048, 0
+#: Rows of a partition, at least on average: smaller partitions are joined, so that few groups are small.
+LEAST_ROWS = 512
 SCHEMA = "row_id long, n_ids int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>"
 
 
@@ -143,11 +145,11 @@ def token_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
         deal()
         yield batch()
 
-    return mapped(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SCHEMA)
+    return mapped(filled(df, LEAST_ROWS).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SCHEMA)
 
 
 def write_rows(rows: DataFrame, path: str) -> None:
-    """Rows of ``token_rows`` as uncompressed-page Parquet, whose binary columns are the matrices row by row."""
+    """Rows of ``token_rows`` as Parquet in zstd, whose binary columns are the matrices row by row."""
     rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 

@@ -287,6 +287,32 @@ def test_raking_meets_the_margins(spark, cells):
     assert all(r["probability"] == pytest.approx(r["weight"] / max(x["weight"] for x in out)) for r in out)
 
 
+def test_raking_equals_plain_fitting():
+    """Against a dense array that is scaled margin by margin."""
+    rng = np.random.default_rng(8)
+    dense = rng.integers(1, 50, size=(3, 4, 2)).astype(float)
+    goals = [rng.dirichlet(np.ones(k)) for k in dense.shape]
+    want = dense / dense.sum()
+    for _ in range(500):
+        for axis, goal in enumerate(goals):
+            other = tuple(i for i in range(3) if i != axis)
+            shape = [1, 1, 1]
+            shape[axis] = -1
+            want = want * (goal / want.sum(other)).reshape(shape)
+    cells = list(np.ndindex(*dense.shape))
+    got, error = raking.raked(cells, [dense[c] for c in cells], [dict(enumerate(g)) for g in goals])
+    assert error < 1e-8 and np.allclose(got, [want[c] * dense.sum() / dense[c] for c in cells])
+
+
+@pytest.mark.parametrize("cells", [50_000, 0])
+def test_contradicting_targets_show(spark, cells):
+    # each source has one language, so their shares cannot differ
+    df = spark.createDataFrame([(i, "ab"[i % 2], "xy"[i % 2], 10) for i in range(20)], "doc_id long, source string, lang string, words long")
+    out = raking.mix(df, df, ["source", "lang"], "words", {"source": {"a": 0.2, "b": 0.8}, "lang": {"x": 0.7, "y": 0.3}}, driver_cells=cells).collect()
+    assert {round(r["margin_error"], 6) for r in out} == {0.5}
+    assert {r["margin_error"] < 1e-9 for r in raking.mix(df, df, ["source"], "words", {"source": {"a": 0.2, "b": 0.8}}, driver_cells=cells).collect()} == {True}
+
+
 def test_both_ways_of_raking_agree(spark):
     df = spark.createDataFrame(_table(random.Random(8), 200), SCHEMA)
     a, b = ({r["doc_id"]: r["weight"] for r in raking.mix(df, df, DIMS, "words", {}, driver_cells=c).collect()} for c in (50_000, 0))
@@ -304,7 +330,7 @@ def test_raking_edges(spark):
     rows = [(1, None, "x", "p", 0), (1, None, "x", "p", 0), (None, "a", None, "q", None), (3, "a", "x", "q", 5)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("weight", F.lit("mine"))
     out = raking.mix(df, df, DIMS, "words", {"source": {"a": 1.0}})
-    assert out.columns == [*df.columns, "weight_", "probability", "sampled"] and out.count() == 4
+    assert out.columns == [*df.columns, "weight_", "margin_error", "probability", "sampled"] and out.count() == 4
     assert raking.mix(df.where("false"), df.where("false"), DIMS, "words", {}).count() == 0
     assert raking.mix(df.where("words = 0"), df.where("words = 0"), DIMS, "words", {}).where("sampled = 1").count() == 0
 

@@ -223,3 +223,14 @@ def test_crc_of_op7(spark, tmp_path):
     (r,) = packing.op7_differencing_packing(spark, str(tmp_path)).collect()
     ids = np.frombuffer(tokens.pieces(tokens.tokenizer_path()).ids("alpha beta"), "<u4").tolist() + [1]
     assert (r["ids_crc32"], r["doc_tokens"], r["length"]) == (zlib.crc32(np.array(ids, "<u4").tobytes()), len(ids), len(ids))
+
+
+@pytest.mark.parametrize("parts", [1, 8, 250])
+def test_small_partitions_are_filled(spark, parts):
+    rnd = random.Random(parts)
+    rows = [(i, " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rnd.randint(20, 900)))) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = packing.pack(df).agg(F.sum("length").alias("n"), F.countDistinct("sequence_id").alias("k")).first()
+    assert got["n"] / (2048 * got["k"]) > 0.95
+    got = token_rows.token_rows(df).agg(F.sum("n_ids").alias("n"), F.count("*").alias("k")).first()
+    assert got["n"] / (2048 * got["k"]) > 0.95
