@@ -10,7 +10,7 @@ replicated that hold it, loses no link. From there on documents are pivots, leve
    it: exactly, unless a bound shows that they are out of reach. Sets within the radius of 0.2 fall to
    the pivot's component. Sets of one component need no more tests among each other, so a region of one
    component is finished. A pivot that has met its region leaves it;
-2. a region that is still large draws several pivots. Each set goes to the cell of its nearest pivot, or to
+2. a region that is still large at the third level draws several pivots. Each set goes to the cell of its nearest pivot, or to
    the rest if all are beyond ``CUT``. A set of another cell is replicated to a cell if the triangle
    inequality lets it be linked to one of the cell's sets: if its distance to the pivot is at most the cell's
    radius and 0.2 (one way for two cells, as a pair has to meet once). Cells and rests are the
@@ -258,13 +258,15 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-#: Pivots of a large region at each level; the first level has one for every region.
-PIVOTS = (1, 16, 32, 64, 256, 1024)
+#: Pivots of a region at each level.
+PIVOTS = (1, 8, 16, 64, 256, 1024)
+#: The level from which regions are divided into cells or left to a task; before it, most have become one component.
+DIVIDED = 2
 #: The farthest that a set's nearest pivot may be, and the rows of a divided region's cells against its own, at most.
 CUT, GROWTH = 0.6, 2.0
-#: From the second level on, a region is left to one task if it has at most so many rows, and pairs of a row
+#: A region is left to one task if it has at most so many rows, and pairs of a row
 #: outside its largest component with any row.
-LEAF_ROWS, LEAF_PAIRS = 20_000, 1 << 18
+LEAF_ROWS, LEAF_PAIRS = 20_000, 1 << 20
 
 
 def _close_in_leaves(rows: DataFrame) -> DataFrame:
@@ -366,21 +368,22 @@ def _links(regions: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFram
             return label
         at = gathered(rows)
         window = (F.col("lo") - F.col("_hi") <= RADIUS) & (F.col("_lo") - F.col("hi") <= RADIUS)
-        if level == 0:
-            drawn, divided = F.col("v") == F.col("head"), at
-        else:
+        # the same sets are pivots in all the regions that hold them
+        share = F.pmod(F.xxhash64("v", F.lit(level)), F.lit(1 << 30)) * F.col("m")
+        drawn, divided = F.col("v") == F.col("head"), at
+        if level:
+            drawn = drawn | (share < F.lit(PIVOTS[min(level, len(PIVOTS) - 1)] << 30))
+        if level >= DIVIDED:
             leaf = (F.col("m") <= LEAF_ROWS) & (F.col("m") * (F.col("m") - F.col("k")) <= LEAF_PAIRS)
             leaves = written(_close_in_leaves(at.where(leaf).join(sketches, "v")))
             divided = at.where(~leaf)
-            share = F.pmod(F.xxhash64("s", "v", F.lit(level)), F.lit(1 << 30)) * F.col("m")
-            drawn = (F.col("v") == F.col("head")) | (share < F.lit(PIVOTS[min(level, len(PIVOTS) - 1)] << 30))
         heads = divided.where(drawn).select("s", F.col("v").alias("p"), F.col("n").alias("m_p"), F.col("c").alias("_c"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
         met = divided.join(heads, "s").where(F.col("v") != F.col("p"))
-        if level == 0:
-            met = met.where(F.col("c") != F.col("_c"))
+        if level < DIVIDED:
+            met = met.where((F.col("c") != F.col("_c")) & window)
         seen = written(_near(met.select("v", "p", "n", F.col("m_p").alias("m")).distinct(), sketches))
-        near = gathered(seen).where("near" if level == 0 else F.col("lo") <= CUT).select("v", "p")
-        if level:
+        near = gathered(seen).where("near" if level < DIVIDED else F.col("lo") <= CUT).select("v", "p")
+        if level >= DIVIDED:
             near = near.unionByName(gathered(leaves)).distinct()
         measured = _distances(near, sets)
         exact = gathered(seen).select("v", "p", F.col("lo").alias("near")).join(gathered(measured).select("v", "p", "d"), ["v", "p"], "left")
@@ -389,6 +392,7 @@ def _links(regions: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFram
             # the distance to the region's first pivot, or what is known of it
             exact = exact.select("v", F.col("p").alias("head"), F.coalesce(F.col("d") - 1e-9, F.col("near") - 1e-9).alias("lo"), F.coalesce(F.col("d") + 1e-9, F.lit(1.0)).alias("hi"))
             rest = rest.where("m > 2").drop("lo", "hi").join(exact, ["v", "head"], "left").withColumns({"lo": F.coalesce("lo", F.lit(0.0)), "hi": F.coalesce("hi", F.lit(1.0))})
+        if level < DIVIDED:
             new = written(rest.select("s", "v", "n", "g", "lo", "hi"))
         else:
             new = written(_cells(rest, met.where(~drawn).select("s", "v", "p").join(exact, ["v", "p"])))

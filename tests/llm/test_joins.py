@@ -72,11 +72,10 @@ def corpus(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize(("common", "leaf", "growth"), [(3, 1 << 18, 2.0), (64, -1, 1e9), (3, -1, 1.0)])
-def test_components_equal_brute_force(spark, monkeypatch, seed, common, leaf, growth):
+@pytest.mark.parametrize(("seed", "common", "divided", "leaf", "growth"), [(1, 3, 2, 1 << 20, 2.0), (2, 64, 1, -1, 1e9), (1, 3, 1, -1, 1.0)])
+def test_components_equal_brute_force(spark, monkeypatch, seed, common, divided, leaf, growth):
     """With small regions joined in a task, with every region divided into cells, and with none divided that grows."""
-    for name, value in (("COMMON_SETS", common), ("LEAF_PAIRS", leaf), ("GROWTH", growth), ("PIVOTS", (1, 3, 8, 64))):
+    for name, value in (("COMMON_SETS", common), ("DIVIDED", divided), ("LEAF_PAIRS", leaf), ("GROWTH", growth), ("PIVOTS", (1, 3, 8, 64))):
         monkeypatch.setattr(jaccard, name, value)
     rows = corpus(seed)
     got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
