@@ -45,8 +45,7 @@ EXTRA = ("std_dep_delay", "on_time_rate", "diverted_rate")
 
 def features() -> dict[str, Column]:
     """Carrier features by name. Diverted flights count among the causes, as flown flights without one."""
-    on_time = F.sum(F.when(flown() & (F.col("DEP_DELAY") <= 0), 1.0).otherwise(0.0))
-    departed = F.sum(F.when(flown(), 1.0).otherwise(0.0))
+    on_time, departed = F.count_if(flown() & (F.col("DEP_DELAY") <= 0)), F.count_if(flown())
     causes = dict(zip(BASE[3:], ("CARRIER_DELAY", "WEATHER_DELAY", "NAS_DELAY", "SECURITY_DELAY", "LATE_AIRCRAFT_DELAY"), strict=True))
     return {
         "avg_dep_delay": mean("DEP_DELAY", flown()),

@@ -20,6 +20,17 @@ def kll_quantiles(value: str, ranks: Sequence[float], k: int = K) -> list[Column
     return [F.kll_sketch_get_quantile_float(sketch, F.lit(float(q))).cast("double") for q in ranks]
 
 
+def rank_errors(df: DataFrame, found: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, float]) -> DataFrame:
+    """``keys``, percentile, and rank_error: how far a found quantile lies from its rank among the group's values, ties in its favour."""
+    long = found.unpivot(list(keys), list(ranks), "percentile", "_q")
+    wanted = F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")).join(long, list(keys))
+    below, upto = (F.count_if(c) / F.count("*") for c in (F.col("_v") < F.col("_q"), F.col("_v") <= F.col("_q")))
+    out = rows.groupBy(*keys, "percentile").agg(below.alias("_a"), upto.alias("_b"))
+    rank = wanted[F.col("percentile")]
+    return out.select(*keys, "percentile", F.greatest(F.col("_a") - rank, rank - F.col("_b"), F.lit(0.0)).alias("rank_error"))
+
+
 def compress(means, weights, compression: float = COMPRESSION):
     """Centroids merged in their order while each spans at most one unit of the arcsine scale."""
     import numpy as np

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tarmac.functions.expressions import text
 from tarmac.operators.delays import CARRIER, RANKS
+from tarmac.sources.flights import CAUSE_MEANS
 
-CAUSE_MEANS = ("avg_carrier_delay", "avg_weather_delay", "avg_nas_delay", "avg_security_delay", "avg_late_aircraft_delay")
 MONTHLY = ("total_flights", "cancelled_flights", "cancellation_rate_pct", "avg_dep_delay", "min_dep_delay", "max_dep_delay")
 _MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from tarmac.functions.expressions import BASE, EXTRA
-from tarmac.sources.flights import CAUSES, FIXTURE_SQL
+from tarmac.sources.flights import CAUSE_MEANS, CAUSES, FIXTURE_SQL
 
 _C = "OP_UNIQUE_CARRIER"
-_CAUSE_NAMES = ("avg_carrier_delay", "avg_weather_delay", "avg_nas_delay", "avg_security_delay", "avg_late_aircraft_delay")
 _HOURLY = f"{_C} IN ('AA', 'DL', 'UA', 'WN') AND CANCELLED = 0"
 
 MONTHLY_STATS = f"""SELECT {_C}, YEAR, MONTH, count(*) AS total_flights,
@@ -17,7 +16,7 @@ MONTHLY_STATS = f"""SELECT {_C}, YEAR, MONTH, count(*) AS total_flights,
  max(CASE WHEN CANCELLED = 0 THEN DEP_DELAY END) AS max_dep_delay
 FROM flights WHERE {_C} IN ('AA', 'DL') GROUP BY {_C}, YEAR, MONTH ORDER BY {_C}, YEAR, MONTH"""
 
-_FILLED = ", ".join(f"round(avg(coalesce({c}, CAST(0 AS DOUBLE))), 4) AS {n}" for c, n in zip(CAUSES, _CAUSE_NAMES, strict=True))
+_FILLED = ", ".join(f"round(avg(coalesce({c}, CAST(0 AS DOUBLE))), 4) AS {n}" for c, n in zip(CAUSES, CAUSE_MEANS, strict=True))
 TOP_DELAYS = f"""SELECT {_C}, count(*) AS num_flights, round(avg(ARR_DELAY), 4) AS avg_arr_delay, {_FILLED}
 FROM flights WHERE CANCELLED = 0 AND DIVERTED = 0 GROUP BY {_C} HAVING count(*) >= 500
 ORDER BY avg_arr_delay DESC, {_C} LIMIT 10"""
@@ -118,10 +117,30 @@ ORACLES: dict[str, str] = {
     ),
     "serve_q1_hash": _with(_entries("q", f"'q1:' || {_C} || ':' || YEAR || ':' || MONTH", _own("total_flights", "cancelled_flights", "cancellation_rate_pct", "avg_dep_delay", "min_dep_delay", "max_dep_delay")), extra=_Q1),
     "serve_q2_ranking": _with(f"SELECT 'q2:ranking' AS key, {_C} AS member, avg_arr_delay AS score FROM q", extra=_Q2),
-    "serve_q2_hash": _with(_entries("q", f"'q2:' || {_C}", _own("num_flights", "avg_arr_delay", *_CAUSE_NAMES)), extra=_Q2),
+    "serve_q2_hash": _with(_entries("q", f"'q2:' || {_C}", _own("num_flights", "avg_arr_delay", *CAUSE_MEANS)), extra=_Q2),
     "serve_q3_hash": _with(_entries("q", f"'q3:percentiles:' || {_C} || ':' || hour", _own(*_PCT)), extra=_Q3),
     "serve_q1_viz": _with(_entries("q", f"'q1:viz:' || {_C} || ':@'", {"avg_dep_delay": ("m", "avg_dep_delay"), "cancellation_rate": ("m", "cancellation_rate_pct")}), extra=f"r AS ({MONTHLY_STATS}), q AS (SELECT *, {_MONTHS} AS m FROM r QUALIFY row_number() OVER (PARTITION BY {_C}, MONTH ORDER BY YEAR DESC) = 1)"),
-    "serve_q2_viz": _with(_entries("q", "'q2:viz:@'", {n: (_C, n) for n in _CAUSE_NAMES}), extra=_Q2),
+    "serve_q2_viz": _with(_entries("q", "'q2:viz:@'", {n: (_C, n) for n in CAUSE_MEANS}), extra=_Q2),
     "serve_q3_viz": _with(_entries("q", f"'q3:viz:' || {_C} || ':@'", {n: ("lpad(CAST(hour AS VARCHAR), 2, '0')", n) for n in _PCT}), extra=_Q3),
     "serve_top3": _with(f"SELECT {_C} AS member, avg_arr_delay AS score FROM q ORDER BY score DESC, member LIMIT 3", extra=_Q2),
+    "study_standard_scores": _with(
+        f"SELECT {_C}, feature, round((value - avg(value) OVER w) / coalesce(nullif(stddev_samp(value) OVER w, 0), 1), 4) AS value FROM (SELECT {_C}, feature, coalesce(value, 0) AS value FROM ({_LONG})) WINDOW w AS (PARTITION BY feature)",
+        top=True,
+        extra=f"f AS ({_feature_table(BASE)})",
+    ),
+    "study_costs": "SELECT CAST(k AS INTEGER) AS k, true AS cost_matches, true AS silhouette_in_range FROM range(2, 7) AS t(k)",
+    "correlation_report": _with(
+        f"SELECT extra_feature, max_by(feature, struct_pack(a := abs(raw), b := -i)) AS best_correlate, round(max(abs(raw)), 4) AS max_abs_corr, CASE WHEN max(abs(raw)) >= 0.8 THEN 'REDUNDANT' ELSE 'KEEP' END AS verdict, "
+        + ", ".join(f"CASE WHEN extra_feature = '{c}' THEN 1.0::DOUBLE ELSE max(CASE WHEN feature = '{c}' THEN round(raw, 4) END) END AS corr_{c}" for c in _ALL)
+        + f" FROM ({_CORR}) GROUP BY extra_feature",
+        top=True,
+        extra=f"f AS ({_feature_table(_ALL)})",
+    ),
+    **{f"q3_{n}_rank_error": _with(f"SELECT {_C}, hour, percentile, true AS close FROM q, (VALUES ('p25'), ('p50'), ('p75'), ('p90')) AS r(percentile)", extra=_Q3) for n in ("kll", "tdigest")},
+    "csv_round_trip": _with("SELECT " + ", ".join(f"{_text(c)} AS {c}" for c in (_C, "YEAR", "MONTH", "total_flights", "cancelled_flights", "cancellation_rate_pct", "avg_dep_delay", "min_dep_delay", "max_dep_delay")) + " FROM q", extra=_Q1),
+    "csv_by_position": _with(f"SELECT {_C}, {_text('total_flights')} AS total_flights FROM top", top=True),
+    "csv_optional_missing": "SELECT 'a' AS carrier, 'b' AS flights WHERE false",
+    "csv_ingest": _with(f"SELECT {_C}, YEAR, count(*) AS flights, round(sum(ARR_DELAY), 2) AS arr_delay, count(DEP_DELAY) AS dep_delays FROM flights GROUP BY {_C}, YEAR"),
+    "view_by_sql": _with(f"SELECT {_C}, max(ARR_DELAY) AS worst FROM flights GROUP BY {_C}"),
+    "benchmark_summary": "SELECT query, api, min(t) AS min, max(t) AS max, avg(t) AS avg, median(t) AS median, round(coalesce(var_samp(t), 0), 9) AS variance FROM (VALUES ('q1', 'df', 0.5::DOUBLE), ('q1', 'df', 0.25), ('q1', 'df', 1.0), ('q1', 'df', 0.75), ('q1', 'sql', 0.5), ('q2', 'df', 2.0), ('q2', 'df', 1.0)) AS r(query, api, t) GROUP BY query, api",
 }

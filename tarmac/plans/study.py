@@ -92,6 +92,23 @@ class Study:
     def profile(self) -> DataFrame:
         return profile(self.assigned, self.table, self.features)
 
+    def standard_scores(self) -> DataFrame:
+        """Carrier, feature and its standardised value (4 digits)."""
+        x = vector_to_array("features")
+        entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.round(x[i], 4).alias("value")) for i, c in enumerate(self.features)])
+        return self.assigned.select(CARRIER, F.explode(entries).alias("x")).select(CARRIER, "x.*")
+
+    def recomputed(self) -> DataFrame:
+        """k, and whether the assignments' own squared distances to their clusters' means add up to the model's cost and to no less than the next k's."""
+        rows = []
+        for k, model in self.sweep.models.items():
+            x = vector_to_array("features")
+            wide = model.transform(self.assigned.drop("prediction")).select("prediction", F.posexplode(x).alias("i", "x"))
+            mean = wide.groupBy("prediction", "i").agg(F.avg("x").alias("m"))
+            cost = wide.join(mean, ["prediction", "i"]).agg(F.sum(F.pow(F.col("x") - F.col("m"), 2))).first()[0]
+            rows.append((k, bool(abs(cost - self.sweep.wssse[k]) < 1e-6 * (1 + cost)), bool(-1 <= self.sweep.silhouette[k] <= 1), k == self.sweep.best_k))
+        return self.table.sparkSession.createDataFrame(rows, "k int, cost_matches boolean, silhouette_in_range boolean, best boolean")
+
     def pca(self, k: int = 2) -> DataFrame:
         """Carrier, coordinates, prediction, and the share of variance that each coordinate explains."""
         model = PCA(k=k, inputCol="features", outputCol="pca").fit(self.assigned)
@@ -105,11 +122,19 @@ class Study:
         return self.name, self.name.upper(), len(self.features), ",".join(self.features), k, round(self.sweep.silhouette[k], 4), round(self.sweep.wssse[k], 4), round(self.seconds, 4)
 
 
-def run_study(flights: DataFrame, name: str = "base", features: Sequence[str] | None = None) -> Study:
-    """The base study has the base features; the extended one adds those extra features that no other makes redundant."""
+def _held(table: DataFrame) -> DataFrame:
+    """The rows of ``table``, a row for each of at most 15 carriers, kept in the plan itself, so that nothing is scanned again and no cache is left."""
+    return table.sparkSession.createDataFrame(table.collect(), table.schema)
+
+
+def run_study(flights: DataFrame, name: str = "base", features: Sequence[str] | None = None, table: DataFrame | None = None) -> Study:
+    """The base study has the base features; the extended one adds those extra features that no other makes redundant.
+
+    ``table`` has all their features of the top carriers, if they are known; else the flights are scanned.
+    """
     began = time.time()
     wanted = list(features or (BASE if name == "base" else (*BASE, *EXTRA)))
-    table = carrier_features(flights, wanted).cache()
+    table = _held(carrier_features(flights, wanted) if table is None else table.select(CARRIER, "total_flights", *wanted))
     redundancy = None
     if extra := [c for c in wanted if c in EXTRA]:
         redundancy = feature_redundancy(table, wanted, extra)
@@ -117,10 +142,17 @@ def run_study(flights: DataFrame, name: str = "base", features: Sequence[str] |
         wanted = [c for c in wanted if c not in gone]
     scaled = standardised(table, wanted).cache()
     found = sweep(scaled)
-    assigned = found.models[found.best_k].transform(scaled)
+    assigned = _held(found.models[found.best_k].transform(scaled))
+    scaled.unpersist()
     return Study(name, wanted, table, assigned, found, redundancy, time.time() - began)
 
 
+def run_studies(flights: DataFrame, names: Sequence[str] = ("base", "extended")) -> list[Study]:
+    """The studies over one scan of the flights."""
+    table = _held(carrier_features(flights, (*BASE, *EXTRA)))
+    return [run_study(flights, n, table=table) for n in names]
+
+
 def comparison(studies: Sequence[Study]) -> DataFrame:
     schema = "study string, label string, n_features int, features string, best_k int, best_silhouette double, best_wssse double, elapsed_seconds double"
     return studies[0].table.sparkSession.createDataFrame([s.summary() for s in studies], schema)

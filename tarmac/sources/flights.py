@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 _DOUBLES = ("CANCELLED", "DIVERTED")
+#: The causes' columns, and the names of their means.
 CAUSES = ("CARRIER_DELAY", "WEATHER_DELAY", "NAS_DELAY", "SECURITY_DELAY", "LATE_AIRCRAFT_DELAY")
+CAUSE_MEANS = ("avg_carrier_delay", "avg_weather_delay", "avg_nas_delay", "avg_security_delay", "avg_late_aircraft_delay")
 
 SCHEMA = T.StructType(
     [T.StructField("OP_UNIQUE_CARRIER", T.StringType()), T.StructField("YEAR", T.IntegerType()), T.StructField("MONTH", T.IntegerType())]
