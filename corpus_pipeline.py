@@ -32,8 +32,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are more likely good than not, given their text, host and path."""
     model = fit_quality(docs, _labels(spark, sf_dir))
     p, h, s, q = (free_name(docs.columns, x) for x in ("_quality", "_host_posterior", "_path_posterior", "_score"))
-    evidence = model.probability(docs.select("source", "lang", "text"), out_col=p, keep_text=False)
-    judged = with_posteriors(model.probability(docs, out_col=p), evidence, p, "source", "lang", (h, s, q))
+    known = written(model.probability(docs, out_col=p))  # texts are read by the classifier once
+    judged = with_posteriors(known, known, p, "source", "lang", (h, s, q))
     return judged.where(F.col(q) >= 0.5).select(*docs.columns)
 
 
