@@ -368,16 +368,15 @@ def _links(regions: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFram
             return label
         at = gathered(rows)
         window = (F.col("lo") - F.col("_hi") <= RADIUS) & (F.col("_lo") - F.col("hi") <= RADIUS)
-        # the same sets are pivots in all the regions that hold them
-        share = F.pmod(F.xxhash64("v", F.lit(level)), F.lit(1 << 30)) * F.col("m")
-        drawn, divided = F.col("v") == F.col("head"), at
-        if level:
-            drawn = drawn | (share < F.lit(PIVOTS[min(level, len(PIVOTS) - 1)] << 30))
+        divided = at
         if level >= DIVIDED:
             leaf = (F.col("m") <= LEAF_ROWS) & (F.col("m") * (F.col("m") - F.col("k")) <= LEAF_PAIRS)
             leaves = written(_close_in_leaves(at.where(leaf).join(sketches, "v")))
             divided = at.where(~leaf)
-        heads = divided.where(drawn).select("s", F.col("v").alias("p"), F.col("n").alias("m_p"), F.col("c").alias("_c"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+        # the most central sets, which are pivots in all the regions that hold them; each task ranks its own before the shuffle
+        ranked = divided.withColumn("_r", F.row_number().over(Window.partitionBy("s").orderBy(F.desc("g"), F.desc(F.xxhash64("v")), F.desc("v"))))
+        heads = ranked.where(F.col("_r") <= PIVOTS[min(level, len(PIVOTS) - 1)])
+        heads = written(heads.select("s", F.col("v").alias("p"), F.col("n").alias("m_p"), F.col("c").alias("_c"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi")))
         met = divided.join(heads, "s").where(F.col("v") != F.col("p"))
         if level < DIVIDED:
             met = met.where((F.col("c") != F.col("_c")) & window)
@@ -387,7 +386,7 @@ def _links(regions: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFram
             near = near.unionByName(gathered(leaves)).distinct()
         measured = _distances(near, sets)
         exact = gathered(seen).select("v", "p", F.col("lo").alias("near")).join(gathered(measured).select("v", "p", "d"), ["v", "p"], "left")
-        rest = divided.where(~drawn)
+        rest = divided.join(heads.select("s", F.col("p").alias("v")), ["s", "v"], "left_anti")
         if level == 0:
             # the distance to the region's first pivot, or what is known of it
             exact = exact.select("v", F.col("p").alias("head"), F.coalesce(F.col("d") - 1e-9, F.col("near") - 1e-9).alias("lo"), F.coalesce(F.col("d") + 1e-9, F.lit(1.0)).alias("hi"))
@@ -395,12 +394,12 @@ def _links(regions: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFram
         if level < DIVIDED:
             new = written(rest.select("s", "v", "n", "g", "lo", "hi"))
         else:
-            new = written(_cells(rest, met.where(~drawn).select("s", "v", "p").join(exact, ["v", "p"])))
+            new = written(_cells(rest, rest.join(heads.select("s", "p"), "s").select("s", "v", "p").join(exact, ["v", "p"])))
             dropped(leaves)
         links = written(measured.where("linked").select(F.col("v").alias("a"), F.col("p").alias("b")))
         if not links.isEmpty():
             label = _relabelled(label, links)
-        dropped(live, rows, seen, measured, links)
+        dropped(live, rows, heads, seen, measured, links)
         live, level = new, level + 1
 
 
