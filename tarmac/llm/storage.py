@@ -39,14 +39,17 @@ def gathered(table: DataFrame, rows: int = GATHERED_ROWS) -> DataFrame:
     return out
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that no later step reads."""
     for table in tables:
-        path = getattr(table, "_tarmac_path", None)
-        if path:
-            jvm = table.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        if path := getattr(table, "_tarmac_path", None):
+            deleted(table.sparkSession, path)
 
 
 def free_name(columns: list[str], wanted: str) -> str:

@@ -127,12 +127,43 @@ def test_token_rows_are_lossless(docs, tokenizer, tmp_path):
     assert token_rows.token_rows(docs.where("false")).count() == 0 and packing.pack(docs.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("block_bytes", [2, 6, 64, 1 << 18])
-def test_separator_scan_of_streams(docs, tokenizer, block_bytes):
+@pytest.mark.parametrize("block_bytes, span_blocks", [(2, 5), (6, 1), (64, 3), (1 << 18, 256)])
+def test_separator_scan_of_written_files(docs, tokenizer, tmp_path, block_bytes, span_blocks):
     few = docs.where("length(coalesce(text, '')) < 400")
-    blocks = separators.flat_blocks(few, block_bytes=block_bytes)
-    got = Counter((r["tag"], r["n_tokens"]) for r in separators.separator_scan(blocks, tags="tags").collect())
-    assert got == Counter((d, len(ids) - 1) for d, ids in _plain(few, tokenizer))
+    names = separators.write_token_files(few, str(tmp_path / "flat"))
+    (tmp_path / "flat" / "left.bin").write_bytes(b"\1\2\3")  # what a lost task may leave
+    blocks = separators.read_token_files(few.sparkSession, str(tmp_path / "flat"), block_bytes=block_bytes, span_blocks=span_blocks, names=names)
+    found = separators.separator_scan(blocks, span_blocks=span_blocks).withColumn("file", F.element_at(F.split("file", "/"), -1))
+    rows = names.join(found, ["file", "doc_no"], "full").collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in rows) == Counter((d, len(ids) - 1) for d, ids in _plain(few, tokenizer))
+    assert all(r["ended"] and not r["cut_bytes"] for r in rows)
+    by = defaultdict(list)
+    for r in rows:
+        by[r["file"]].append((r["doc_no"], r["start"], r["n_tokens"]))
+    for own in by.values():
+        at = 0
+        for i, (no, start, n) in enumerate(sorted(own)):
+            assert (no, start) == (i, at)
+            at += n + 1
+
+
+def test_separator_query(spark, tokenizer, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = separators.op5_separator_scan(spark, str(tmp_path))
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got.collect()) == Counter((d, len(ids) - 1) for d, ids in _plain(docs, tokenizer))
+    docs.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    empty = separators.op5_separator_scan(spark, str(tmp_path))
+    assert empty.count() == 0 and empty.dtypes == got.dtypes
+
+
+def test_separator_scan_counts_cut_bytes(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.bin").write_bytes(np.array([5, 9, 7], "<u2").tobytes() + b"\1")
+    (tmp_path / "b.bin").write_bytes(np.array([9, 9], "<u2").tobytes())
+    for ranged in (separators.RANGED, set()):
+        monkeypatch.setattr(separators, "RANGED", ranged)
+        blocks = separators.read_token_files(spark, str(tmp_path), block_bytes=4)
+        got = sorted((r["file"][-5], *r[1:]) for r in separators.separator_scan(blocks, end_id=9).collect())
+        assert got == [("a", 0, 0, 1, True, 1), ("a", 1, 2, 1, False, 1), ("b", 0, 0, 0, True, 0), ("b", 1, 1, 0, True, 0)]
 
 
 @pytest.mark.parametrize("block_bytes", [4, 12, 4096])
