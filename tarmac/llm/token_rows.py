@@ -10,12 +10,14 @@ Groups are runs of an input partition, so there is no shuffle, and a lost partit
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.llm.batches import filled, mapped, slices
+from tarmac.llm.storage import shared_dir
 from tarmac.llm.tokens import END_ID, pieces, tokenizer_path
 
 CAPACITY, GROUP, PAD_ID = 2048, 2048, 0
@@ -148,12 +150,14 @@ def token_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     return mapped(filled(df, LEAST_ROWS).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SCHEMA)
 
 
-def write_rows(rows: DataFrame, path: str) -> None:
-    """Rows of ``token_rows`` as Parquet in zstd, whose binary columns are the matrices row by row."""
+def write_rows(rows: DataFrame, path: str) -> DataFrame:
+    """Write rows of ``token_rows`` as Parquet in zstd, whose binary columns are the matrices row by row, and return a reader of them."""
     rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def op3_best_fit_token_rows(spark, sf_dir: str) -> DataFrame:
-    """All documents in rows of 2048 ids: what each row holds, and checksums of its ids and positions."""
+    """All documents written in rows of 2048 ids and read back: what each row holds, and checksums of its ids and positions."""
     rows = token_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = write_rows(rows, f"{shared_dir(spark)}/tarmac-rows-{uuid.uuid4().hex}")
     return rows.select("row_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"), "cu_seqlens", "doc_ids", "starts")

@@ -107,6 +107,32 @@ def test_best_fit_is_the_tightest_row():
         assert sorted(free) == sorted(cap - sum(sizes[i] for i in r) for r in rows)
 
 
+def test_op3_reads_back_what_it_wrote(spark, tokenizer, tmp_path, monkeypatch):
+    rows = [(i, t) for i, t in enumerate([*ODD, "long words " * 3000, None, None, "tie", "tie"])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(token_rows, "shared_dir", lambda _: str(tmp_path / "shared"))
+    out = {r["row_id"]: r for r in token_rows.op3_best_fit_token_rows(spark, str(tmp_path)).collect()}
+    (path,) = (tmp_path / "shared").iterdir()
+    got = defaultdict(dict)
+    for r in spark.read.parquet(str(path)).collect():
+        ids, positions = np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["positions"], "<u2")
+        cu = r["cu_seqlens"]
+        assert len(ids) == len(positions) == token_rows.CAPACITY and cu[-1] == r["n_ids"] and not ids[cu[-1] :].any()
+        assert positions[: cu[-1]].tolist() == [k for a, b in zip(cu, cu[1:]) for k in range(b - a)]
+        for doc, start, a, b in zip(r["doc_ids"], r["starts"], cu[:-1], cu[1:], strict=True):
+            got[doc][start] = ids[a:b].tolist()
+        o = out.pop(r["row_id"])
+        assert (o["ids_crc32"], o["positions_crc32"]) == (zlib.crc32(r["ids"]), zlib.crc32(r["positions"]))
+        assert (o["n_ids"], o["cu_seqlens"], o["doc_ids"], o["starts"]) == (r["n_ids"], cu, r["doc_ids"], r["starts"])
+    assert not out
+    for i, text in rows:
+        pieces = sorted(got[i].items())
+        assert [x for x, _ in pieces] == [token_rows.CAPACITY * k for k in range(len(pieces))]
+        assert sum((ids for _, ids in pieces), []) == tokenizer(text) + [1]
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert token_rows.op3_best_fit_token_rows(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_token_rows_are_lossless(docs, tokenizer, tmp_path):
     made = token_rows.token_rows(docs, capacity=128, group=30)
     token_rows.write_rows(made, str(tmp_path / "rows"))
