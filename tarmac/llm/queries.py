@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tarmac.llm.filter_audit import OP11_SQL, op11_filter_audit
 from tarmac.llm.jaccard import op8_pivot_jaccard_components
 from tarmac.llm.ogg import op1_ogg_media
 from tarmac.llm.packing import op7_differencing_packing
@@ -26,6 +27,7 @@ QUERIES = {
         op8_pivot_jaccard_components,
         op9_sorted_list_topk,
         op10_raked_mixture,
+        op11_filter_audit,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op9_sorted_list_topk": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_sorted_list_topk": OP9_SQL, "op11_filter_audit": OP11_SQL}
