@@ -10,6 +10,7 @@ from tarmac.llm.quality import op6_site_shrunk_quality
 from tarmac.llm.raking import op10_raked_mixture
 from tarmac.llm.separators import op5_separator_scan
 from tarmac.llm.sharding import op4_interleaved_shards
+from tarmac.llm.simhash import op12_simhash_components
 from tarmac.llm.token_rows import op3_best_fit_token_rows
 from tarmac.llm.topk import OP9_SQL, op9_sorted_list_topk
 from tarmac.llm.toxicity import op2_clause_grammar_toxicity
@@ -28,6 +29,7 @@ QUERIES = {
         op9_sorted_list_topk,
         op10_raked_mixture,
         op11_filter_audit,
+        op12_simhash_components,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op9_sorted_list_topk": OP9_SQL, "op11_filter_audit": OP11_SQL}
