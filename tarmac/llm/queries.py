@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tarmac.llm.filter_audit import OP11_SQL, op11_filter_audit
+from tarmac.llm.heap_lloyd import OP13_SQL, op13_heap_lloyd_codes
 from tarmac.llm.jaccard import op8_pivot_jaccard_components
 from tarmac.llm.ogg import op1_ogg_media
 from tarmac.llm.packing import op7_differencing_packing
@@ -30,6 +31,7 @@ QUERIES = {
         op10_raked_mixture,
         op11_filter_audit,
         op12_simhash_components,
+        op13_heap_lloyd_codes,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op9_sorted_list_topk": OP9_SQL, "op11_filter_audit": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_sorted_list_topk": OP9_SQL, "op11_filter_audit": OP11_SQL, "op13_heap_lloyd_codes": OP13_SQL}
