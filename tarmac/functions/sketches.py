@@ -5,13 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-K, COMPRESSION = 200, 100.0
+K, COMPRESSION = 200, 250.0
 #: Values held for a group before they are folded into its digest.
 BUFFER = 4096
+#: Digests that are merged at a time.
+FAN = 64
 
 
 def kll_quantiles(value: str, ranks: Sequence[float], k: int = K) -> list[Column]:
@@ -20,6 +23,22 @@ def kll_quantiles(value: str, ranks: Sequence[float], k: int = K) -> list[Column
     return [F.kll_sketch_get_quantile_float(sketch, F.lit(float(q))).cast("double") for q in ranks]
 
 
+def kll_states(df: DataFrame, keys: Sequence[str], value: str, k: int = K) -> DataFrame:
+    """``keys`` and state: the KLL sketch of float32 values of each group, as bytes to store. Groups without values are left out."""
+    rows = df.where(F.col(value).isNotNull())
+    return rows.groupBy(*keys).agg(F.kll_sketch_agg_float(F.col(value).cast("float"), k).alias("state"))
+
+
+def kll_merged(states: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """States by fewer keys, from states alone: the rows are not read again."""
+    return states.groupBy(*keys).agg(F.kll_merge_agg_float("state").alias("state"))
+
+
+def kll_read(states: DataFrame, keys: Sequence[str], ranks: dict[str, float], digits: int = 2) -> DataFrame:
+    """``keys`` and the quantiles of their states at inclusive ranks."""
+    return states.select(*keys, *[F.round(F.kll_sketch_get_quantile_float("state", F.lit(float(q))).cast("double"), digits).alias(n) for n, q in ranks.items()])
+
+
 def rank_errors(df: DataFrame, found: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, float]) -> DataFrame:
     """``keys``, percentile, and rank_error: how far a found quantile lies from its rank among the group's values, ties in its favour."""
     long = found.unpivot(list(keys), list(ranks), "percentile", "_q")
@@ -68,11 +87,12 @@ def digest_quantile(means, weights, q: float) -> float | None:
 def tdigest_quantiles(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, float], digits: int = 2, compression: float = COMPRESSION) -> DataFrame:
     """``keys`` and a quantile column per rank. Null values are left out, and a group of nulls with them.
 
-    Each task folds its rows into a digest per group, so only centroids are shuffled; the digests of a group
-    (one per task) are merged together.
+    Each task folds its rows into a digest per group, so only centroids are shuffled. The digests of a group (one
+    per task) are merged ``FAN`` at a time, in as many levels as that takes, so a merge has a bounded number of
+    centroids however many tasks there are.
     """
     keys = list(keys)
-    part = T.StructType([*(df.schema[k] for k in keys), T.StructField("_m", T.ArrayType(T.DoubleType())), T.StructField("_w", T.ArrayType(T.DoubleType()))])
+    part = T.StructType([*(df.schema[k] for k in keys), T.StructField("_s", T.LongType()), T.StructField("_m", T.ArrayType(T.DoubleType())), T.StructField("_w", T.ArrayType(T.DoubleType()))])
 
     def fold(batches: Iterator) -> Iterator:
         import numpy as np
@@ -94,18 +114,33 @@ def tdigest_quantiles(df: DataFrame, keys: Sequence[str], value: str, ranks: dic
                     held[:] = compress(np.concatenate([held[0], values]), np.concatenate([held[1], counts]), compression)
         if digests:
             cols = [pa.array([k[i] for k in digests], types[i]) for i in range(len(keys))]
+            cols.append(pa.array([TaskContext.get().partitionId()] * len(digests), pa.int64()))
             lists = [pa.array([list(d[i]) for d in digests.values()], pa.list_(pa.float64())) for i in range(2)]
             yield pa.RecordBatch.from_arrays([*cols, *lists], part.names)
 
-    def merge(table):
+    def joined(table):
         import numpy as np
+
+        return compress(np.concatenate(table["_m"].to_pylist()), np.concatenate(table["_w"].to_pylist()), compression)
+
+    def level(table):
+        import pyarrow as pa
+
+        m, w = joined(table)
+        return pa.table({**{k: table[k].slice(0, 1) for k in [*keys, "_s"]}, **{n: pa.array([list(v)], pa.list_(pa.float64())) for n, v in (("_m", m), ("_w", w))}})
+
+    def merge(table):
         import pyarrow as pa
 
-        m, w = compress(np.concatenate(table["_m"].to_pylist()), np.concatenate(table["_w"].to_pylist()), compression)
+        m, w = joined(table)
         found = {n: digest_quantile(m, w, q) for n, q in ranks.items()}
         return pa.table({**{k: table[k].slice(0, 1) for k in keys}, **{n: pa.array([v], pa.float64()) for n, v in found.items()}})
 
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     schema = T.StructType([*(df.schema[k] for k in keys), *(T.StructField(n, T.DoubleType()) for n in ranks)])
-    out = rows.mapInArrow(fold, part).groupBy(*keys).applyInArrow(merge, schema)
+    digests, tasks = rows.mapInArrow(fold, part), rows.rdd.getNumPartitions()
+    while tasks > FAN:
+        digests = digests.withColumn("_s", F.floor(F.col("_s") / FAN)).groupBy(*keys, "_s").applyInArrow(level, part)
+        tasks = -(-tasks // FAN)
+    out = digests.groupBy(*keys).applyInArrow(merge, schema)
     return out.select(*keys, *[F.round(n, digits).alias(n) for n in ranks])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.functions.expressions import completed, flown, hour, mean, share, zero_filled
+from tarmac.functions.quantiles import exact_quantiles
 from tarmac.functions.sketches import kll_quantiles, tdigest_quantiles
 from tarmac.sources.flights import CAUSE_MEANS, CAUSES
 
@@ -17,8 +18,8 @@ CARRIER, KEYS = "OP_UNIQUE_CARRIER", ("OP_UNIQUE_CARRIER", "hour")
 
 
 def in_order(grouped: DataFrame, *keys: str) -> DataFrame:
-    """A few groups in the order of their keys, sorted in one task instead of by a sample and a range exchange."""
-    return grouped.coalesce(1).sortWithinPartitions(*keys)
+    """A few groups in the order of their keys: the aggregate stays spread over its tasks, and only its rows meet in one."""
+    return grouped.repartition(1).sortWithinPartitions(*keys)
 
 
 def monthly_stats(flights: DataFrame, carriers: Sequence[str] = MONTHLY_CARRIERS) -> DataFrame:
@@ -62,6 +63,11 @@ def percentiles_exact(flights: DataFrame, carriers: Sequence[str] = HOURLY_CARRI
     return out.select(*KEYS, *[F.round(F.col("_p")[i], 2).alias(n) for i, n in enumerate(RANKS)]).transform(in_order, *KEYS)
 
 
+def percentiles_selected(flights: DataFrame, carriers: Sequence[str] = HOURLY_CARRIERS) -> DataFrame:
+    """``percentiles_exact`` by distributed selection, for groups of any size."""
+    return exact_quantiles(flown_by_hour(flights, carriers), KEYS, "DEP_DELAY", RANKS)
+
+
 def percentiles_kll(flights: DataFrame, carriers: Sequence[str] = HOURLY_CARRIERS, k: int = 200) -> DataFrame:
     rows = flown_by_hour(flights, carriers).na.drop(subset=["DEP_DELAY"])
     columns = kll_quantiles("DEP_DELAY", list(RANKS.values()), k)

@@ -82,12 +82,47 @@ def top(ranking: DataFrame, n: int = 3) -> DataFrame:
     return ranking.orderBy(F.desc("score"), "member").limit(n).select("member", "score")
 
 
+def entries(hashes: DataFrame | None = None, ranking: DataFrame | None = None) -> DataFrame:
+    """Hash rows and ranking rows as rows of a key-value store: key, field, value, score."""
+    parts = []
+    if hashes is not None:
+        parts.append(hashes.select("key", "field", "value", F.lit(None).cast("double").alias("score")))
+    if ranking is not None:
+        parts.append(ranking.select("key", F.col("member").alias("field"), F.lit(None).cast("string").alias("value"), F.col("score").cast("double").alias("score")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def hashes_of(stored: DataFrame) -> DataFrame:
+    return stored.where("value IS NOT NULL").select("key", "field", "value")
+
+
+def rankings_of(stored: DataFrame) -> DataFrame:
+    return stored.where("value IS NULL").select("key", F.col("field").alias("member"), "score")
+
+
 def publish(rows: DataFrame, connect) -> None:
-    """Write hash rows through clients that ``connect`` opens in each task; a client has hset(key, field, value)."""
+    """Write hash rows, or rows of ``entries``, through clients that ``connect`` opens in each task.
+
+    A client has hset(key, field, value), and for rankings zadd(key, {member: score}); a member without a score is left out.
+    """
 
     def send(part) -> None:
         client = connect()
         for r in part:
-            client.hset(r["key"], r["field"], r["value"])
+            if r["value"] is not None:
+                client.hset(r["key"], r["field"], r["value"])
+            elif r["score"] is not None:
+                client.zadd(r["key"], {r["field"]: r["score"]})
 
     rows.foreachPartition(send)
+
+
+def latest(stored: DataFrame, by: str, value: str = "value") -> DataFrame:
+    """key and the value of its last field in the order of ``by`` (a panel's reduction to the last value)."""
+    return stored.groupBy("key").agg(F.max_by(value, by).alias("last"))
+
+
+def renamed(stored: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Rows whose field names are shown under other names; fields that are not in ``names`` keep theirs."""
+    shown = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return stored.withColumn("field", F.coalesce(shown[F.col("field")], "field"))

@@ -31,6 +31,7 @@ FROM flights WHERE {_HOURLY} GROUP BY {_C} ORDER BY {_C}"""
 # ---- for the oracle ----
 _BY_HOUR = "CAST(floor(CRS_DEP_TIME / 100.0) AS BIGINT)"
 _RANKS = (("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p90", 0.9))
+_TAILS = (("p01", 0.01), ("p05", 0.05), ("p95", 0.95), ("p99", 0.99))
 _TOP = f"top AS (SELECT {_C}, count(*) AS total_flights FROM flights GROUP BY {_C} ORDER BY total_flights DESC, {_C} LIMIT 15)"
 
 
@@ -73,18 +74,29 @@ def _entries(table: str, key: str, fields: dict[str, str], where: str = "") -> s
     return " UNION ALL ".join(f"SELECT {key.replace('@', f)} AS key, {n} AS field, {_text(v)} AS value FROM {table}{where}" for f, (n, v) in fields.items())
 
 
+def _own(*names: str) -> dict[str, tuple[str, str]]:
+    return {n: (f"'{n}'", n) for n in names}
+
+
 _QUANTILES = lambda f: ", ".join(f"{f}(DEP_DELAY, {q}) AS {n}" for n, q in _RANKS)
 _APPROX = f"SELECT {_C}, {_BY_HOUR} AS hour, {_QUANTILES('quantile_disc')} FROM flights WHERE {_HOURLY} GROUP BY 1, 2"
 _EXACT = f"SELECT {_C}, {_BY_HOUR} AS hour, " + ", ".join(f"round(quantile_cont(DEP_DELAY, {q}), 2) AS {n}" for n, q in _RANKS) + f" FROM flights WHERE {_HOURLY} AND DEP_DELAY IS NOT NULL GROUP BY 1, 2"
 _MONTHS = "CASE MONTH " + " ".join(f"WHEN {i + 1} THEN '{m}'" for i, m in enumerate("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split())) + " END"
 
 
-def _own(*names: str) -> dict[str, tuple[str, str]]:
-    return {n: (f"'{n}'", n) for n in names}
-
-
 _Q1, _Q2, _Q3 = (f"q AS ({x})" for x in (MONTHLY_STATS, TOP_DELAYS, _EXACT))
 _PCT = tuple(n for n, _ in _RANKS)
+_MONTH_FIELDS = ("total_flights", "cancelled_flights", "cancellation_rate_pct", "avg_dep_delay", "min_dep_delay", "max_dep_delay")
+_MONTH_KEY = f"'q1:' || {_C} || ':' || YEAR || ':' || MONTH"
+
+
+def _month_hash(where: str = "", fields=_MONTH_FIELDS) -> str:
+    return _entries("q", _MONTH_KEY, _own(*fields), where)
+
+
+_STORED = f"""SELECT key, field, value, CAST(NULL AS DOUBLE) AS score FROM (
+ {_entries("q1", _MONTH_KEY, _own(*_MONTH_FIELDS))} UNION ALL {_entries("q2", f"'q2:' || {_C}", _own("num_flights", "avg_arr_delay", *CAUSE_MEANS))} UNION ALL {_entries("q3", f"'q3:percentiles:' || {_C} || ':' || hour", _own(*_PCT))})
+ UNION ALL SELECT 'q2:ranking', {_C}, NULL, avg_arr_delay FROM q2"""
 
 ORACLES: dict[str, str] = {
     "q1_monthly_stats": _with(MONTHLY_STATS),
@@ -123,6 +135,11 @@ ORACLES: dict[str, str] = {
     "serve_q2_viz": _with(_entries("q", "'q2:viz:@'", {n: (_C, n) for n in CAUSE_MEANS}), extra=_Q2),
     "serve_q3_viz": _with(_entries("q", f"'q3:viz:' || {_C} || ':@'", {n: ("lpad(CAST(hour AS VARCHAR), 2, '0')", n) for n in _PCT}), extra=_Q3),
     "serve_top3": _with(f"SELECT {_C} AS member, avg_arr_delay AS score FROM q ORDER BY score DESC, member LIMIT 3", extra=_Q2),
+    "store_round_trip": _with(_STORED, extra=f"q1 AS ({MONTHLY_STATS}), q2 AS ({TOP_DELAYS}), q3 AS ({_EXACT})"),
+    "store_second_run": _with(_month_hash(f" WHERE {_C} = 'DL'"), extra=_Q1),
+    "store_added": _with(f"{_month_hash(f" WHERE {_C} = 'DL' OR MONTH <> 1")} UNION ALL {_month_hash(f" WHERE {_C} = 'AA' AND MONTH = 1", ('total_flights',))}", extra=_Q1),
+    "store_lookup": _with(f"SELECT {_C} AS member, avg_arr_delay AS score FROM q ORDER BY score DESC, member LIMIT 3", extra=_Q2),
+    "panel_latest": _with(f"SELECT 'q1:' || {_C} AS key, 'Cancelled %' AS field, {_text('max_by(cancellation_rate_pct, YEAR * 12 + MONTH)')} AS last FROM q GROUP BY {_C}", extra=_Q1),
     "study_standard_scores": _with(
         f"SELECT {_C}, feature, round((value - avg(value) OVER w) / coalesce(nullif(stddev_samp(value) OVER w, 0), 1), 4) AS value FROM (SELECT {_C}, feature, coalesce(value, 0) AS value FROM ({_LONG})) WINDOW w AS (PARTITION BY feature)",
         top=True,
@@ -137,6 +154,13 @@ ORACLES: dict[str, str] = {
         extra=f"f AS ({_feature_table(_ALL)})",
     ),
     **{f"q3_{n}_rank_error": _with(f"SELECT {_C}, hour, percentile, true AS close FROM q, (VALUES ('p25'), ('p50'), ('p75'), ('p90')) AS r(percentile)", extra=_Q3) for n in ("kll", "tdigest")},
+    "q3_percentiles_selected": _with(_EXACT),
+    "q3_selected_overall": _with("SELECT 'all' AS flights, " + ", ".join(f"round(quantile_cont(DEP_DELAY, {q}), 2) AS {n}" for n, q in (*_RANKS, *_TAILS)) + " FROM flights WHERE CANCELLED = 0 AND DEP_DELAY IS NOT NULL"),
+    "q3_kll_merged": _with(
+        f"SELECT level, {_C}, hour, percentile, n, true AS close FROM (SELECT CASE WHEN grouping({_C}) = 1 THEN 'all' WHEN grouping(hour) = 1 THEN 'carrier' ELSE 'hour' END AS level, {_C}, hour, count(*) AS n"
+        f" FROM (SELECT {_C}, {_BY_HOUR} AS hour FROM flights WHERE {_HOURLY} AND DEP_DELAY IS NOT NULL) GROUP BY GROUPING SETS (({_C}, hour), ({_C}), ())), (VALUES ('p25'), ('p50'), ('p75'), ('p90')) AS r(percentile)"
+    ),
+    "q3_tdigest_tails": _with(f"SELECT DISTINCT {_C}, percentile, true AS close FROM flights, (VALUES {', '.join(f"('{n}')" for n, _ in _TAILS)}) AS r(percentile) WHERE {_HOURLY} AND DEP_DELAY IS NOT NULL"),
     "csv_round_trip": _with("SELECT " + ", ".join(f"{_text(c)} AS {c}" for c in (_C, "YEAR", "MONTH", "total_flights", "cancelled_flights", "cancellation_rate_pct", "avg_dep_delay", "min_dep_delay", "max_dep_delay")) + " FROM q", extra=_Q1),
     "csv_by_position": _with(f"SELECT {_C}, {_text('total_flights')} AS total_flights FROM top", top=True),
     "csv_optional_missing": "SELECT 'a' AS carrier, 'b' AS flights WHERE false",

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.functions.expressions import BASE, EXTRA
-from tarmac.functions.sketches import rank_errors
+from tarmac.functions.expressions import BASE, EXTRA, hour
+from tarmac.functions.quantiles import exact_quantiles
+from tarmac.functions.sketches import kll_merged, kll_read, kll_states, rank_errors, tdigest_quantiles
 from tarmac.operators import carriers, delays
 from tarmac.plans import harness, serving, sinks, sql, study
-from tarmac.sources import files, flights as flight_table
+from tarmac.sources import files, flights as flight_table, keyvalue
 from tarmac.sources.flights import fixture_flights
 
 
@@ -26,7 +26,7 @@ def _global_stats(flights: DataFrame) -> DataFrame:
 
 
 #: The rank error that a sketch may have, and runs for the statistics of the benchmark.
-RANK_ERROR = 0.05
+RANK_ERROR, STORED_K = 0.015, 800
 BENCHMARK_RUNS = [("q1", "df", i + 1, x) for i, x in enumerate((0.5, 0.25, 1.0, 0.75))] + [("q1", "sql", 1, 0.5), ("q2", "df", 1, 2.0), ("q2", "df", 2, 1.0)]
 
 
@@ -35,14 +35,44 @@ def _close(flights: DataFrame, percentiles) -> DataFrame:
     return errors.select(*delays.KEYS, "percentile", (F.col("rank_error") <= RANK_ERROR).alias("close"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder of the session, or in its warehouse."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/tarmac-csv-{uuid.uuid4().hex}"
+def _merged_sketches(flights: DataFrame) -> DataFrame:
+    """KLL states stored by carrier and hour, merged from the stored states to carriers and to all: rows under each, and whether its quantiles keep the rank error."""
+    rows = delays.flown_by_hour(flights).withColumn("everything", F.lit("all"))
+    states = files.written(kll_states(rows, (*delays.KEYS, "everything"), "DEP_DELAY", STORED_K))
+    out = []
+    for level, keys in (("hour", delays.KEYS), ("carrier", delays.KEYS[:1]), ("all", ("everything",))):
+        merged = files.written(kll_merged(states, keys))
+        errors = rank_errors(rows, kll_read(merged, keys, delays.RANKS), keys, "DEP_DELAY", delays.RANKS)
+        both = errors.join(merged.select(*keys, F.kll_sketch_get_n_float("state").alias("n")), list(keys))
+        key = [F.col(k) if k in keys else F.lit(None).cast(t).alias(k) for k, t in zip(delays.KEYS, ("string", "long"), strict=True)]
+        out.append(both.select(F.lit(level).alias("level"), *key, "percentile", "n", (F.col("rank_error") <= RANK_ERROR).alias("close")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+#: Ranks far from the middle, where a digest's centroids are small.
+TAILS, TAIL_ERROR = {"p01": 0.01, "p05": 0.05, "p95": 0.95, "p99": 0.99}, 0.005
+
+
+def _spread(flights: DataFrame) -> DataFrame:
+    """Flown flights with delays told apart by their scheduled minute: a digest interpolates, and among few whole minutes that alone is an error of half a value's rows."""
+    rows = flights.where(F.col("OP_UNIQUE_CARRIER").isin(*delays.HOURLY_CARRIERS) & (F.col("CANCELLED") == 0))
+    return rows.select("OP_UNIQUE_CARRIER", hour().alias("hour"), (F.col("DEP_DELAY") + F.col("CRS_DEP_TIME") % 100 / 100).alias("delay"))
+
+
+def _digest_errors(flights: DataFrame, keys: tuple[str, ...], ranks: dict[str, float], most: float) -> DataFrame:
+    rows = _spread(flights)
+    errors = rank_errors(rows, tdigest_quantiles(rows, keys, "delay", ranks, digits=6), keys, "delay", ranks)
+    return errors.select(*keys, "percentile", (F.col("rank_error") <= most).alias("close"))
+
+
+def _selected_overall(flights: DataFrame) -> DataFrame:
+    """Quantiles of all flown flights' delays, as one group."""
+    rows = flights.where("CANCELLED = 0").select(F.lit("all").alias("flights"), "DEP_DELAY")
+    return exact_quantiles(rows, ("flights",), "DEP_DELAY", delays.RANKS | TAILS)
 
 
 def _saved(df: DataFrame) -> str:
-    path = _scratch(df.sparkSession)
+    path = files.scratch(df.sparkSession, "csv")
     sinks.save_csv(df, path)
     return path
 
@@ -50,7 +80,7 @@ def _saved(df: DataFrame) -> str:
 def _ingested(flights: DataFrame) -> DataFrame:
     """Flights written as raw CSV, ingested into the partitioned Parquet table and loaded from it: totals by carrier and year."""
     spark = flights.sparkSession
-    raw, target = _scratch(spark), _scratch(spark)
+    raw, target = files.scratch(spark, "csv"), files.scratch(spark, "flights")
     flights.write.option("header", True).csv(raw)
     flight_table.ingest_csv(spark, raw, target)
     loaded = flight_table.load_flights(spark, target)
@@ -62,6 +92,58 @@ def _viewed(flights: DataFrame) -> DataFrame:
     return flights.sparkSession.sql("SELECT OP_UNIQUE_CARRIER, max(ARR_DELAY) AS worst FROM tarmac_flights GROUP BY OP_UNIQUE_CARRIER")
 
 
+def _published(f: DataFrame, *runs: tuple[str, DataFrame, str]) -> str:
+    path = files.scratch(f.sparkSession, "store")
+    for run, rows, mode in runs:
+        keyvalue.put(rows, path, run, mode)
+    return path
+
+
+def _store_round_trip(f: DataFrame) -> DataFrame:
+    """All hashes and the ranking, written as three runs and read again."""
+    q2 = delays.top_delays(f)
+    path = _published(
+        f,
+        ("q1", serving.entries(serving.q1_hash(delays.monthly_stats(f))), "overwrite"),
+        ("q2", serving.entries(serving.q2_hash(q2), serving.q2_ranking(q2)), "overwrite"),
+        ("q3", serving.entries(serving.q3_hash(delays.percentiles_exact(f))), "overwrite"),
+    )
+    return keyvalue.get(f.sparkSession, path)
+
+
+def _store_second_run(f: DataFrame) -> DataFrame:
+    """Two carriers' months, overwritten by a run of one carrier: no key of the other is left."""
+    q1 = delays.monthly_stats(f)
+    path = _published(f, ("q1", serving.entries(serving.q1_hash(q1)), "overwrite"), ("q1", serving.entries(serving.q1_hash(q1.where("OP_UNIQUE_CARRIER = 'DL'"))), "overwrite"))
+    return serving.hashes_of(keyvalue.get(f.sparkSession, path, "q1"))
+
+
+def _store_added(f: DataFrame) -> DataFrame:
+    """Months of one carrier appended to another's, with some of its keys written anew, in fewer fields."""
+    q1 = delays.monthly_stats(f)
+    again = serving.q1_hash(q1.where("OP_UNIQUE_CARRIER = 'AA' AND MONTH = 1")).where("field = 'total_flights'")
+    path = _published(
+        f,
+        ("q1", serving.entries(serving.q1_hash(q1.where("OP_UNIQUE_CARRIER = 'AA'"))), "overwrite"),
+        ("q1", serving.entries(serving.q1_hash(q1.where("OP_UNIQUE_CARRIER = 'DL'")).unionByName(again)), "append"),
+    )
+    return serving.hashes_of(keyvalue.get(f.sparkSession, path, "q1"))
+
+
+def _store_lookup(f: DataFrame) -> DataFrame:
+    """The three worst carriers as a panel reads them: the ranking's key alone."""
+    path = _published(f, ("q2", serving.entries(serving.q2_hash(q2 := delays.top_delays(f)), serving.q2_ranking(q2)), "overwrite"))
+    return serving.top(serving.rankings_of(keyvalue.get(f.sparkSession, path, "q2", ["q2:ranking"])))
+
+
+def _panel_latest(f: DataFrame) -> DataFrame:
+    """Each carrier's last monthly cancellation rate, under the name that a panel shows."""
+    rows = serving.renamed(serving.q1_hash(delays.monthly_stats(f)), {"cancellation_rate_pct": "Cancelled %"}).where("field = 'Cancelled %'")
+    parts = F.split("key", ":")
+    dated = rows.select(F.concat_ws(":", parts[0], parts[1]).alias("key"), "field", "value", (parts[2].cast("int") * 12 + parts[3].cast("int")).alias("month"))
+    return serving.latest(dated, "month").join(dated.groupBy("key").agg(F.first("field").alias("field")), "key")
+
+
 def flight_queries() -> dict[str, Callable[[DataFrame], DataFrame]]:
     """name -> a function of the flight table."""
     every = (*BASE, *EXTRA)
@@ -96,11 +178,15 @@ def flight_queries() -> dict[str, Callable[[DataFrame], DataFrame]]:
         "study_standard_scores": lambda f: study.run_study(f).standard_scores(),
         "study_costs": lambda f: study.run_study(f).recomputed().drop("best"),
         "correlation_report": lambda f: carriers.correlation_report(table(f)),
-        "q3_kll_rank_error": lambda f: _close(f, delays.percentiles_kll),
-        "q3_tdigest_rank_error": lambda f: _close(f, delays.percentiles_tdigest),
+        "q3_kll_rank_error": lambda f: _close(f, lambda f: delays.percentiles_kll(f, k=STORED_K)),
+        "q3_kll_merged": _merged_sketches,
+        "q3_tdigest_tails": lambda f: _digest_errors(f, delays.KEYS[:1], TAILS, TAIL_ERROR),
+        "q3_percentiles_selected": lambda f: delays.percentiles_selected(f),
+        "q3_selected_overall": _selected_overall,
+        "q3_tdigest_rank_error": lambda f: _digest_errors(f, delays.KEYS, delays.RANKS, RANK_ERROR),
         "csv_round_trip": lambda f: files.read_csv_text(f.sparkSession, _saved(q1(f))),
         "csv_by_position": lambda f: files.read_csv_named(f.sparkSession, _saved(carriers.top_carriers(f)), ["OP_UNIQUE_CARRIER", "total_flights"]),
-        "csv_optional_missing": lambda f: files.read_optional(f.sparkSession, _scratch(f.sparkSession), ["carrier", "flights"]),
+        "csv_optional_missing": lambda f: files.read_optional(f.sparkSession, files.scratch(f.sparkSession, "csv"), ["carrier", "flights"]),
         "csv_ingest": _ingested,
         "view_by_sql": _viewed,
         "benchmark_summary": lambda f: harness.summary(f.sparkSession, BENCHMARK_RUNS).withColumn("variance", F.round("variance", 9)),
@@ -111,6 +197,11 @@ def flight_queries() -> dict[str, Callable[[DataFrame], DataFrame]]:
         "serve_q1_viz": lambda f: serving.q1_viz(q1(f)),
         "serve_q2_viz": lambda f: serving.q2_viz(q2(f)),
         "serve_q3_viz": lambda f: serving.q3_viz(q3(f)),
+        "store_round_trip": _store_round_trip,
+        "store_second_run": _store_second_run,
+        "store_added": _store_added,
+        "store_lookup": _store_lookup,
+        "panel_latest": _panel_latest,
         "serve_top3": lambda f: serving.top(serving.q2_ranking(q2(f))),
     }
 
