@@ -26,7 +26,9 @@ from tarmac.llm.storage import dropped, free_name, written
 #: Labelled rows that the model is learned from, at most (those of the lowest hash).
 TRAIN_ROWS = 20_000
 #: Lengths of the word beginnings that may be learned; evidence that a term needs.
-STEMS, LEAST_ROWS, LEAST_G2, LEAST_ODDS = range(3, 9), 3, 30.0, 2.0
+STEMS, LEAST_ROWS, LEAST_ODDS = range(3, 9), 3, 2.0
+#: G squared that a term needs: a share of the toxic rows learned from, as a term of few rows can have no more, within bounds.
+G2_SHARE, G2_BOUNDS = 0.4, (10.0, 30.0)
 #: Terms that a task counts before it passes them on.
 HELD_TERMS = 500_000
 
@@ -296,6 +298,10 @@ def term_counts(sample: DataFrame) -> DataFrame:
     return mapped(sample, run, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
+def least_g2(n_pos: int) -> float:
+    return min(max(G2_SHARE * n_pos, G2_BOUNDS[0]), G2_BOUNDS[1])
+
+
 def with_evidence(counts: DataFrame, n_pos: int, n_neg: int) -> DataFrame:
     """term, pos, odds: the terms with enough rows, log odds and G squared, of ``term_counts``."""
     total = float(n_pos + n_neg)
@@ -307,7 +313,7 @@ def with_evidence(counts: DataFrame, n_pos: int, n_neg: int) -> DataFrame:
         g2 = g2 + F.when(seen > 0, 2 * seen * F.log(seen * total / (F.lit(float(row)) * column))).otherwise(0.0)
     odds = F.log((F.col("pos") + 0.25) / (n_pos + 0.5)) - F.log((F.col("neg") + 0.25) / (n_neg + 0.5))
     kept = counts.where(F.col("term").isNotNull() & (F.col("pos") >= LEAST_ROWS)).withColumns({"odds": odds, "_g2": g2})
-    return kept.where((F.col("odds") >= LEAST_ODDS) & (F.col("_g2") >= LEAST_G2)).select("term", "pos", "odds")
+    return kept.where((F.col("odds") >= LEAST_ODDS) & (F.col("_g2") >= least_g2(n_pos))).select("term", "pos", "odds")
 
 
 def choose_terms(found: list[tuple[str, int, float]]) -> dict[str, float]:
