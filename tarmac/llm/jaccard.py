@@ -462,22 +462,6 @@ def op8_pivot_jaccard_components(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the row of the least id of each component alone; one row where an id repeats.
-
-    Rows with a null id stay.
-    """
-    found = written(jaccard_components(docs, id_col, text_col))
-    column = docs.schema[id_col].dataType
-    gone = written(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").cast(column).alias(id_col)).distinct())
-    kept = joined_by_ids(docs, gone, id_col, "left_anti")
-    repeated = written(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").cast(column).alias(id_col)))
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    once = joined_by_ids(kept, repeated, id_col, "left_semi").dropDuplicates([id_col])
-    return joined_by_ids(kept, repeated, id_col, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
-
-
 def one_row_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component: the one of the least id (null last), then set, then text, then other columns.
 

@@ -22,6 +22,8 @@ from tarmac.llm.tokens import pieces, tokenizer_path
 
 #: Cells that may be raked in the driver and broadcast (some 100 bytes each); more are raked by Spark.
 DRIVER_CELLS = 50_000
+#: Repeated hashes (16 bytes each) that are broadcast; more are joined by a shuffle.
+BROADCAST_HASHES = 500_000
 #: Rounds end when every margin is within the tolerance of its target, or when so many rounds have not brought the
 #: worst one nearer by a hundredth, as where targets contradict each other.
 TOLERANCE, PATIENCE = 1e-9, 20
@@ -130,14 +132,15 @@ def _raked_by_spark(cells: DataFrame, dims: list[str], targets: dict) -> tuple[D
 
 
 def mix(df: DataFrame, evidence: DataFrame, dims: list[str], tokens: str, targets: dict, seed: int = 29, key: list[str] | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
-    """``df`` with weight (the raked factor), margin_error, probability and sampled (by a seeded hash of ``key``).
+    """``df`` with weight (the raked factor), margin_error, probability and sampled (1 or 0).
 
     ``evidence`` has ``dims`` and ``tokens`` of all documents (``df`` or what it was made from); ``targets``
     maps a dimension to shares by value, or to a temperature that its shares are raised to (``TEMPERATURE``
     where it is missing). margin_error, the same in every row, is how far the worst margin's share of the raked
     tokens is from its target: above the tolerance where targets contradict each other. Null values are values of their own. Documents without tokens weigh 0 in the sums
     but are drawn with their cell's probability; a cell of no tokens at all, or of a value with target 0, is
-    never drawn. Rows equal in ``key`` are drawn together. New columns get trailing underscores where ``df``
+    never drawn. Each row has its own lot, by ``key`` (all columns where it is missing) and, where rows are equal in
+    it, by the row: null and repeated ids are drawn like others. New columns get trailing underscores where ``df``
     has their names.
     """
     spark = df.sparkSession
@@ -166,18 +169,35 @@ def mix(df: DataFrame, evidence: DataFrame, dims: list[str], tokens: str, target
         names.append(free_name([*df.columns, *names], x))
     out = df.alias("d").join((F.broadcast(table) if small else table).alias("t"), same, "left").select("d.*", F.coalesce("t._weight", F.lit(0.0)).alias(names[0]), F.lit(error).alias(names[1]))
     out = out.withColumn(names[2], F.col(names[0]) / F.lit(most or 1.0))
-    drawn = F.pmod(F.xxhash64(F.lit(seed), *(key or df.columns)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    return out.withColumn(names[3], (drawn < F.col(names[2])).cast("int"))
+    return _drawn(out, names[2], names[3], seed, key or df.columns)
+
+
+def _drawn(df: DataFrame, probability: str, name: str, seed: int, key: list[str]) -> DataFrame:
+    """``df`` with ``name``, 1 or 0 by each row's own lot: a hash of ``key``, and for rows equal in it of the row's number too.
+
+    Rows that repeat a hash are found by counting hashes. Their numbers go by partition and place, so that how
+    many of equal rows are drawn has the right expectation; which of them, says nothing.
+    """
+    h, n, again = (free_name(df.columns, x) for x in ("_hash", "_number", "_again"))
+    lots = df.withColumns({h: F.xxhash64(F.lit(seed), *key), n: F.monotonically_increasing_id()})
+    repeated = written(lots.groupBy(h).agg(F.count("*").alias("_c")).where("_c > 1").select(h, F.lit(True).alias(again)))
+    out = lots.join(F.broadcast(repeated) if repeated.count() <= BROADCAST_HASHES else repeated, h, "left")
+    lot = F.when(F.col(again), F.xxhash64(F.lit(seed), h, n)).otherwise(F.col(h))
+    share = F.pmod(lot, F.lit(1 << 52)) / F.lit(float(1 << 52))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], (share < F.col(probability)).cast("int").alias(name))
 
 
 def topical(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with the topic of each whole text, and that column's name."""
+    """``docs`` with the topic of each whole text (a null text is an empty one), and that column's name. Rows are read one by one."""
     name = free_name(docs.columns, "_topic")
     return docs.withColumn(name, topic(F.coalesce(F.col("text"), F.lit("")))), name
 
 
 def described(docs: DataFrame, keep: list[str], path: str | None = None) -> tuple[DataFrame, str, str]:
-    """Columns ``keep``, the topic and the number of the vocabulary's ids (no end id) of each whole text, and the names of those two."""
+    """Columns ``keep``, the topic and the number of the vocabulary's ids (no end id) of each whole text, and the names of those two.
+
+    A null or empty text has none; repeated rows have a row each; kept columns may be null.
+    """
     known, kind = topical(docs)
     count = free_name([*docs.columns, kind], "_ids")
     path = path or tokenizer_path()
@@ -203,7 +223,7 @@ def targets(topic_col: str) -> dict:
 def op10_raked_mixture(spark, sf_dir: str) -> DataFrame:
     """Every document's cell, tokens, raked weight and probability, and whether it is drawn."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
-    known, kind, ids = described(docs, ["doc_id", "source", "lang"])
+    known, kind, ids = described(docs.withColumn("_text", F.xxhash64("text")), ["doc_id", "source", "lang", "_text"])
     known = written(known)
-    out = mix(known, known, ["source", "lang", kind], ids, targets(kind), key=["doc_id"])
+    out = mix(known, known, ["source", "lang", kind], ids, targets(kind), key=["doc_id", "_text"]).drop("_text")
     return out.withColumnsRenamed({kind: "topic", ids: "n_tokens"})

@@ -2,6 +2,7 @@
 
 import os
 import random
+from functools import reduce
 from collections import defaultdict
 
 import numpy as np
@@ -112,15 +113,11 @@ def test_sets_of_one_short_name_stay_apart(spark):
     assert len({r["v"] for r in sets}) == 3 and len(sets) == 4
 
 
-def test_join_edges(spark, monkeypatch):
+def test_join_edges(spark):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (3, "other words are in this one"), (None, "a b c d e f"), (None, "q r s t u v"), (9, "A B C D E F"), (4, None), (4, None), (8, "z " * 30_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("x")).withColumn("v", F.lit(1))
     assert sorted(map(tuple, jaccard.jaccard_components(df).collect()), key=repr) == plain_components(rows)
     assert jaccard.jaccard_components(df.where("false")).count() == 0
-    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
-    kept = jaccard.one_of_each(df)
-    assert kept.columns == df.columns
-    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, -1, 3, 4, 8]
 
 
 def test_null_ids_link_others(spark):
@@ -325,6 +322,49 @@ def test_sampling_follows_the_probabilities(spark):
     assert drawn["a"] == 5000 and abs(drawn["b"] - 5000) < 300
 
 
+@pytest.mark.parametrize("hashes", [1000, 0])
+def test_null_and_repeated_ids_have_lots_of_their_own(spark, monkeypatch, hashes):
+    """Rows of null id, of one id with many texts, and equal rows are each drawn with their probability, within 3 sigma."""
+    monkeypatch.setattr(raking, "BROADCAST_HASHES", hashes)
+    kinds = {"none": "CAST(NULL AS LONG)", "one": "CAST(7 AS LONG)", "own": "id"}
+    parts = [spark.range(4000).selectExpr(f"{v} AS doc_id", f"concat('{k} ', id) AS text", "'b' AS source", "10L AS words") for k, v in kinds.items()]
+    parts.append(spark.range(4000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'same' AS text", "'b' AS source", "10L AS words"))
+    parts.append(spark.range(2000).selectExpr("id AS doc_id", "'rare' AS text", "'a' AS source", "10L AS words"))
+    df = reduce(lambda a, b: a.unionByName(b), parts)
+    out = raking.mix(df, df, ["source"], "words", {"source": {"a": 0.5, "b": 0.5}}, key=["doc_id", "text"])
+    found = out.groupBy(F.split("text", " ")[0].alias("k")).agg(F.sum("sampled").alias("n"), F.first("probability").alias("p"), F.count("*").alias("of")).collect()
+    assert {r["k"] for r in found} == {*kinds, "same", "rare"} and out.columns == [*df.columns, "weight", "margin_error", "probability", "sampled"]
+    for r in found:
+        assert abs(r["n"] - r["p"] * r["of"]) <= 3 * (r["of"] * r["p"] * (1 - r["p"])) ** 0.5, r
+
+
+def test_drawn_set_is_what_the_probabilities_and_lots_say(spark):
+    """The drawn rows against lots recomputed from the key, and probabilities from plain fitting."""
+    df = spark.createDataFrame(_table(random.Random(9), 500), SCHEMA)
+    out = raking.mix(df, df, DIMS, "words", {"source": 0.5}, key=["doc_id"]).withColumn("lot", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 52)) / F.lit(float(1 << 52))).collect()
+    cells = defaultdict(float)
+    for r in out:
+        cells[r["source"], r["lang"], r["topic"]] += r["words"]
+    now, names = dict(cells), list(cells)
+    goals = []
+    for d, power in enumerate((0.5, raking.TEMPERATURE, raking.TEMPERATURE)):
+        have = defaultdict(float)
+        for c, t in cells.items():
+            have[c[d]] += t
+        raised = {v: (t / sum(have.values())) ** power for v, t in have.items()}
+        goals.append({v: x / sum(raised.values()) * sum(have.values()) for v, x in raised.items()})
+    for _ in range(300):
+        for d in range(3):
+            have = defaultdict(float)
+            for c in names:
+                have[c[d]] += now[c]
+            now = {c: now[c] * goals[d][c[d]] / have[c[d]] for c in names}
+    factor = {c: now[c] / cells[c] for c in names}
+    for r in out:
+        p = factor[r["source"], r["lang"], r["topic"]] / max(factor.values())
+        assert r["probability"] == pytest.approx(p) and r["sampled"] == (r["lot"] < r["probability"])
+
+
 def test_raking_edges(spark):
     rows = [(1, None, "x", "p", 0), (1, None, "x", "p", 0), (None, "a", None, "q", None), (3, "a", "x", "q", 5)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("weight", F.lit("mine"))
