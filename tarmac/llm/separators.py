@@ -18,39 +18,28 @@ from pyspark.sql import types as T
 from tarmac.llm.batches import mapped, slices
 from tarmac.llm.storage import deleted, shared_dir, written
 from tarmac.llm.tokens import pieces, tokenizer_path
+from tarmac.sources.files import OPENED, qualified, store_of
 
 #: The vocabulary's end-of-text id, which no text is encoded to; bytes of an id and of a block; blocks of a span.
 END_ID, WIDTH, BLOCK_BYTES, SPAN_BLOCKS = 49407, 2, 1 << 18, 256
 #: Stores whose files tasks can open at an offset; files elsewhere are read whole.
-RANGED = {"file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss"}
-
-
-def _store(uri: str):
-    """The file system of a path or address, and the path in it."""
-    from pyarrow import fs
-
-    scheme, colon, rest = uri.partition(":")
-    if not colon or scheme == "file":
-        return fs.LocalFileSystem(), "/" + (rest if colon else uri).lstrip("/")
-    if scheme not in RANGED:
-        raise ValueError(f"tasks cannot open files of {scheme}: ({uri}); token files can be in {sorted(RANGED)}")
-    return fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}:{rest}")
+RANGED = OPENED
 
 
 def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, width: int = WIDTH, tokenizer: str | None = None) -> DataFrame:
-    """Write each partition's ids as one flat file under ``path``, and return file (its name), doc_no (from 0) and the id of each document.
+    """Write each partition's ids as one flat file under ``path`` (in the session's default store where it names none), and return file (its name), doc_no (from 0) and the id of each document.
 
     A null or empty text is its end id alone; ids may be null, repeat and have any type. The rows returned are of a
     written table: they name only files of tasks that succeeded, and files that a lost or repeated task left are named nowhere.
     """
-    tokenizer = tokenizer or tokenizer_path()
+    tokenizer, path = tokenizer or tokenizer_path(), qualified(df.sparkSession, path)
     schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("doc_no", T.LongType()), T.StructField("doc_id", df.schema[id_col].dataType)])
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        system, folder = _store(path)
+        system, folder = store_of(path)
         encode, end = pieces(tokenizer).ids, end_id.to_bytes(width, "little")
         name, out, n = f"{uuid.uuid4().hex}.bin", None, 0
         try:
@@ -93,7 +82,7 @@ def read_token_files(spark: SparkSession, path: str, width: int = WIDTH, block_b
 
         for b in batches:
             for file, length, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                system, where = _store(file)
+                system, where = store_of(file)
                 with system.open_input_file(where) as f:
                     f.seek(at)
                     for lo in range(at, max(min(at + span, length), at + 1), size):
