@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import argparse
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 RUNS = 20
@@ -25,14 +26,32 @@ def timed(build: Callable[[], DataFrame], runs: int = RUNS) -> list[float]:
     return out
 
 
-def summary(spark: SparkSession, runs: Sequence[tuple[str, str, int, float]]) -> DataFrame:
-    """min, max, avg, median and sample variance (0 for a single run) by query and api."""
-    df = spark.createDataFrame(list(runs), "query string, api string, run int, compute_time double")
+def statistics(df: DataFrame) -> DataFrame:
+    """min, max, avg, median and sample variance (0 for a single run) of compute_time by query and api."""
     t = F.col("compute_time")
     variance = F.coalesce(F.when(F.count("*") > 1, F.var_samp(t)), F.lit(0.0))
     return df.groupBy("query", "api").agg(F.min(t).alias("min"), F.max(t).alias("max"), F.avg(t).alias("avg"), F.median(t).alias("median"), variance.alias("variance"))
 
 
+def summary(spark: SparkSession, runs: Sequence[tuple[str, str, int, float]]) -> DataFrame:
+    """``statistics`` of (query, api, run, seconds)."""
+    return statistics(spark.createDataFrame(list(runs), "query string, api string, run int, compute_time double"))
+
+
+@contextmanager
+def one_scan(df: DataFrame, **counts: Column) -> Iterator[tuple[DataFrame, Observation]]:
+    """``df`` kept for several results, and what its one scan observes: the aggregates ``counts``, there once the first result is.
+
+    It is given up at the end, whatever happens in between.
+    """
+    seen = Observation()
+    kept = (df.observe(seen, *[c.alias(n) for n, c in counts.items()]) if counts else df.select("*")).persist()
+    try:
+        yield kept, seen
+    finally:
+        kept.unpersist()
+
+
 def main() -> None:
     from tarmac.plans.sinks import save_benchmark, show
     from tarmac.registry import flight_queries

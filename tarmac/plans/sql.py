@@ -98,6 +98,40 @@ _STORED = f"""SELECT key, field, value, CAST(NULL AS DOUBLE) AS score FROM (
  {_entries("q1", _MONTH_KEY, _own(*_MONTH_FIELDS))} UNION ALL {_entries("q2", f"'q2:' || {_C}", _own("num_flights", "avg_arr_delay", *CAUSE_MEANS))} UNION ALL {_entries("q3", f"'q3:percentiles:' || {_C} || ':' || hour", _own(*_PCT))})
  UNION ALL SELECT 'q2:ranking', {_C}, NULL, avg_arr_delay FROM q2"""
 
+# K-Means, silhouettes and axes of the standardised carriers, with lists
+_POINTS = f"""f AS ({_feature_table(BASE)}),
+ z AS (SELECT {_C}, feature, (value - avg(value) OVER w) / coalesce(nullif(stddev_samp(value) OVER w, 0), 1) AS v FROM (SELECT {_C}, feature, coalesce(value, 0) AS value FROM ({_LONG})) WINDOW w AS (PARTITION BY feature)),
+ pts AS (SELECT {_C} AS name, list(v ORDER BY list_position({list(BASE)!r}, feature)) AS x FROM z GROUP BY {_C})"""
+_NEAR = "list_position(list_transform(cs, lambda c: list_distance({p}, c)), list_min(list_transform(cs, lambda c: list_distance({p}, c))))"
+_LLOYD = f"""{_POINTS},
+ r AS (SELECT list(x ORDER BY name) AS xs, list(name ORDER BY name) AS names FROM pts),
+ seeds AS (SELECT xs, names, [1] AS chosen FROM r UNION ALL
+  SELECT xs, names, list_append(chosen, list_position(d, list_max(d))) FROM (SELECT *, list_transform(xs, lambda p: list_min(list_transform(chosen, lambda i: list_distance(p, xs[i])))) AS d FROM seeds WHERE len(chosen) < least(6, len(xs)))),
+ lloyd AS (SELECT len(chosen) AS k, 0 AS round, xs, names, list_transform(chosen, lambda i: xs[i]) AS cs, true AS moved FROM seeds WHERE len(chosen) > 1 UNION ALL
+  SELECT k, round + 1, xs, names, new, new <> cs FROM (SELECT *, list_transform(range(1, k + 1), lambda j: CASE WHEN list_contains(own, j)
+   THEN list_transform(range(1, len(xs[1]) + 1), lambda d: list_avg(list_transform(list_filter(range(1, len(xs) + 1), lambda i: own[i] = j), lambda i: xs[i][d]))) ELSE cs[j] END) AS new
+   FROM (SELECT *, list_transform(xs, lambda p: {_NEAR.format(p="p")}) AS own FROM lloyd WHERE moved AND round < 50))),
+ ended AS (SELECT * FROM lloyd QUALIFY row_number() OVER (PARTITION BY k ORDER BY round DESC) = 1),
+ labelled AS (SELECT k, names[i] AS name, xs[i] AS x, CAST({_NEAR.format(p="xs[i]")} - 1 AS INTEGER) AS cluster, list_min(list_transform(cs, lambda c: list_distance(xs[i], c))) ** 2 AS far FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS i FROM ended))"""
+_SILHOUETTE = """SELECT CAST(k AS INTEGER) AS k, round(avg(s), 4) AS silhouette FROM (SELECT k, name, CASE WHEN max(a) IS NULL OR min(b) IS NULL OR greatest(max(a), min(b)) = 0 THEN 0 ELSE (min(b) - max(a)) / greatest(max(a), min(b)) END AS s FROM (
+ SELECT p.k, p.name, CASE WHEN q.cluster = p.cluster THEN avg(list_distance(p.x, q.x) ** 2) FILTER (p.name <> q.name) END AS a, CASE WHEN q.cluster <> p.cluster THEN avg(list_distance(p.x, q.x) ** 2) END AS b
+ FROM labelled p JOIN labelled q ON p.k = q.k GROUP BY p.k, p.name, p.cluster, q.cluster) GROUP BY k, name) GROUP BY k"""
+
+
+def _axis(n: int, matrix: str) -> str:
+    """The axis of a matrix's greatest eigenvalue by power iteration, its direction and eigenvalue, and the matrix without it."""
+    signed = "list_transform(v, lambda u: u * CASE WHEN list_max(v) > -list_min(v) THEN 1 ELSE -1 END)"
+    return f"""w{n} AS (SELECT 0 AS i, m, list_transform(m[1], lambda u: 1.0::DOUBLE / sqrt(len(m[1]))) AS v FROM {matrix} UNION ALL
+  SELECT i + 1, m, list_transform(mv, lambda u: u / sqrt(list_dot_product(mv, mv))) FROM (SELECT *, list_transform(m, lambda row: list_dot_product(row, v)) AS mv FROM w{n} WHERE i < 3000)),
+ e{n} AS (SELECT m, {signed} AS v, list_dot_product(v, list_transform(m, lambda row: list_dot_product(row, v))) AS value FROM w{n} WHERE i = 3000),
+ m{n} AS (SELECT list_transform(range(1, len(v) + 1), lambda i: list_transform(range(1, len(v) + 1), lambda j: m[i][j] - value * v[i] * v[j])) AS m FROM e{n})"""
+
+
+_PCA = f"""{_POINTS},
+ m0 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM (SELECT i, j, coalesce(covar_samp(x[i], x[j]), 0) AS c FROM pts, range(1, {len(BASE) + 1}) AS a(i), range(1, {len(BASE) + 1}) AS b(j) GROUP BY i, j) GROUP BY i)),
+ {_axis(1, "m0")}, {_axis(2, "m1")},
+ total AS (SELECT list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][i])) AS t FROM m0)"""
+
 ORACLES: dict[str, str] = {
     "q1_monthly_stats": _with(MONTHLY_STATS),
     "q1_monthly_stats_sql": _with(MONTHLY_STATS),
@@ -145,7 +179,12 @@ ORACLES: dict[str, str] = {
         top=True,
         extra=f"f AS ({_feature_table(BASE)})",
     ),
-    "study_costs": "SELECT CAST(k AS INTEGER) AS k, true AS cost_matches, true AS silhouette_in_range FROM range(2, 7) AS t(k)",
+    "study_costs": _with("SELECT CAST(k AS INTEGER) AS k, true AS cost_matches, true AS silhouette_in_range FROM range(2, 7) AS t(k) WHERE k <= (SELECT count(*) FROM top)", top=True),
+    "kmeans_recursive": _with(f"SELECT CAST(k AS INTEGER) AS k, name AS {_C}, cluster, round(sum(far) OVER (PARTITION BY k), 4) AS wssse FROM labelled", top=True, extra=_LLOYD).replace("WITH ", "WITH RECURSIVE ", 1),
+    "kmeans_silhouettes": _with(_SILHOUETTE, top=True, extra=_LLOYD).replace("WITH ", "WITH RECURSIVE ", 1),
+    "pca_covariance": _with(
+        f"SELECT name AS {_C}, round(list_dot_product(x, e1.v), 3) AS pc1, round(list_dot_product(x, e2.v), 3) AS pc2, round(e1.value / t, 3) AS explained_pc1, round(e2.value / t, 3) AS explained_pc2 FROM pts, e1, e2, total", top=True, extra=_PCA
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
     "correlation_report": _with(
         f"SELECT extra_feature, max_by(feature, struct_pack(a := abs(raw), b := -i)) AS best_correlate, round(max(abs(raw)), 4) AS max_abs_corr, CASE WHEN max(abs(raw)) >= 0.8 THEN 'REDUNDANT' ELSE 'KEEP' END AS verdict, "
         + ", ".join(f"CASE WHEN extra_feature = '{c}' THEN 1.0::DOUBLE ELSE max(CASE WHEN feature = '{c}' THEN round(raw, 4) END) END AS corr_{c}" for c in _ALL)
@@ -163,8 +202,27 @@ ORACLES: dict[str, str] = {
     "q3_tdigest_tails": _with(f"SELECT DISTINCT {_C}, percentile, true AS close FROM flights, (VALUES {', '.join(f"('{n}')" for n, _ in _TAILS)}) AS r(percentile) WHERE {_HOURLY} AND DEP_DELAY IS NOT NULL"),
     "csv_round_trip": _with("SELECT " + ", ".join(f"{_text(c)} AS {c}" for c in (_C, "YEAR", "MONTH", "total_flights", "cancelled_flights", "cancellation_rate_pct", "avg_dep_delay", "min_dep_delay", "max_dep_delay")) + " FROM q", extra=_Q1),
     "csv_by_position": _with(f"SELECT {_C}, {_text('total_flights')} AS total_flights FROM top", top=True),
-    "csv_optional_missing": "SELECT 'a' AS carrier, 'b' AS flights WHERE false",
+    "csv_optional_missing": _with(f"SELECT {_C}, {_text('total_flights')} AS total_flights FROM top", top=True),
+    "csv_lookup": _with(f"SELECT 'Carrier, ' || lower({_C}) AS Description, count(*) AS flights FROM flights GROUP BY {_C}"),
+    "csv_quarantine": _with(
+        f"SELECT 'accepted' AS kind, {_C} AS name, NULL AS value, count(*) AS n, sum(DEP_DELAY) AS delay FROM r WHERE NOT a AND NOT b GROUP BY {_C}"
+        " UNION ALL SELECT 'rejected', 'DEP_DELAY', 'n/a', count(*), NULL FROM r WHERE a UNION ALL SELECT 'rejected', 'CRS_DEP_TIME', '12:21', count(*), sum(CASE WHEN NOT a THEN DEP_DELAY END) FROM r WHERE b",
+        extra="r AS (SELECT *, coalesce(ARR_DELAY = 7, false) AS a, CRS_DEP_TIME % 100 = 21 AS b FROM flights)",
+    ),
+    "stored_months": _with(f"SELECT {_C}, YEAR, MONTH, count(*) AS flights, sum(ARR_DELAY) AS arr_delay FROM flights WHERE YEAR IN (1995, 1996) AND MONTH <= 3 GROUP BY {_C}, YEAR, MONTH"),
+    "flights_in_order": _with("SELECT * FROM flights"),
+    "q3_one_scan": _with(
+        f"SELECT {_C}, hour, round(quantile_cont(DEP_DELAY, 0.5), 2) AS median, any_value(min_delay) AS min_delay, any_value(max_delay) AS max_delay, any_value(rows) AS rows, any_value(known) AS known, any_value(worst) AS worst FROM h WHERE DEP_DELAY IS NOT NULL GROUP BY {_C}, hour",
+        extra=f"h AS (SELECT {_C}, {_BY_HOUR} AS hour, DEP_DELAY, min(DEP_DELAY) OVER (PARTITION BY {_C}) AS min_delay, max(DEP_DELAY) OVER (PARTITION BY {_C}) AS max_delay, count(*) OVER () AS rows, count(DEP_DELAY) OVER () AS known, max(DEP_DELAY) OVER () AS worst FROM flights WHERE {_HOURLY})",
+    ),
+    "cluster_profile": _with(
+        "SELECT cluster AS prediction, count(*) AS n_carriers, "
+        + ", ".join(f"round(avg({c}), 4) AS {c}_mean, round(avg({c}) - any_value(m_{c}), 4) AS {c}_delta, round((avg({c}) - any_value(m_{c})) / any_value(s_{c}), 4) AS {c}_zscore" for c in BASE)
+        + f" FROM labelled JOIN f ON name = {_C}, (SELECT {', '.join(f'avg({c}) AS m_{c}, coalesce(nullif(stddev_samp({c}), 0), 1) AS s_{c}' for c in BASE)} FROM f) WHERE k = 3 GROUP BY cluster",
+        top=True,
+        extra=_LLOYD,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
     "csv_ingest": _with(f"SELECT {_C}, YEAR, count(*) AS flights, round(sum(ARR_DELAY), 2) AS arr_delay, count(DEP_DELAY) AS dep_delays FROM flights GROUP BY {_C}, YEAR"),
     "view_by_sql": _with(f"SELECT {_C}, max(ARR_DELAY) AS worst FROM flights GROUP BY {_C}"),
-    "benchmark_summary": "SELECT query, api, min(t) AS min, max(t) AS max, avg(t) AS avg, median(t) AS median, round(coalesce(var_samp(t), 0), 9) AS variance FROM (VALUES ('q1', 'df', 0.5::DOUBLE), ('q1', 'df', 0.25), ('q1', 'df', 1.0), ('q1', 'df', 0.75), ('q1', 'sql', 0.5), ('q2', 'df', 2.0), ('q2', 'df', 1.0)) AS r(query, api, t) GROUP BY query, api",
+    "benchmark_summary": _with(f"SELECT {_C} AS query, CAST(MONTH AS VARCHAR) AS api, min(ARR_DELAY) AS min, max(ARR_DELAY) AS max, round(avg(ARR_DELAY), 6) AS avg, round(median(ARR_DELAY), 6) AS median, round(coalesce(var_samp(ARR_DELAY), 0), 6) AS variance FROM flights WHERE ARR_DELAY IS NOT NULL GROUP BY {_C}, MONTH"),
 }

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
@@ -48,16 +49,17 @@ def sweep(scaled: DataFrame, ks: Sequence[int] = K_RANGE, seed: int = SEED) -> S
     """Values of k that the rows do not allow (fewer rows than k) are left out."""
     n = scaled.count()
     judge = ClusteringEvaluator(featuresCol="features", metricName="silhouette", distanceMeasure="squaredEuclidean")
-    out = Sweep({}, {}, {})
-    for k in ks:
-        if k > n:
-            continue
+
+    def fitted(k: int) -> tuple:
         model = KMeans(k=k, seed=seed, maxIter=100, initSteps=10, featuresCol="features").fit(scaled)
         assigned = model.transform(scaled)
-        out.models[k], out.wssse[k] = model, float(model.summary.trainingCost)
         clusters = assigned.select("prediction").distinct().count()
-        out.silhouette[k] = float(judge.evaluate(assigned)) if clusters > 1 and n > 2 else 0.0
-    return out
+        return k, model, float(model.summary.trainingCost), float(judge.evaluate(assigned)) if clusters > 1 and n > 2 else 0.0
+
+    # a fit is many short jobs one after another; the fits do not depend on each other
+    with ThreadPoolExecutor(max(1, len(ks))) as pool:
+        found = list(pool.map(fitted, [k for k in ks if k <= n]))
+    return Sweep({k: m for k, m, _, _ in found}, {k: c for k, _, c, _ in found}, {k: s for k, _, _, s in found})
 
 
 def profile(assigned: DataFrame, table: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -153,6 +155,14 @@ def run_studies(flights: DataFrame, names: Sequence[str] = ("base", "extended"))
     return [run_study(flights, n, table=table) for n in names]
 
 
+def deltas(studies: DataFrame) -> DataFrame:
+    """Each study against the first of ``comparison`` (the one of fewest features): what features, clusters, silhouette and cost it has more or less."""
+    least = studies.agg(*[F.min_by(c, "n_features").alias(f"_{c}") for c in ("study", "best_k", "best_silhouette", "best_wssse")], F.min("n_features").alias("_n_features"))
+    both = studies.join(F.broadcast(least), F.col("study") != F.col("_study"))
+    cols = [F.round(F.col(c) - F.col(f"_{c}"), 4).alias(f"{c}_delta") for c in ("n_features", "best_k", "best_silhouette", "best_wssse")]
+    return both.select("study", F.col("_study").alias("against"), *cols)
+
+
 def comparison(studies: Sequence[Study]) -> DataFrame:
     schema = "study string, label string, n_features int, features string, best_k int, best_silhouette double, best_wssse double, elapsed_seconds double"
     return studies[0].table.sparkSession.createDataFrame([s.summary() for s in studies], schema)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _DOUBLES = ("CANCELLED", "DIVERTED")
@@ -69,12 +72,52 @@ def fixture_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_csv(spark: SparkSession, source: str, target: str) -> None:
     """Raw CSV with a header into the Parquet table, partitioned by year and month; unreadable numbers become null."""
     raw = spark.read.option("header", True).csv(source)
+    store_flights(raw.select(*[c.alias(f.name) for f, c in _typed(raw)]), target)
+
+
+def store_flights(flights: DataFrame, target: str, *above: str) -> None:
+    """The table partitioned by year and month (under ``above``). Rows are dealt out by partition first, and a large one to several tasks, so that there are few files."""
+    by = (*above, "YEAR", "MONTH")
+    flights.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(target)
+
+
+def flights_of(spark: SparkSession, path: str, years: Sequence[int] | None = None, months: DataFrame | None = None) -> DataFrame:
+    """A stored table's flights of some years, and of the (YEAR, MONTH) rows of a table; only their folders are read.
+
+    Years are known when the query is planned. Which months the table names is known once it is read; if it is small
+    enough to be broadcast, its values prune the folders before the scan begins.
+    """
+    out = load_flights(spark, path)
+    if years is not None:
+        out = out.where(F.col("YEAR").isin(*years))
+    return out if months is None else out.join(months.select("YEAR", "MONTH"), ["YEAR", "MONTH"], "left_semi").select(*[f.name for f in SCHEMA])
+
+
+def ingest_checked(spark: SparkSession, source: str, target: str) -> None:
+    """Raw CSV into accepted and rejected rows, written by one pass over it.
+
+    A row with a value that its column's type cannot hold is rejected whole. Rejected rows keep their readable
+    values, ``reasons`` (column and raw value of each that is not), the file, and the row's place in its part of it.
+    """
+    raw = spark.read.option("header", True).csv(source).withColumns({"_file": F.col("_metadata.file_name"), "_row": F.monotonically_increasing_id()})
+    typed = _typed(raw)
     have = {c.upper(): c for c in raw.columns}
-    cols = [raw[have[f.name]].try_cast(f.dataType).alias(f.name) if f.name in have else _null(f) for f in SCHEMA]
-    raw.select(*cols).write.mode("overwrite").partitionBy("YEAR", "MONTH").parquet(target)
+    bad = [F.when(raw[have[f.name]].isNotNull() & c.isNull(), F.struct(F.lit(f.name).alias("column"), raw[have[f.name]].alias("value"))) for f, c in typed if f.name in have]
+    reasons = F.filter(F.array(*bad), lambda r: r.isNotNull())
+    rows = raw.select(*[c.alias(f.name) for f, c in typed], reasons.alias("reasons"), F.col("_file").alias("file"), F.col("_row").bitwiseAND((1 << 33) - 1).alias("row"))
+    store_flights(rows.withColumn("accepted", (F.size("reasons") == 0).cast("int")), target, "accepted")
+
 
+def rejected(spark: SparkSession, target: str) -> DataFrame:
+    """The rejected rows of ``ingest_checked``; none are an empty table."""
+    return spark.read.parquet(target).where("accepted = 0").drop("accepted")
 
-def _null(f: T.StructField):
-    from pyspark.sql import functions as F
 
-    return F.lit(None).cast(f.dataType).alias(f.name)
+def accepted(spark: SparkSession, target: str) -> DataFrame:
+    return checked(spark.read.parquet(target).where("accepted = 1"))
+
+
+def _typed(raw: DataFrame) -> list[tuple[T.StructField, Column]]:
+    """The flight columns of raw text: of unreadable values and missing columns null."""
+    have = {c.upper(): c for c in raw.columns}
+    return [(f, raw[have[f.name]].try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)) for f in SCHEMA]
