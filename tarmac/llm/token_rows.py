@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarmac.llm.batches import filled, mapped, slices
 from tarmac.llm.storage import shared_dir
@@ -23,7 +24,8 @@ from tarmac.llm.tokens import END_ID, pieces, tokenizer_path
 CAPACITY, GROUP, PAD_ID = 2048, 2048, 0
 #: Rows of a partition, at least on average: smaller partitions are joined, so that few groups are small.
 LEAST_ROWS = 512
-SCHEMA = "row_id long, n_ids int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>"
+#: The columns beside doc_ids, whose type is that of the ids.
+SCHEMA = "row_id long, n_ids int, ids binary, positions binary, cu_seqlens array<int>, starts array<long>"
 
 
 class FreeSpace:
@@ -85,7 +87,7 @@ def token_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     ids: uint32 little-endian, filled up with ``PAD_ID``; positions: uint16 (uint32 beyond 65,536 ids),
     from 0 at each segment; cu_seqlens: 0 and the ends of the segments; doc_ids and starts: each segment's
     document and where in that document's ids it begins. A null or empty text is its end id alone. Ids may
-    be null or repeat. Other columns are ignored, and an empty table gives no rows.
+    be null, repeat and have any type. Other columns are ignored, and an empty table gives no rows.
     """
     path = path or tokenizer_path()
     end = END_ID.to_bytes(4, "little")
@@ -100,7 +102,7 @@ def token_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
         number = TaskContext.get().partitionId() << 40
         count = np.arange(capacity).astype(width)
         names = ["row_id", "n_ids", "ids", "positions", "cu_seqlens", "doc_ids", "starts"]
-        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), None, pa.list_(pa.int64())]
         rows: list[tuple] = []
         held: list[tuple] = []
         whole = count.tobytes()
@@ -131,6 +133,7 @@ def token_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
             return out
 
         for b in slices(batches):
+            types[5] = pa.list_(b.schema.field(0).type)
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = encode(text) + end
                 n = len(ids) // 4
@@ -145,9 +148,12 @@ def token_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
                 if len(rows) >= 1000:
                     yield batch()
         deal()
-        yield batch()
+        if types[5] is not None:
+            yield batch()
 
-    return mapped(filled(df, LEAST_ROWS).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SCHEMA)
+    texts = filled(df, LEAST_ROWS).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    fields = T.StructType.fromDDL(SCHEMA).fields
+    return mapped(texts, run, T.StructType([*fields[:5], T.StructField("doc_ids", T.ArrayType(texts.schema["doc_id"].dataType)), *fields[5:]]))
 
 
 def write_rows(rows: DataFrame, path: str) -> DataFrame:
