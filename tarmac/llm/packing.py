@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarmac.llm.batches import filled, mapped, slices
 from tarmac.llm.tokens import END_ID, pieces, tokenizer_path
@@ -31,7 +32,8 @@ LEAST_ROWS = 512
 #: Bits of a node's number.
 _NODE = 40
 
-SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+#: The columns beside doc_id, which has the type of the ids.
+SCHEMA = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 def differenced(sizes: list[int], k: int) -> list[list[int]]:
@@ -102,7 +104,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
 
     Whole texts are encoded; a null or empty text is the end id alone. Each id of a document lies in
     exactly one piece, and the pieces of a sequence fill its offsets from 0 without gaps. Ids may be
-    null or repeat: rows are packed as they come. Other columns of ``df`` are ignored. An empty table
+    null, repeat and have any type: rows are packed as they come. Other columns of ``df`` are ignored. An empty table
     gives no rows.
     """
     path = path or tokenizer_path()
@@ -118,7 +120,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
         rows: list[tuple] = []
         held: list[tuple] = []
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        types = [None, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         nbytes = 0
 
         def batch() -> pa.RecordBatch:
@@ -138,6 +140,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
             held.clear()
 
         for b in slices(batches):
+            types[0] = b.schema.field(0).type
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = encode(text) + end
                 n = len(ids) // 4
@@ -156,9 +159,11 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
                     yield batch()
         if held:
             deal()
-        yield batch()
+        if types[0] is not None:
+            yield batch()
 
-    return mapped(filled(df, LEAST_ROWS).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SCHEMA)
+    rows = filled(df, LEAST_ROWS).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return mapped(rows, run, T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL(SCHEMA)]))
 
 
 def op7_differencing_packing(spark, sf_dir: str) -> DataFrame:

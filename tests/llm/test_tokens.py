@@ -291,3 +291,13 @@ def test_small_partitions_are_filled(spark, parts):
     assert got["n"] / (2048 * got["k"]) > 0.95
     got = token_rows.token_rows(df).agg(F.sum("n_ids").alias("n"), F.count("*").alias("k")).first()
     assert got["n"] / (2048 * got["k"]) > 0.95
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("a-1", "some words here"), (None, "more"), ("a-1", None)], "doc_id string, text string")
+    packed = packing.pack(df)
+    assert packed.schema["doc_id"].dataType.simpleString() == "string" and {r["doc_id"] for r in packed.collect()} == {"a-1", None}
+    rows = token_rows.token_rows(df)
+    assert rows.schema["doc_ids"].dataType.simpleString() == "array<string>"
+    assert sorted((d for r in rows.collect() for d in r["doc_ids"]), key=str) == [None, "a-1", "a-1"]
+    assert packing.pack(df.where("false")).count() == token_rows.token_rows(df.where("false")).count() == 0
