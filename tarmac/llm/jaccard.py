@@ -441,7 +441,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Sets with 100 * intersection >= 80 * union are linked, equal sets included. A null, empty or blank
     text has an empty set and is linked to nothing. Rows with a null id take part in links, but are never a
-    component's name; alone, their component is null. Rows may repeat. Other columns are ignored.
+    component's name; alone, their component is null. Rows may repeat. Ids are
+    whole numbers, or text of them: an id that is no number is an error, as the least id names a component. Other columns are ignored.
     """
     sets, label = _labelled(docs, id_col, text_col)
     # the least id of equal sets, and then of linked ones
