@@ -82,7 +82,7 @@ def test_empty_tables_pass_through(spark, corpus, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     from tarmac.llm.queries import QUERIES
 
-    spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert all(q(spark, str(tmp_path)).count() == 0 for q in QUERIES.values())
 
 
@@ -93,7 +93,7 @@ def test_nulls_in_every_column(spark, corpus, tmp_path):
     docs.unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
     labels = spark.read.parquet(f"{where}/labels.parquet")
     labels.unionByName(spark.createDataFrame([(None, 1, 1), (3, None, None)], labels.schema)).write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(None, None), (0, [0.5, 0.25]), (50, None), (7, [1.0, None])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(None, None, None), (0, [0.5, 0.25], 1), (50, None, 1), (7, [1.0, None], None)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     from tarmac.llm.queries import QUERIES
 
     n = docs.count() + 4
