@@ -16,7 +16,7 @@ from tarmac.llm.batches import trim
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Pieces in the younger half of a worker's cache (some 200 bytes each), and the longest kept.
-CACHE_PIECES, CACHE_CHARS = 160_000, 40
+CACHE_PIECES, CACHE_CHARS = 320_000, 40
 
 _MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)\Z")
 _workers: dict[str, "Pieces"] = {}
@@ -57,6 +57,8 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if (ids := self._older.get(piece)) is not None:
             pass
+        elif piece.isascii() and piece.isalpha() and piece.islower():
+            ids = self._word(piece)
         elif (m := _MARKED.match(piece)) and m[1].lower().isalpha():
             # letters, then marks: the vocabulary splits between them
             ids = self[m[1]] + self[m[2]]
