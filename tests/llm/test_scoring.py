@@ -1,5 +1,6 @@
 """Toxicity and quality: the grammar, what is learned, and accuracy on held-out rows."""
 
+import math
 import os
 import random
 import zlib
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tarmac.llm import logistic, quality, toxicity
 
-DATA = "/root/testdata/sf0.1"
+DATA, SMALL = "/root/testdata/sf0.1", "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 LEXICON = {"idiot$": 4.0, "lowei": 3.0}
 
@@ -191,10 +192,8 @@ def test_edges_of_quality(spark, docs):
     assert quality.fit_quality(docs, spark.createDataFrame([], "doc_id long, quality int")).weights == [0.0] * 10 + [2.0]
 
 
-def test_posteriors_equal_their_formula(spark, monkeypatch):
-    rng = random.Random(3)
-    rows = [(i, f"h{min(i % 13, 9)}", f"p{i % 3}", rng.random() if i % 13 else 0.05) for i in range(400)] + [(900, "lonely", None, 0.5)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, p double")
+def _plain_posteriors(rows):
+    """Of (id, host, path, p): host posterior, path posterior and score of each row, and the corpus mean, row by row."""
 
     def rate(group):
         return sum(r[3] for r in group), len(group)
@@ -206,14 +205,70 @@ def test_posteriors_equal_their_formula(spark, monkeypatch):
     kh = quality._strength(sum(c * (s / c - m) ** 2 for s, c in hosts.values()), m, n, sum(c * c for _, c in hosts.values()), len(hosts))
     q = sum(c * (s / c - hosts[k[0]][0] / hosts[k[0]][1]) ** 2 for k, (s, c) in paths.items())
     kp = quality._strength(q, m, n, sum(c * c for _, c in paths.values()), len(paths) - len(hosts) + 1)
+    bound = lambda x: max(1e-6, min(1 - 1e-6, x))
+    logit = lambda x: math.log(bound(x) / (1 - bound(x)))
+    out = []
+    for _, host, path, p in rows:
+        (sh, nh), (sp, np_) = hosts[host], paths[host, path]
+        th = (kh * m + sh - p) / (kh + nh - 1)
+        tp = (kp * th + sp - p) / (kp + np_ - 1)
+        out.append((bound(th), bound(tp), 1 / (1 + math.exp(-(logit(p) + logit(tp) - logit(m))))))
+    return out, m
+
+
+def test_posteriors_equal_their_formula(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, f"h{min(i % 13, 9)}", f"p{i % 3}", rng.random() if i % 13 else 0.05) for i in range(400)] + [(900, "lonely", None, 0.5)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, p double")
+    want, m = _plain_posteriors(rows)
     for bound in (20_000, 0):
         monkeypatch.setattr(quality, "BROADCAST_SITES", bound)
-        for r in quality.with_posteriors(df, df, "p", "source", "lang").collect():
-            sh, nh = hosts[r["source"]]
-            sp, np_ = paths[r["source"], r["lang"]]
-            th = (kh * m + sh - r["p"]) / (kh + nh - 1)
-            tp = (kp * th + sp - r["p"]) / (kp + np_ - 1)
-            assert r["host_posterior"] == pytest.approx(th) and r["path_posterior"] == pytest.approx(tp)
+        got = quality.with_posteriors(df, df, "p", "source", "lang").orderBy("doc_id").collect()
+        for r, w in zip(got, want, strict=True):
+            assert (r["host_posterior"], r["path_posterior"], r["score"]) == pytest.approx(w)
         # a site of one document says no more than the corpus
-        lonely = [r for r in quality.with_posteriors(df, df, "p", "source", "lang").collect() if r["source"] == "lonely"]
-        assert lonely[0]["path_posterior"] == pytest.approx(m) and lonely[0]["score"] == pytest.approx(0.5)
+        assert got[-1]["path_posterior"] == pytest.approx(m) and got[-1]["score"] == pytest.approx(0.5)
+
+
+@needs_data
+def test_whole_quality_query_equals_plain_rows(spark):
+    """Every row of the query, from the features of its text in plain Python to the score."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit_quality(docs, labels)
+    texts = sorted((r["doc_id"], r["source"], r["lang"], r["text"]) for r in docs.collect())
+    rows = []
+    for i, source, lang, text in texts:
+        z = model.weights[-1] + sum(w * (x - a) / b for w, x, a, b in zip(model.weights, quality.text_features(text or ""), model.mean, model.scale, strict=False))
+        rows.append((i, source, lang, 1 / (1 + math.exp(-z))))
+    want, _ = _plain_posteriors(rows)
+    got = quality.op6_site_shrunk_quality(spark, SMALL).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in got] == [r[0] for r in rows]
+    for r, row, w in zip(got, rows, want, strict=True):
+        assert (r["doc_score"], r["host_posterior"], r["path_posterior"], r["score"]) == pytest.approx((row[3], *w), rel=1e-6, abs=1e-9)
+        assert r["predicted"] == int(r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+@needs_data
+def test_whole_toxicity_query_equals_plain_rows(spark):
+    """The terms' evidence is recounted from two-by-two tables of the learned rows, and every score follows from the clauses of its text alone."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    sides = [[toxicity._terms(texts[i]) for i, y in toxic.items() if (y > 0) == side] for side in (True, False)]
+    n = [len(s) for s in sides]
+    evidence = []
+    for term in set().union(*sides[0]):
+        seen = [sum(term in t for t in s) for s in sides]
+        odds = math.log((seen[0] + 0.25) / (n[0] + 0.5)) - math.log((seen[1] + 0.25) / (n[1] + 0.5))
+        table = [(seen[0], n[0], sum(seen)), (seen[1], n[1], sum(seen)), (n[0] - seen[0], n[0], sum(n) - sum(seen)), (n[1] - seen[1], n[1], sum(n) - sum(seen))]
+        g2 = sum(2 * o * math.log(o * sum(n) / (row * column)) for o, row, column in table if o)
+        if seen[0] >= toxicity.LEAST_ROWS and odds >= toxicity.LEAST_ODDS and g2 >= toxicity.least_g2(n[0]):
+            evidence.append((term, seen[0], odds))
+    model = toxicity.fit_toxicity(docs, labels)
+    assert model.lexicon == pytest.approx(toxicity.choose_terms(evidence)) and model.lexicon
+    scorer = toxicity.Scorer(model.lexicon)
+    got = {r["doc_id"]: r for r in toxicity.op2_clause_grammar_toxicity(spark, SMALL).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        z = model.weights[-1] + sum(w * x for w, x in zip(model.weights, toxicity.document_features(scorer.clauses(text), len(text)), strict=False))
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-z))) and got[i]["predicted"] == int(got[i]["score"] >= 0.5)
