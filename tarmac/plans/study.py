@@ -63,14 +63,20 @@ def sweep(scaled: DataFrame, ks: Sequence[int] = K_RANGE, seed: int = SEED) -> S
 
 
 def profile(assigned: DataFrame, table: DataFrame, names: Sequence[str]) -> DataFrame:
-    """prediction, n_carriers, and per feature its mean, its distance to the mean of all carriers, and that in deviations (4 digits)."""
-    stats = global_stats(table, names).groupBy().pivot("feature", list(names)).agg(F.first("mean").alias("m"), F.first("std").alias("s"))
-    means = assigned.groupBy("prediction").agg(F.count("*").alias("n_carriers"), *[F.avg(c).alias(c) for c in names])
+    """prediction, n_carriers, and per feature its mean, its distance to the mean of all carriers, and that in deviations (4 digits).
+
+    Features have few digits, so that distances often lie halfway between two roundings; means are of decimals, as a sum of
+    doubles would round by the order of its rows.
+    """
+    exact = {c: F.avg(F.col(c).try_cast("decimal(28,10)")) for c in names}
+    stats = global_stats(table, names).groupBy().pivot("feature", list(names)).agg(F.first("std").alias("s"))
+    stats = stats.select(*[F.col(c).alias(f"{c}_s") for c in names]).join(F.broadcast(table.agg(*[x.alias(f"{c}_m") for c, x in exact.items()])))
+    means = assigned.groupBy("prediction").agg(F.count("*").alias("n_carriers"), *[x.alias(c) for c, x in exact.items()])
     both = means.join(F.broadcast(stats))  # a single row of statistics
     cols = []
     for c in names:
         delta = F.col(c) - F.col(f"{c}_m")
-        cols += [F.round(c, 4).alias(f"{c}_mean"), F.round(delta, 4).alias(f"{c}_delta"), F.round(delta / F.col(f"{c}_s"), 4).alias(f"{c}_zscore")]
+        cols += [F.round(c, 4).cast("double").alias(f"{c}_mean"), F.round(delta, 4).cast("double").alias(f"{c}_delta"), F.round(delta.cast("double") / F.col(f"{c}_s"), 4).alias(f"{c}_zscore")]
     return both.select("prediction", "n_carriers", *cols).orderBy("prediction")
 
 

@@ -117,3 +117,18 @@ def test_deltas_of_studies(spark):
     schema = "study string, label string, n_features int, features string, best_k int, best_silhouette double, best_wssse double, elapsed_seconds double"
     rows = [("extended", "E", 10, "", 3, 0.5, 90.0, 1.0), ("base", "B", 8, "", 2, 0.6, 70.5, 2.0)]
     assert [tuple(r) for r in study.deltas(spark.createDataFrame(rows, schema)).collect()] == [("extended", "base", 2, 1, -0.1, 19.5)]
+
+
+def test_profile_does_not_depend_on_the_order_of_rows(spark):
+    """Distances that lie halfway, as 0.1 + 0.2 + 0.3: both orders of the rows round to the same digit, away from 0."""
+    values = [("a", 0.1), ("b", 0.2), ("c", 0.30015), ("d", 0.0), ("e", 0.0), ("f", 0.0)]
+    found = []
+    for rows in (values, values[::-1], values[3:] + [values[2], values[1], values[0]]):
+        table = spark.createDataFrame(rows, "OP_UNIQUE_CARRIER string, x double").coalesce(1)
+        own = table.withColumn("prediction", F.col("OP_UNIQUE_CARRIER").isin("d", "e", "f").cast("int"))
+        found.append([(r["x_mean"], r["x_delta"]) for r in study.profile(own, table, ["x"]).collect()])
+    assert found == [[(0.2001, 0.1), (0.0, -0.1)]] * 3
+    rows = [(f"c{i}", v) for i, v in enumerate([1.1, 1.1003, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "OP_UNIQUE_CARRIER string, x double").coalesce(1)
+    out = study.profile(table.withColumn("prediction", F.lit(0)).where("x > 0"), table, ["x"]).collect()
+    assert [(r["x_mean"], r["x_delta"]) for r in out] == [(1.1002, 0.5501)]
