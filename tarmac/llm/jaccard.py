@@ -265,8 +265,12 @@ DIVIDED = 2
 #: The farthest that a set's nearest pivot may be, and the rows of a divided region's cells against its own, at most.
 CUT, GROWTH = 0.6, 2.0
 #: A region is left to one task if it has at most so many rows, and pairs of a row
-#: outside its largest component with any row.
-LEAF_ROWS, LEAF_PAIRS = 20_000, 1 << 20
+#: outside its largest component with any row. A task compares a pair's sketches in about 0.1 us, where pivots join,
+#: shuffle and measure each pair; so a region must be large before its pivots cost less than its pairs.
+LEAF_ROWS, LEAF_PAIRS = 20_000, 1 << 23
+
+#: Pairs that a leaf's task holds before it passes them on.
+FOUND = 100_000
 
 
 def _close_in_leaves(rows: DataFrame) -> DataFrame:
@@ -296,11 +300,14 @@ def _close_in_leaves(rows: DataFrame) -> DataFrame:
             found.clear()
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["v", "p"])
 
-        def take(table) -> None:
+        def take(table) -> Iterator:
             s = table.column("s").to_numpy()
             edges = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1, [len(s)]])
             for lo, hi in zip(edges, edges[1:]):
-                found.update((int(min(x, y)), int(max(x, y))) for x, y in close(table.slice(lo, hi - lo)))
+                for x, y in close(table.slice(lo, hi - lo)):
+                    found.add((int(min(x, y)), int(max(x, y))))
+                    if len(found) > FOUND:
+                        yield out()
 
         for b in batches:
             if not b.num_rows:
@@ -309,13 +316,11 @@ def _close_in_leaves(rows: DataFrame) -> DataFrame:
             s = b.column(0).to_numpy()
             last = int(np.searchsorted(s, s[-1]))
             if last:
-                take(pa.Table.from_batches([*held, b.slice(0, last)]).combine_chunks())
+                yield from take(pa.Table.from_batches([*held, b.slice(0, last)]).combine_chunks())
                 held = []
             held.append(b.slice(last))
-            if len(found) > 100_000:
-                yield out()
         if held:
-            take(pa.Table.from_batches(held).combine_chunks())
+            yield from take(pa.Table.from_batches(held).combine_chunks())
         yield out()
 
     kept = rows.select("s", "v", "n", "c", "lo", "hi", "sketch").repartition("s").sortWithinPartitions("s")

@@ -378,3 +378,26 @@ def test_topics(spark):
     rows = [("Copyright me",), ("a@b",), ("x | y",), ("f() { }",), ("short",), ("w " * 900,), ("w " * 9000,), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "text string").select(raking.topic(F.col("text"))).collect()]
     assert got == ["legal", "contact", "table", "code", "short prose", "prose", "long prose", None]
+
+
+def test_region_of_unlinked_near_sets_is_left_to_one_task(spark, monkeypatch):
+    """Of 1,600 sets with most shingles in common and hardly a link, Spark joins pairs with the first two levels' pivots and no more; no link is lost."""
+    rnd = random.Random(5)
+    base = [f"b{i}" for i in range(240)]
+    rows = []
+    for i in range(1600):
+        at = rnd.randrange(210)
+        rows.append((i, " ".join([*base[:at], *(f"r{i}x{k}" for k in range(30)), *base[at + 30 :]])))
+    rows += [(5000 + i, " ".join([*rows[i][1].split()[:-2], "other", "end"])) for i in (7, 400, 1199)]
+    joined, near = [], jaccard._near
+
+    def counted(pairs, sketches):
+        joined.append(pairs.count())
+        return near(pairs, sketches)
+
+    monkeypatch.setattr(jaccard, "_near", counted)
+    monkeypatch.setattr(jaccard, "FOUND", 2)
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["component_id"] for r in out.collect()}
+    assert [(i, c) for i, c in got.items() if c != (i - 5000 if i >= 5000 else i)] == [] and len(got) == len(rows)
+    assert len(joined) == 3 and joined[2] == 0, joined
