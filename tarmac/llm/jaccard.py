@@ -265,8 +265,8 @@ DIVIDED = 2
 #: The farthest that a set's nearest pivot may be, and the rows of a divided region's cells against its own, at most.
 CUT, GROWTH = 0.6, 2.0
 #: A region is left to one task if it has at most so many rows, and pairs of a row
-#: outside its largest component with any row. A task compares a pair's sketches in about 0.1 us, where pivots join,
-#: shuffle and measure each pair; so a region must be large before its pivots cost less than its pairs.
+#: outside its largest component with any row. A task compares sketches as rows of a matrix, where pivots join and
+#: shuffle each pair; so a region must be large before its pivots cost less than its pairs.
 LEAF_ROWS, LEAF_PAIRS = 20_000, 1 << 23
 
 #: Pairs that a leaf's task holds before it passes them on.
