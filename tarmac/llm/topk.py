@@ -8,7 +8,8 @@ Cauchy-Schwarz bound of the weights and of the norm that are left. A query stops
 candidates can still be among its k best; only those are scored in full.
 
 Queries meet candidates in blocks, whose lists are read for all queries of a block together as matrix
-products, and the blocks' best are merged.
+products, and the blocks' best are merged. A task has a cell of some candidate and some query blocks; what a query
+has found in the cell's earlier blocks is a bar for the next, so that fewer entries are read there.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from tarmac.llm.storage import written
 
 #: Candidates and queries in a block, on average.
 BLOCK, QUERY_BLOCK = 4096, 1024
+#: Candidate blocks are dealt to so many groups, or more if a group would have over CELL of them; query blocks to groups of at most CELL.
+GROUPS, CELL = 32, 16
 #: Shares of the lists at which the bounds are compared; candidates that may be left, as a share.
 DEPTHS, LEFT = (1 / 8, 1 / 4, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 1.0), 1 / 32
 #: Bits up to which sums of whole doubles are exact; beyond, scores are added as Python integers.
@@ -30,8 +33,8 @@ EXACT_BITS = 53
 _FAR = 1 << 400
 
 
-def _bounds(c, rank, lists, q, read: int):
-    """Lower and upper bounds of every candidate's score for each query, after ``read`` entries of every list."""
+def _bounds(c, rank, lists, q, read: int, low: bool = True):
+    """Lower (None unless ``low``) and upper bounds of every candidate's score for each query, after ``read`` entries of every list."""
     import numpy as np
 
     n = len(c)
@@ -39,17 +42,18 @@ def _bounds(c, rank, lists, q, read: int):
     known = {}
     for side, w, met, reached, worst in ((1, up, rank >= n - read, lists[n - read], lists[0]), (0, down, rank < read, lists[read - 1], lists[-1])):
         values = np.where(met, c, 0.0)
-        known[side] = (w @ values.T, w @ np.where(met, 0.0, reached).T, w @ np.where(met, 0.0, worst).T, (w * w) @ (~met).T.astype(float), (w != 0).astype(float) @ (values * values).T)
+        known[side] = (w @ values.T, w @ np.where(met, 0.0, reached).T, w @ np.where(met, 0.0, worst).T if low else 0.0, (w * w) @ (~met).T.astype(float), (w != 0).astype(float) @ (values * values).T)
     score, most, least, weights, norms = (a + b for a, b in zip(known[0], known[1], strict=True))
     rest = np.sqrt(weights * np.maximum((c * c).sum(1) - norms, 0.0)) * (1 + 1e-9)
-    return score + np.maximum(least, -rest), score + np.minimum(most, rest)
+    return score + np.maximum(least, -rest) if low else None, score + np.minimum(most, rest)
 
 
-def lists_topk(queries, query_ids, candidates, candidate_ids, k: int, times=None, reads: list | None = None):
+def lists_topk(queries, query_ids, candidates, candidate_ids, k: int, times=None, reads: list | None = None, bars=None, first: float = 0.0):
     """(query row, candidate row, score) of each query's k best candidates of other ids, ties to smaller ids.
 
     Components are whole doubles. A candidate counts ``times`` over. The entries read by each query are
-    added to ``reads``.
+    added to ``reads``. Scores below a query's bar, which others have reached k times, may be left out; bounds
+    are first compared when the share ``first`` of the lists is read.
     """
     import numpy as np
 
@@ -83,15 +87,22 @@ def lists_topk(queries, query_ids, candidates, candidate_ids, k: int, times=None
     np.put_along_axis(rank, order, np.arange(n)[:, None].repeat(dims, 1), 0)
     lists = np.take_along_axis(c, order, 0)
     active = np.arange(len(q_all))
+    bars = np.full(len(q_all), -np.inf) if bars is None else bars
     for depth in DEPTHS:
         if not len(active):
             break
+        if depth < first:
+            continue
         read = max(1, min(n, round(depth * n)))
         q = q_all[active]
-        lower, upper = _bounds(c, rank, lists, q, read)
+        bar = bars[active]
+        low = n > k and bool(np.isneginf(bar).any())
+        lower, upper = _bounds(c, rank, lists, q, read, low)
         own = candidate_ids[None, :] == query_ids[active][:, None]
-        upper[own], lower[own] = -np.inf, -np.inf
-        bar = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(active), -np.inf)
+        upper[own] = -np.inf
+        if low:
+            lower[own] = -np.inf
+            bar = np.maximum(bar, np.partition(lower, n - k, axis=1)[:, n - k])
         may = (upper >= (bar - 1e-9 * most)[:, None]) & ~own
         done = (may.sum(1) <= max(4 * k, LEFT * n)) | (read == n)
         for i in np.flatnonzero(done):
@@ -112,7 +123,7 @@ def topk_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "v
     none. A score outside the range of long is ranked by its value and returned as null.
     """
 
-    def blocks(df: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:
+    def blocks(df: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:  # and their number
         kept = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
         # equal rows are one row with a count, so that they fill no block
         kept = written(kept.groupBy("id", "v").agg(F.count("*").alias("times")))
@@ -120,10 +131,15 @@ def topk_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "v
         kept = kept.withColumn(name, F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")).withColumn("dims", F.size("v"))
         return kept.groupBy("dims", name).agg(F.collect_list(F.struct("id", "v", "times", F.xxhash64("v").alias("tag"))).alias(f"{name}_rows")), n
 
+    each_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left, n = blocks(vectors, "c", BLOCK)
-    right, _ = blocks(queries, "q", QUERY_BLOCK)
-    right = right.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("c", F.col("c").cast("int"))
-    pairs = left.join(right, ["dims", "c"]).select("dims", "c_rows", "q_rows")
+    right, m = blocks(queries, "q", QUERY_BLOCK)
+    groups, halls = max(min(n, GROUPS), -(-n // CELL)), -(-m // CELL)
+    cell = ["dims", "g", "h"]
+    left = left.select("dims", (F.col("c") % groups).alias("g"), each_of(halls).alias("h"), "c_rows").repartition(4 * groups * halls, *cell)
+    right = right.select("dims", each_of(groups).alias("g"), (F.col("q") % halls).alias("h"), "q", "q_rows").repartition(4 * groups * halls, *cell)
+    # never a broadcast: the queries, once for each group, are estimated at what their file has
+    pairs = left.hint("merge").join(right.hint("merge"), cell).select(*cell, "q", "c_rows", "q_rows")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -135,16 +151,28 @@ def topk_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "v
 
         names = ["query_id", "tag", "times", "vec_id", "score", "high", "digits"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string()]
+        at_cell, found = None, {}
         for b in batches:
             for i in range(b.num_rows):
-                dims = b.column(0)[i].as_py()
-                c_ids, c, c_times, _ = matrix(b.column(1)[i].values, dims)
-                q_ids, q, q_times, tags = matrix(b.column(2)[i].values, dims)
-                rows = []
-                for at, to, score in lists_topk(q, q_ids, c, c_ids, k, c_times):
+                *now, block = (b.column(x)[i].as_py() for x in range(4))
+                if now != at_cell:
+                    at_cell, found = now, {}
+                dims = now[0]
+                c_ids, c, c_times, _ = matrix(b.column(4)[i].values, dims)
+                q_ids, q, q_times, tags = matrix(b.column(5)[i].values, dims)
+                # the k best scores of each query in the cell, and where to compare bounds first
+                best, first = found.get(block) or (np.full((len(q_ids), k), -np.inf), 0.0)
+                rows, reads = [], []
+                for at, to, score in lists_topk(q, q_ids, c, c_ids, k, c_times, reads, best.min(1), first):
+                    high, mine = float(score), best[at]
+                    if high < (bar := mine.min()):
+                        continue
+                    if high > bar:
+                        mine[mine.argmin()] = high
                     long = -(1 << 63) <= score < 1 << 63
-                    # whole scores sort by a rounded value first, and then by their digits
-                    rows.append((q_ids[at], tags[at], q_times[at], c_ids[to], score if long else None, float(score), f"{score + _FAR:0150d}"))
+                    # whole scores sort by a rounded value first, and where that may have been rounded by their digits
+                    rows.append((q_ids[at], tags[at], q_times[at], c_ids[to], score if long else None, high, f"{score + _FAR:0150d}" if abs(high) >= 1 << EXACT_BITS else None))
+                found[block] = best, float(np.median(reads)) / (len(c_ids) * dims) - 1 / 8 if reads and dims else 0.0
                 columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
 

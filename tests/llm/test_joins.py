@@ -225,6 +225,34 @@ def test_topk_edges(spark):
     assert got == {1: None, 2: None, 3: None, 4: None, 5: [-1, 255], 6: [float(np.float32(1e30)) * 256]}
 
 
+@pytest.mark.parametrize("groups", [(1, 3), (2, 2), (9, 50)])
+def test_queries_are_never_broadcast(spark, monkeypatch, groups):
+    """The queries, once for each group of candidates, grow with the square of the input; the driver must not hold them."""
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(topk, "GROUPS", groups[0], raising=False)
+    monkeypatch.setattr(topk, "CELL", groups[1], raising=False)
+    rnd = random.Random(9)
+    rows = [(i, [rnd.randint(-30, 30) for _ in range(5)]) for i in range(400)]
+    schema = "vec_id long, components array<long>"
+    got = topk.topk_search(spark.createDataFrame(rows, schema), spark.createDataFrame(rows[::10], schema), 5)
+    assert sorted(map(tuple, got.collect())) == sorted(_plain_topk(rows, rows[::10], 5))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_bars_of_earlier_blocks_stop_reading_earlier():
+    rng = np.random.default_rng(6)
+    c = rng.integers(-99, 99, size=(6000, 16)).astype(float)
+    ids, q = np.arange(len(c)), c[:40]
+    bars = np.sort(q @ c[3000:].T, axis=1)[:, -5]
+    free, barred = [], []
+    want = topk.lists_topk(q, ids[:40] + 10**6, c[:3000], ids[:3000], 5, reads=free)
+    got = topk.lists_topk(q, ids[:40] + 10**6, c[:3000], ids[:3000], 5, reads=barred, bars=bars, first=0.25)
+    assert sum(barred) < sum(free)
+    assert {x for x in want if x[2] >= bars[x[0]]} == {x for x in got if x[2] >= bars[x[0]]}
+
+
 def test_repeated_query_rows_are_answered_each(spark):
     rows = [(10, [1, 0]), (10, [1, 0]), (10, [0, 1]), (6, [9, 1]), (13, [5, 2]), (13, [5, 2]), (20, [1, 1])]
     df = spark.createDataFrame(rows, "vec_id long, components array<long>")
