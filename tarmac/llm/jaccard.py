@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tarmac.llm.batches import mapped, slices
 from tarmac.llm.components import components
-from tarmac.llm.shingles import differences_within, fingerprint, least_difference, odd_sketch, shingle_set
+from tarmac.llm.shingles import differences_within, fingerprint, least_difference, odd_sketch, shingle_sets
 from tarmac.llm.storage import dropped, free_name, gathered, written
 
 #: Shingles that count as common (in more sets than this), at most; the order alone depends on them, not the result.
@@ -75,11 +75,11 @@ def common_shingles(docs: DataFrame, text_col: str) -> list[int]:
             return pa.RecordBatch.from_arrays([pa.array(values[more].view(np.int64)), pa.array(counts[more].astype(np.int64))], ["s", "n"])
 
         for b in slices(batches):
-            for text in b.column(0).to_pylist():
-                if text and (h := hash(text)) not in seen:
-                    seen.add(h)
-                    held.append(shingle_set(text))
-                    n += len(held[-1])
+            texts = {h: text for text in b.column(0).cast(pa.binary()).to_pylist() if text and (h := hash(text)) not in seen}
+            seen.update(texts)
+            for s in shingle_sets(list(texts.values())):
+                held.append(s)
+                n += len(s)
                 if n > COUNTED:
                     n = 0
                     yield counted()
@@ -105,8 +105,7 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, common: list[int], has
         had: set[tuple] = set()
         for b in slices(batches):
             out: list[list] = [[] for _ in range(6)]
-            for text in b.column(2).to_pylist():
-                s = shingle_set(text)
+            for s in shingle_sets(b.column(2).cast(pa.binary()).to_pylist()):
                 n, name = len(s), fingerprint(s)
                 new = n > 0 and name not in had
                 sketch = prefix = known = None
@@ -204,8 +203,11 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, active: DataFrame) -> Dat
         had: set[int] = set()
         for b in slices(batches):
             names, items = [], []
-            for v, w, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if v not in had and fingerprint(s := shingle_set(text))[1] == w:  # a key may have several texts
+            v, w = (b.column(i).to_pylist() for i in range(2))
+            new = [i for i in range(b.num_rows) if v[i] not in had]
+            texts = b.column(2).take(pa.array(new, pa.int64())).cast(pa.binary()).to_pylist()
+            for v, w, s in zip([v[i] for i in new], [w[i] for i in new], shingle_sets(texts), strict=True):
+                if v not in had and fingerprint(s)[1] == w:  # a key may have several texts
                     had.add(v)
                     names.append(v)
                     items.append(s.tobytes())

@@ -7,22 +7,11 @@ import hashlib
 import numpy as np
 
 WORDS = 5
-CACHE_WORDS = 100_000
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _PLACES = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1) for i in range(WORDS)]
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_words = _Words()
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: The first bytes of a little-endian number of 8, by their count.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def _mixed(x):
@@ -34,24 +23,50 @@ def _mixed(x):
     return x
 
 
-def shingle_hashes(text: str | None) -> np.ndarray:
-    """Hashes of a whole text's 5-word shingles in their order; of fewer words, one hash of them all."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
-    take = min(n, WORDS)
-    out = w[: n - take + 1] * _PLACES[0]
-    for i in range(1, take):
-        out += w[i : n - take + 1 + i] * _PLACES[i]
-    if take < WORDS:
-        out += np.uint64(take)
-    return _mixed(out)
+def _word_hashes(text: bytes):
+    """Where the words of a text begin, and their hashes: of a word's length and, 8 bytes at a time, of all of it."""
+    text = b" " + text + b" " * 8
+    space = _SPACE[np.frombuffer(text, np.uint8)]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    begin, length = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray((len(text) - 7,), "<u8", text, 0, (1,))
+    out = _mixed((eights[begin] & _FIRST[np.minimum(length, 8)]) + length.astype(np.uint64) * _PLACES[0])
+    at, more = 8, np.flatnonzero(length > 8)
+    while len(more):
+        left = length[more] - at
+        out[more] = _mixed(out[more] * _PLACES[1] + (eights[begin[more] + at] & _FIRST[np.minimum(left, 8)]))
+        at, more = at + 8, more[left > 8]
+    return begin - 1, out
+
+
+def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
+    """The sorted hashes of each whole UTF-8 text's 5-word shingles, told apart; of fewer words, one hash of them all."""
+    texts = [t or b"" for t in texts]
+    begin, words = _word_hashes(b" ".join(texts).translate(_LOWER))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    last = np.searchsorted(begin, ends).tolist()
+    # shingles of each place, those across two texts included
+    every = np.zeros(0, np.uint64)
+    if len(words) >= WORDS:
+        every = sum(words[i : len(words) - WORDS + 1 + i] * p for i, p in enumerate(_PLACES))
+        every = _mixed(every)
+    out, lo = [], 0
+    for hi in last:
+        n = hi - lo
+        if n >= WORDS:
+            s = np.sort(every[lo : hi - WORDS + 1])
+            s = s[np.concatenate([[True], s[1:] != s[:-1]])]
+        else:
+            s = words[lo:hi]
+            if n:
+                s = _mixed(np.sum(s * _PLACES[:n], keepdims=True) + np.uint64(n))
+        out.append(s)
+        lo = hi
+    return out
 
 
 def shingle_set(text: str | None) -> np.ndarray:
-    return np.unique(shingle_hashes(text))
+    return shingle_sets([(text or "").encode("utf-8", "surrogatepass")])[0]
 
 
 def fingerprint(s: np.ndarray) -> tuple[int, int]:

@@ -429,3 +429,15 @@ def test_region_of_unlinked_near_sets_is_left_to_one_task(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in out.collect()}
     assert [(i, c) for i, c in got.items() if c != (i - 5000 if i >= 5000 else i)] == [] and len(got) == len(rows)
     assert len(joined) == 3 and joined[2] == 0, joined
+
+
+def test_shingles_of_many_texts_equal_plain_sets():
+    """Texts hashed together keep their own sets, whatever their bytes; many different words cost no more than few."""
+    rnd = random.Random(12)
+    for _ in range(200):
+        texts = ["".join(rnd.choice("ab\0 \t\nAé") for _ in range(rnd.randint(0, 60))) for _ in range(4)] + [None, "x" * 8 + " " + "x" * 9 + " y" * 3]
+        sets = shingles.shingle_sets([t and t.encode() for t in texts])
+        assert [len(s) for s in sets] == [len(plain_set(t)) for t in texts]
+        assert all((s == shingles.shingle_set(t)).all() and (s[1:] > s[:-1]).all() for s, t in zip(sets, texts))
+    long = ["q" * n for n in range(1, 400)]
+    assert len(np.unique(np.concatenate(shingles.shingle_sets([w.encode() for w in long])))) == len(long)
