@@ -42,6 +42,8 @@ COMMON_SETS, COMMON = 64, 1 << 17
 RADIUS = 0.2 + 1e-6
 #: Hashes counted together by a task, and ids that may be broadcast (16 bytes each); more are joined by shuffle.
 COUNTED, BROADCAST_IDS = 2_000_000, 500_000
+#: Prefix shingles that a task sorts at a time before the shuffle; and after it, on average.
+PACKED, BUCKET = 1_000_000, 500_000
 
 
 def least_overlap(n: int) -> int:
@@ -149,35 +151,95 @@ def _named_apart(sets: DataFrame) -> DataFrame:
         sets = apart
 
 
-def _region_rows(sets: DataFrame) -> DataFrame:
-    """s, v, n, sure: a row for each prefix shingle of each set; ``sure`` if the shingle is known to be common."""
+def _packed(sets: DataFrame, buckets: int) -> DataFrame:
+    """bucket, s, v, n: the prefix shingles of the sets that are not known to be common, as bytes of many numbers each, by ranges of s."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
-            prefixes = [np.frombuffer(p, np.int64) for p in b.column(3).to_pylist()]
-            sizes = np.array([len(p) for p in prefixes])
-            v, n, common = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            for lo in range(0, len(prefixes), 500):
-                part = slice(lo, lo + 500)
-                sure = [np.arange(k) >= k - c for k, c in zip(sizes[part], common[part], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes[part])), *(pa.array(np.repeat(x[part], sizes[part])) for x in (v, n)), pa.array(np.concatenate(sure))], ["s", "v", "n", "sure"])
+        starts = np.array([-(1 << 63) + (i << 64) // buckets for i in range(1, buckets)], np.int64)
+        held, n = [], 0
+
+        def out():
+            s, v, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(s)
+            s, v, n = s[order], v[order], n[order]
+            edges = [0, *np.searchsorted(s, starts).tolist(), len(s)]
+            some = [(i, slice(lo, hi)) for i, (lo, hi) in enumerate(zip(edges, edges[1:])) if lo < hi]
+            for at in range(0, len(some), 64):
+                part = some[at : at + 64]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int32()), *(pa.array([x[k].tobytes() for _, k in part], pa.binary()) for x in (s, v, n))], ["bucket", "s", "v", "n"])
+
+        for b in slices(batches, 2000):
+            v, size, common = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            rare = [np.frombuffer(p, np.int64)[: len(p) // 8 - c] for p, c in zip(b.column(3).to_pylist(), common.tolist(), strict=True)]
+            many = [len(x) for x in rare]
+            held.append((np.concatenate([np.zeros(0, np.int64), *rare]), np.repeat(v, many), np.repeat(size, many)))
+            n += sum(many)
+            if n > PACKED:
+                yield from out()
+                n = 0
+        if n:
+            yield from out()
+
+    return mapped(sets.select("v", "n", "common", "prefix"), run, "bucket int, s binary, v binary, n binary")
+
+
+def _common_rows(sets: DataFrame) -> DataFrame:
+    """s, v, n: a row for each prefix shingle of each set that is known to be common."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in slices(batches, 2000):
+            many = b.column(2).to_numpy(zero_copy_only=False)
+            last = [np.frombuffer(p, np.int64)[len(p) // 8 - c :] for p, c in zip(b.column(3).to_pylist(), many.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *last])), *(pa.array(np.repeat(b.column(i).to_numpy(zero_copy_only=False), many)) for i in (0, 1))], ["s", "v", "n"])
 
-    return mapped(sets.where(F.col("prefix").isNotNull()).select("v", "n", "common", "prefix"), run, "s long, v long, n int, sure boolean")
+    return mapped(sets.where("common > 0").select("v", "n", "common", "prefix"), run, "s long, v long, n int")
 
 
 def _seeded(sets: DataFrame) -> DataFrame:
     """s, v, n: the rows of the regions with two different sets.
 
-    A common shingle is in many sets, so no window needs to look at its rows; what others share is few.
+    A common shingle is in many sets, so no task needs to look at its rows together; what others share is few.
+    Most shingles are in one set, so they go through the shuffle by ranges, many in a row, and are sorted in a task's arrays.
     """
-    rows = _region_rows(sets)
-    w = Window.partitionBy("s")
-    few = rows.where("not sure").withColumn("_a", F.min("v").over(w)).withColumn("_b", F.max("v").over(w)).where("_a <> _b")
-    few = few.select("s", "v", "n").dropDuplicates(["s", "v"])
-    return few.unionByName(rows.where("sure").select("s", "v", "n").dropDuplicates(["s", "v"]))
+    sets = sets.where(F.col("prefix").isNotNull())
+    rare = sets.agg(F.sum(F.length("prefix") / 8 - F.col("common"))).first()[0] or 0
+    buckets = max(1, -(-int(rare) // BUCKET))
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def take(held):
+            s, v, n = (np.concatenate([np.frombuffer(x, t) for x in column]) for column, t in zip(zip(*held, strict=True), (np.int64, np.int64, np.int32), strict=True))
+            order = np.lexsort((v, s))
+            s, v, n = s[order], v[order], n[order]
+            more = s[1:] == s[:-1]
+            once = np.concatenate([[True], ~more | (v[1:] != v[:-1])])
+            s, v, n = s[once], v[once], n[once]
+            more = np.concatenate([[False], s[1:] == s[:-1], [False]])
+            two = more[1:] | more[:-1]
+            return pa.RecordBatch.from_arrays([pa.array(x[two]) for x in (s, v, n)], ["s", "v", "n"])
+
+        at, held = None, []
+        for b in batches:
+            for i, *x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if i != at and held:
+                    yield take(held)
+                    held = []
+                at = i
+                held.append(x)
+        if held:
+            yield take(held)
+
+    few = mapped(_packed(sets, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket"), run, "s long, v long, n int")
+    return few.unionByName(_common_rows(sets).dropDuplicates(["s", "v"]))
 
 
 def _shared(rows: DataFrame) -> DataFrame:
