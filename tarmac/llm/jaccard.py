@@ -43,7 +43,7 @@ RADIUS = 0.2 + 1e-6
 #: Hashes counted together by a task, and ids that may be broadcast (16 bytes each); more are joined by shuffle.
 COUNTED, BROADCAST_IDS = 2_000_000, 500_000
 #: Prefix shingles that a task sorts at a time before the shuffle; and after it, on average.
-PACKED, BUCKET = 1_000_000, 500_000
+PACKED, BUCKET = 1_000_000, 250_000
 
 
 def least_overlap(n: int) -> int:
@@ -152,21 +152,22 @@ def _named_apart(sets: DataFrame) -> DataFrame:
 
 
 def _packed(sets: DataFrame, buckets: int) -> DataFrame:
-    """bucket, s, v, n: the prefix shingles of the sets that are not known to be common, as bytes of many numbers each, by ranges of s."""
+    """bucket, s, v, n: the prefix shingles of the sets that are not known to be common, as bytes of many numbers each; s decides the bucket."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        starts = np.array([-(1 << 63) + (i << 64) // buckets for i in range(1, buckets)], np.int64)
         held, n = [], 0
 
         def out():
             s, v, n = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order = np.argsort(s)
+            # the first shingles of a set are its least, so only the rest of a division is spread evenly
+            bucket = (s.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
             s, v, n = s[order], v[order], n[order]
-            edges = [0, *np.searchsorted(s, starts).tolist(), len(s)]
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
             some = [(i, slice(lo, hi)) for i, (lo, hi) in enumerate(zip(edges, edges[1:])) if lo < hi]
             for at in range(0, len(some), 64):
                 part = some[at : at + 64]
@@ -206,7 +207,7 @@ def _seeded(sets: DataFrame) -> DataFrame:
     """s, v, n: the rows of the regions with two different sets.
 
     A common shingle is in many sets, so no task needs to look at its rows together; what others share is few.
-    Most shingles are in one set, so they go through the shuffle by ranges, many in a row, and are sorted in a task's arrays.
+    Most shingles are in one set, so they go through the shuffle by buckets, many in a row, and are sorted in a task's arrays.
     """
     sets = sets.where(F.col("prefix").isNotNull())
     rare = sets.agg(F.sum(F.length("prefix") / 8 - F.col("common"))).first()[0] or 0

@@ -441,3 +441,17 @@ def test_shingles_of_many_texts_equal_plain_sets():
         assert all((s == shingles.shingle_set(t)).all() and (s[1:] > s[:-1]).all() for s, t in zip(sets, texts))
     long = ["q" * n for n in range(1, 400)]
     assert len(np.unique(np.concatenate(shingles.shingle_sets([w.encode() for w in long])))) == len(long)
+
+
+def test_rare_shingles_are_dealt_evenly(spark, monkeypatch):
+    """Prefixes hold the least hashes; their buckets are of like sizes all the same, and sets that share one are kept."""
+    monkeypatch.setattr(jaccard, "BUCKET", 1000, raising=False)
+    monkeypatch.setattr(jaccard, "PACKED", 3000, raising=False)
+    rnd = np.random.default_rng(3)
+    rows = [(i, 80, 2, np.concatenate([np.sort(rnd.integers(0, 1 << 62, 18)), [-5, -4]])) for i in range(1000)]
+    rows[7][3][0] = rows[300][3][0] = 11
+    df = spark.createDataFrame([(v, n, c, p.astype(np.int64).tobytes()) for v, n, c, p in rows], "v long, n int, common int, prefix binary").repartition(3)
+    got = {tuple(r) for r in jaccard._seeded(df.unionByName(df)).collect()}
+    assert got == {(11, 7, 80), (11, 300, 80)} | {(s, v, 80) for v in range(1000) for s in (-5, -4)}
+    sizes = [r[0] for r in jaccard._packed(df, 18).groupBy("bucket").agg(F.sum(F.length("s") / 8)).select("sum((length(s) / 8))").collect()]
+    assert len(sizes) == 18 and max(sizes) < 1300 and sum(sizes) == 18000
